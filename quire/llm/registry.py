@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from .mixing import OP2_SQL, op2_mix_sources
+from .pii import OP3_SQL, op3_find_pii
 from .urlrep import OP8_SQL, op8_url_reputation
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_find_pii": op3_find_pii,
     "op8_url_reputation": op8_url_reputation,
 }
 
 ORACLE = {
     "op2_mix_sources": OP2_SQL,
+    "op3_find_pii": OP3_SQL,
     "op8_url_reputation": OP8_SQL,
 }
