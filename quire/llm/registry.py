@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
 from .pii import OP3_SQL, op3_find_pii
 from .urlrep import OP8_SQL, op8_url_reputation
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_find_pii": op3_find_pii,
     "op8_url_reputation": op8_url_reputation,
+    "op10_extract_main": op10_extract_main,
 }
 
 ORACLE = {
