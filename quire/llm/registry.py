@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_rotate_perspectives
 from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
 from .pii import OP3_SQL, op3_find_pii
 from .urlrep import OP8_SQL, op8_url_reputation
+from .vectors import OP7_SQL, op7_top_k
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_find_pii": op3_find_pii,
+    "op5_rotate_perspectives": op5_rotate_perspectives,
+    "op7_top_k": op7_top_k,
     "op8_url_reputation": op8_url_reputation,
     "op10_extract_main": op10_extract_main,
 }
@@ -17,5 +21,7 @@ QUERIES = {
 ORACLE = {
     "op2_mix_sources": OP2_SQL,
     "op3_find_pii": OP3_SQL,
+    "op5_rotate_perspectives": OP5_SQL,
+    "op7_top_k": OP7_SQL,
     "op8_url_reputation": OP8_SQL,
 }
