@@ -6,6 +6,7 @@ from .chat import OP5_SQL, op5_rotate_perspectives
 from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
 from .pii import OP3_SQL, op3_find_pii
+from .quality import op6_judge_quality
 from .urlrep import OP8_SQL, op8_url_reputation
 from .vectors import OP7_SQL, op7_top_k
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_find_pii": op3_find_pii,
     "op5_rotate_perspectives": op5_rotate_perspectives,
+    "op6_judge_quality": op6_judge_quality,
     "op7_top_k": op7_top_k,
     "op8_url_reputation": op8_url_reputation,
     "op10_extract_main": op10_extract_main,
