@@ -30,7 +30,7 @@ SAMPLE = 8_000
 #: Bound of the labelled rows from which terms are mined, and of the terms; least share of toxic documents that a term is in.
 LABELLED, TERMS, SUPPORT, PRECISION = 8_000, 400, 0.01, 0.95
 BITS = 16
-KEEP = 0.5
+KEEP = 0.35
 EM_ROUNDS = 60
 EPOCHS = 5
 #: Most of the good documents that a labeller speaks against, least of the bad ones that one speaks for,
@@ -110,7 +110,7 @@ def votes() -> dict[str, Column]:
     finds nothing has no opinion; only whole sentences speak for a document."""
     c = F.col
     bad = {
-        "abuse": c("abuse") >= 2,
+        "abuse": c("abuse") >= 1,
         "repeats": c("again") > 0.2,
         "bars": c("bars") > 0.2,
         "marks": c("marks") > 0.2,
