@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_rotate_perspectives
+from .decontam import op1_find_leaks
 from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
+from .passages import op9_repeated_passages
 from .pii import OP3_SQL, op3_find_pii
 from .quality import op6_judge_quality
 from .urlrep import OP8_SQL, op8_url_reputation
 from .vectors import OP7_SQL, op7_top_k
 
 QUERIES = {
+    "op1_find_leaks": op1_find_leaks,
     "op2_mix_sources": op2_mix_sources,
     "op3_find_pii": op3_find_pii,
     "op5_rotate_perspectives": op5_rotate_perspectives,
     "op6_judge_quality": op6_judge_quality,
     "op7_top_k": op7_top_k,
     "op8_url_reputation": op8_url_reputation,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_extract_main": op10_extract_main,
 }
 
