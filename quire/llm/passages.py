@@ -218,7 +218,8 @@ def _locate(shards: int):
             block = int(docs["block"].iloc[0])
             for shard, i in _by_shard(a, shards):
                 rows.append(("window", block, shard, None, None, None, None, np.stack([a[i], b[i]]).tobytes(), np.stack([d[i], s[i]]).tobytes()))
-        return pd.DataFrame(rows, columns=_COLUMNS)
+        kinds = ["object", "Int64", "Int64", "Int64", "object", "Int64", "object", "object", "object"]
+        return pd.DataFrame({c: pd.array(list(x), dtype=k) for c, x, k in zip(_COLUMNS, zip(*rows, strict=True), kinds, strict=True)})
 
     return run
 

@@ -6,6 +6,7 @@ from .chat import OP5_SQL, op5_rotate_perspectives
 from .decontam import op1_find_leaks
 from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
+from .ngramjoin import op4_jaccard_components
 from .passages import op9_repeated_passages
 from .pii import OP3_SQL, op3_find_pii
 from .quality import op6_judge_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_find_leaks": op1_find_leaks,
     "op2_mix_sources": op2_mix_sources,
     "op3_find_pii": op3_find_pii,
+    "op4_jaccard_components": op4_jaccard_components,
     "op5_rotate_perspectives": op5_rotate_perspectives,
     "op6_judge_quality": op6_judge_quality,
     "op7_top_k": op7_top_k,
