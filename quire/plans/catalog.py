@@ -1,6 +1,345 @@
-"""Queries by name and the SQL that states the same results."""
+"""Queries by name over the tables of a data folder, and the SQL that states the same results."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lang
+from ..functions import text as T
+from ..operators import assemble, content, extract, search, toc
+from ..session import table
+from ..sources import rules as R
+from ..streaming import jobs
+
+KEYWORDS = ["steel", "Brand#12", "blue", "promo copper"]
+RULES = [("http://", "plain"), ("https://m.", "mobile"), ("https://blog.", "blog"), ("https://", "other"), ("https://www.", "never reached")]
+FORMS = ["{key: %s, type: articlename}", "{ 'q' : \"%s\", page:1, bad, a:b:c}", "{}", "searchkey:%s"]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sql_list(items: list[str]) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+_WEIGHT = """CASE WHEN length(kw) <= 4 THEN CASE WHEN abs(s - 1) < 2.2e-16 THEN 12 WHEN s >= 0.8 THEN 8 * s * s * s WHEN s >= 0.7 THEN 5 * s ELSE 0 END
+ ELSE CASE WHEN abs(s - 1) < 2.2e-16 THEN 10 WHEN s >= 0.85 THEN 8 * s * s * s WHEN s >= 0.7 THEN 5 * s * s WHEN s >= 0.5 THEN 3 * s WHEN length(kw) >= 10 THEN 1.2 * s ELSE 0 END END"""
+
+
+@query(f"""
+WITH k AS (SELECT unnest([{_sql_list(KEYWORDS)}]) kw),
+s AS (SELECT kw, p_partkey, p_name, p_brand, 1 - levenshtein(kw, p_name) / greatest(length(kw), length(p_name)) sn, 1 - levenshtein(kw, p_brand) / greatest(length(kw), length(p_brand)) sa FROM part, k),
+m AS (SELECT kw, round(sum({_WEIGHT.replace("s ", "sn ").replace("(s ", "(sn ")}), 6) < round(sum({_WEIGHT.replace("s ", "sa ").replace("(s ", "(sa ")}), 6) by_author, bool_or(sn > 0.25) nh, bool_or(sa > 0.25) ah FROM s GROUP BY kw),
+r AS (SELECT s.*, by_author, CASE WHEN by_author THEN sa ELSE sn END sim, CASE WHEN by_author THEN p_name ELSE p_brand END other,
+        CASE WHEN CASE WHEN by_author THEN ah ELSE nh END THEN 0.25 ELSE 0 END least_ FROM s JOIN m USING (kw))
+SELECT kw AS keyword, p_partkey, p_name, p_brand, by_author, round(sim, 9) similarity, row_number() OVER (PARTITION BY kw ORDER BY sim DESC, other, p_partkey)::INT AS rank
+FROM r WHERE sim > least_""")
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    found = search.ranked_search(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), KEYWORDS, "p_name", "p_brand", ["p_partkey"])
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, name, url) for k, (url, name) in enumerate(RULES, 1)], "id int, name string, url string")
+
+
+@query(f"""
+WITH r AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{n}', '{u}')" for k, (u, n) in enumerate(RULES, 1))}) t(rule_id, rule_name, rule_url)),
+j AS (SELECT page_id, url, rule_id, rule_name, row_number() OVER (PARTITION BY page_id ORDER BY rule_id) n FROM pages LEFT JOIN r ON starts_with(url, rule_url))
+SELECT page_id, url, rule_id, rule_name FROM j WHERE n = 1""")
+def prefix_source_match(spark, d):
+    return R.match_rules(table(spark, d, "pages").select("page_id", "url"), _rules(spark))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>\\s*(.*?)\\s*</title>', 1) title FROM pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", extract.lowered(F.col("html"), "title").alias("title"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '^(.*?://[^/]*)', 1), '') origin FROM pages")
+def page_origin(spark, d):
+    return table(spark, d, "pages").select("page_id", T.origin(F.col("url")).alias("origin"))
+
+
+_LINKS = """SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*\\bhref="([^"]*)"', 1)) href, generate_subscripts(regexp_extract_all(html, '<a[^>]*\\bhref="([^"]*)"', 1), 1) - 1 pos FROM pages"""
+
+
+@query(f"SELECT page_id, pos::INT pos, href FROM ({_LINKS})")
+def page_links(spark, d):
+    return extract.links(table(spark, d, "pages")).drop("url")
+
+
+@query(f"""SELECT page_id, pos::INT pos, CASE WHEN regexp_matches(href, '^https?://') THEN href
+  WHEN starts_with(href, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || href
+  WHEN starts_with(href, '/') THEN regexp_extract(url, '^(.*?://[^/]*)', 1) || href
+  ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^:/])/[^/]*$', '\\1') || '/' || href END href FROM ({_LINKS})""")
+def page_links_abs(spark, d):
+    return extract.links(table(spark, d, "pages")).select("page_id", "pos", T.absolute_url(F.col("href"), F.col("url")).alias("href"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) IN ('Just a moment...', '403 Forbidden', 'Attention Required', 'Checking your browser before accessing') challenge
+FROM (SELECT page_id, html FROM pages UNION ALL SELECT -1, '<html><title>403 Forbidden</title></html>')""")
+def unusable_pages(spark, d):
+    one = spark.createDataFrame([(-1, "<html><title>403 Forbidden</title></html>")], "page_id long, html string")
+    return table(spark, d, "pages").select("page_id", "html").unionByName(one).select("page_id", T.is_challenge(F.col("html")).alias("challenge"))
+
+
+_BAD = "[\\p{C}\\x{2028}\\x{2029}\\x{200B}\\x{FEFF}]"
+
+
+@query(f"SELECT doc_id AS id, md5(regexp_replace(text, '{_BAD}', '', 'g')) digest FROM documents UNION ALL SELECT -1 - page_id, md5(regexp_replace(html, '{_BAD}', '', 'g')) FROM pages")
+def clean_invisible(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(T.strip_invisible(F.col("text"))).alias("digest"))
+    return docs.unionByName(table(spark, d, "pages").select((-1 - F.col("page_id")).alias("id"), F.md5(T.strip_invisible(F.col("html"))).alias("digest")))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '&[^;]+;', '', 'g')) digest FROM pages")
+def strip_entities(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.strip_entities(F.col("html"))).alias("digest"))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) digest FROM pages")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.strip_tags(F.col("html"))).alias("digest"))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '(?is)<(?:br|hr|img|meta)\\b[^>]*/?>', '', 'g')) digest FROM pages")
+def drop_void_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.drop_void_tags(F.col("html"), ["br", "hr", "img", "meta"])).alias("digest"))
+
+
+_PAIRS = ["p", "b", "li", "ul", "a", "div", "h1", "nav", "article", "footer", "script", "style", "title"]
+_EMPTY = "(?i)" + "|".join(f"<{t}(?:[^<>a-z\\d][^<>]*)?>\\s*</{t}>" for t in _PAIRS)
+
+
+@query(f"SELECT page_id, md5(regexp_replace(html, '{_EMPTY}', '', 'g')) digest FROM (SELECT page_id, regexp_replace(html, '>[^<]{{1,9}}<', '> <', 'g') html FROM pages)")
+def empty_tags(spark, d):
+    short = F.regexp_replace("html", ">[^<]{1,9}<", "> <")
+    return table(spark, d, "pages").select("page_id", F.md5(T.drop_empty_tags(short)).alias("digest"))
+
+
+@query("SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT pos, unnest(ps) paragraph FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') ps FROM documents)")
+def paragraph_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "\n", -1), lambda x: x != "")).alias("pos", "paragraph"))
+
+
+@query("""SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\n'), lambda x: x <> ''), lambda x: '<p>' || x || '</p>'), ''), '') html FROM documents""")
+def paragraph_wrap(spark, d):
+    return table(spark, d, "documents").select("doc_id", content.split_paragraphs(F.col("text"), "\\n").alias("html"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>\\s*(.*?)\\s*</title>', 1) || chr(10) || chr(10) ||
+  coalesce(array_to_string(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda x: '　　' || x || chr(10)), ''), '') AS text FROM pages""")
+def render_txt(spark, d):
+    return table(spark, d, "pages").select("page_id", content.render_text(extract.lowered(F.col("html"), "title"), F.col("html")).alias("text"))
+
+
+@query("SELECT p_partkey, regexp_replace(t, '^(\\d+)\\s*\\.\\s*(.+)$', '第\\1章 \\2') title FROM (SELECT p_partkey, p_size || '. ' || p_name t FROM part UNION ALL SELECT -p_partkey, p_name FROM part)")
+def title_number(spark, d):
+    part = table(spark, d, "part")
+    both = part.select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(". "), "p_name").alias("t")).unionByName(part.select((-F.col("p_partkey")).alias("p_partkey"), F.col("p_name").alias("t")))
+    return both.select("p_partkey", T.number_title(F.col("t")).alias("title"))
+
+
+@query(f"""SELECT form, (generate_subscripts(f, 1) - 1)::INT pos, unnest(f) field FROM (
+  SELECT form, list_transform(list_filter(string_split(regexp_replace(trim(form), '^\\{{|\\}}$', '', 'g'), ','), lambda e: contains(e, ':')),
+    lambda e: regexp_replace(trim(split_part(e, ':', 1)), '^["'']+|["'']+$', '', 'g') || '=' || replace(regexp_replace(trim(regexp_replace(e, '^[^:]*:', '')), '^["'']+|["'']+$', '', 'g'), '%s', 'blue steel')) f
+  FROM (SELECT unnest([{_sql_list(FORMS)}]) form))""")
+def form_parse(spark, d):
+    forms = spark.createDataFrame([(f,) for f in FORMS], "form string")
+    return forms.select("form", F.posexplode(T.form_fields(F.col("form"), F.lit("blue steel"))).alias("pos", "f")).select("form", "pos", F.concat("f.k", F.lit("="), "f.v").alias("field"))
+
+
+@query("SELECT p_partkey, replace('https://x.example/s?q=%s&again=%s', '%s', p_name) url FROM part")
+def template_fill(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.fill_template(F.lit("https://x.example/s?q=%s&again=%s"), F.col("p_name")).alias("url"))
+
+
+@query("SELECT page_id, replace(url_encode(url), '+', '%20') encoded FROM pages")
+def url_encode(spark, d):
+    return table(spark, d, "pages").select("page_id", T.percent_encode(F.col("url")).alias("encoded"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '/(\\d+)', 1), '') book_id FROM pages")
+def book_id(spark, d):
+    return table(spark, d, "pages").select("page_id", T.book_id(F.col("url"), "/(\\d+)@js:r").alias("book_id"))
+
+
+@query("SELECT doc_id, translate(left(text, 80), '.:/', '。：／') AS name FROM documents")
+def sanitize_name(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.safe_file_name(F.left("text", F.lit(80))).alias("name"))
+
+
+@query("SELECT doc_id, lpad(doc_id::VARCHAR, length((count(*) OVER ())::VARCHAR)::INT, '0') AS name FROM documents WHERE length(doc_id::VARCHAR) <= (SELECT length(count(*)::VARCHAR) FROM documents)")
+def pad_index(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    total = docs.agg(F.count("*").alias("total"))  # one row
+    wide = docs.crossJoin(F.broadcast(total))
+    return wide.where(F.length(F.col("doc_id").cast("string")) <= F.length(F.col("total").cast("string"))).select("doc_id", T.padded(F.col("doc_id"), F.col("total")).alias("name"))
+
+
+@query("SELECT doc_id, md5(text) digest, md5(to_base64(encode(text))) encoded FROM documents")
+def b64_roundtrip(spark, d):
+    coded = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "")
+    return table(spark, d, "documents").select("doc_id", F.md5(T.decode_base64_lines(coded)).alias("digest"), F.md5(coded).alias("encoded"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type title, event_id, (event_id // 100)::BIGINT page_no, (event_id % 100)::BIGINT pos FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, title ORDER BY page_no DESC, pos DESC) n FROM e)
+SELECT user_id, title, event_id, row_number() OVER (PARTITION BY user_id ORDER BY page_no, pos)::INT AS index FROM k WHERE n = 1""")
+def toc_dedup_last(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("title"), "event_id", F.expr("event_id div 100").alias("page_no"), (F.col("event_id") % 100).alias("pos"))
+    return toc.table_of_contents(rows, ["user_id"]).select("user_id", "title", "event_id", "index")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id, turn DESC)::INT AS index FROM conversations")
+def toc_desc_order(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr("conv_id div 4").alias("book"), F.col("turn").alias("pos"))
+    return toc.renumber(toc.page_order(rows, True), ["book"], ["conv_id", "pos"]).select("conv_id", "turn", "index")
+
+
+@query("""WITH RECURSIVE n AS (SELECT page_id, url, CASE WHEN page_id % 7 <> 6 THEN page_id + 1 END nxt FROM pages),
+w(start, depth, page) AS (SELECT page_id, 0, page_id FROM n WHERE page_id % 7 = 0 UNION ALL SELECT w.start, w.depth + 1, n.nxt FROM w JOIN n ON w.page = n.page_id WHERE n.nxt IS NOT NULL AND w.depth < 200)
+SELECT start, depth::INT depth, page AS url FROM w""")
+def follow_next(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("url"))
+    nexts = pages.select("url", F.when(F.col("url") % 7 != 6, F.col("url") + 1).alias("next_url"))
+    return toc.follow_next(spark, pages.where(F.col("url") % 7 == 0).select(F.col("url").alias("start")), nexts)
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) n FROM documents) WHERE n <= 30")
+def source_limit(spark, d):
+    return search.limit_per_source(table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 30)
+
+
+@query("""SELECT user_id AS job, count(*) total, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed,
+  arg_max(event_type, event_id) AS current, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'failed' WHEN arg_max(event_type, event_id) = 'purchase' THEN 'done' ELSE 'downloading' END phase, max(event_id) seq FROM events GROUP BY user_id""")
+def job_progress(spark, d):
+    return _progress(table(spark, d, "events"))
+
+
+def _progress(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    phase = F.when(kind == "error", "failed").when(kind == "purchase", "done").otherwise("downloading")
+    return jobs.job_progress(events, "user_id", "event_id", kind == "purchase", kind == "error", "event_type", phase)
+
+
+@query("""WITH s AS (SELECT user_id job, max(event_id) seq, arg_max(event_type, event_id) last FROM events GROUP BY 1)
+SELECT count(*) FILTER (last NOT IN ('error', 'purchase')) active, arg_max(job, seq) FILTER (last NOT IN ('error', 'purchase')) latest FROM s""")
+def active_jobs(spark, d):
+    return jobs.active_jobs(_progress(table(spark, d, "events")))
+
+
+@query("""SELECT event_id, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 skipped FROM events""")
+def fail_fast(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return jobs.with_skipped(events, "user_id", "event_id", F.col("event_type") == "error").select("event_id", "skipped")
+
+
+_ADMIT = "SELECT event_id job, ts started, ts + INTERVAL 1 MINUTE * (1 + event_id % 50) ended FROM events"
+
+
+@query(f"""WITH r AS ({_ADMIT}), s AS (SELECT job, started t, 1 step, job o FROM r UNION ALL SELECT job, ended, -1, NULL FROM r),
+c AS (SELECT *, coalesce(sum(step) OVER (ORDER BY t, step, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT active FROM s)
+SELECT job, active, active < 3 admitted FROM c WHERE step = 1""")
+def admission(spark, d):
+    made = table(spark, d, "events").select(F.col("event_id").alias("job"), F.col("ts").alias("started"), F.expr("ts + make_dt_interval(0, 0, 1 + cast(event_id % 50 as int), 0)").alias("ended"))
+    return jobs.admitted(made, 3).select("job", "active", "admitted")
+
+
+@query("""SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, count(*) n_chapters FROM conversations GROUP BY conv_id""")
+def assemble_text(spark, d):
+    return assemble.ordered_text(table(spark, d, "conversations"), ["conv_id"], "turn", "text")
+
+
+@query("""SELECT '书名：' || p_name || chr(10) || '作者：' || p_brand || chr(10) || '简介：' || CASE WHEN p_size % 5 = 0 THEN '暂无' ELSE regexp_replace('<b>' || p_type || '</b>', '<[^>]+>', '', 'g') END || chr(10) AS header, p_partkey FROM part""")
+def book_header(spark, d):
+    intro = F.when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("<b>"), "p_type", F.lit("</b>")))
+    return table(spark, d, "part").select("p_partkey", assemble.header(F.col("p_name"), F.col("p_brand"), intro).alias("header"))
+
+
+@query("""SELECT page_id, url IS NULL OR url = '' OR (NOT regexp_matches(url, '^.*[-_]\\d\\.html$') AND regexp_matches(html, '下一章|没有了|>>|书末页')) last_page FROM pages""")
+def last_page(spark, d):
+    return table(spark, d, "pages").select("page_id", T.is_last_page(F.col("url"), F.col("html")).alias("last_page"))
+
+
+@query("""SELECT source, CASE source WHEN 'zh-TW' THEN 't2s' WHEN 'zh-Hant' THEN 't2s' END direction FROM (SELECT unnest(['zh-TW', 'zh-Hant', 'zh-CN', 'en']) source)""")
+def language_direction(spark, d):
+    tags = spark.createDataFrame([(x,) for x in ("zh-TW", "zh-Hant", "zh-CN", "en")], "source string")
+    return tags.select("source", lang.direction_column(F.col("source"), "zh-CN").alias("direction"))
+
+
+@query(f"SELECT doc_id, md5(translate(text || '国书说', '{lang.SIMPLIFIED}', '{lang.TRADITIONAL}')) digest FROM documents")
+def convert_script(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(lang.convert(F.concat("text", F.lit("国书说")), "s2t")).alias("digest"))
+
+
+@query("""SELECT job, CASE phase WHEN 'done' THEN 'done' WHEN 'failed' THEN 'error' ELSE 'progress' END AS type,
+  '{"type":"' || CASE phase WHEN 'done' THEN 'done' WHEN 'failed' THEN 'error' ELSE 'progress' END || '","index":' || done || ',"total":' || total || ',"failed":' || failed || ',"current":"' || current || '","phase":"' || phase || '"}' payload
+FROM (""" + ORACLE["job_progress"] + ")")
+def event_payload(spark, d):
+    return jobs.event_payload(_progress(table(spark, d, "events")))
+
+
+@query("SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'b') ORDER BY 1 LIMIT 10")
+def suggest(spark, d):
+    return search.suggestions(table(spark, d, "part"), "p_name", "b")
+
+
+@query()
+def page_fields(spark, d):
+    """Title, language, first heading and footer of every page, one tree a page."""
+    fields = {"title": "title", "lang": "html@lang", "heading": "article > h1", "menu": "nav li:nth-child(2) a@href", "footer": "footer@js:remove('©')"}
+    return extract.extract_fields(table(spark, d, "pages"), fields).select("page_id", *fields)
+
+
+@query()
+def page_rows(spark, d):
+    """Entries of every page's menu as rows, links in full."""
+    return extract.list_rows(table(spark, d, "pages"), "page_id", "nav li", {"name": "a", "link": "a@href"}, "name", 30)
+
+
+@query()
+def chapter_txt(spark, d):
+    """The article of every page as a rendered chapter: extraction, cleaning, paragraphs, text."""
+    rule = content.ChapterRule(paragraph_tag_closed=True, filter_txt="advert", filter_tag="h1, .ad, script")
+    pages = table(spark, d, "pages").select("page_id", extract.lowered(F.col("html"), "title").alias("title"), content.inner_html(F.col("html"), "article", "footer").alias("content"))
+    ok, _ = content.accepted(pages)
+    return content.render_chapters(ok, rule, "txt")
+
+
+@query()
+def epub_files(spark, d):
+    """Every conversation as an EPUB file of its turns; digest and size of each."""
+    turns = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("book"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("book_name"), F.lit("").alias("author"), F.lit("").alias("intro"),
+        F.col("turn").alias("index"), F.col("role").alias("title"), content.render_xhtml(F.col("role"), content.split_paragraphs(content.escape_xml(F.col("text")), "\\n")).alias("content"),
+    )
+    return assemble.epub_books(turns).select("book", F.length("data").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn = 3 THEN '' ELSE 'c_' || turn || '.html' END nxt, text FROM conversations),
+e AS (SELECT *, coalesce(sum((nxt = '')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ended FROM t)
+SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content, count(*) n_pages FROM e WHERE ended = 0 GROUP BY conv_id""")
+def chapter_pages(spark, d):
+    nxt = F.when(F.col("turn") == 3, "").otherwise(F.concat(F.lit("c_"), F.col("turn").cast("string"), F.lit(".html")))
+    return content.join_pages(table(spark, d, "conversations").withColumn("nxt", nxt).withColumn("label", F.lit("next")), ["conv_id"], "turn", "text", "nxt", "label")
+
+
+@query("""SELECT r.id, r.name, coalesce(delay, -1)::BIGINT delay, coalesce(code, -1)::BIGINT code FROM (SELECT s_suppkey id, s_name AS name FROM supplier WHERE s_suppkey % 10 <> 0) r
+LEFT JOIN (SELECT c_custkey id, c_nationkey * 10 delay, 200 code FROM customer WHERE c_custkey % 3 = 0) p USING (id)""")
+def source_status(spark, d):
+    rules = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("url"), F.lit("").alias("comment"), (F.col("s_suppkey") % 10 == 0).alias("disabled"))
+    probes = table(spark, d, "customer").where(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") * 10).alias("delay"), F.lit(200).alias("code"))
+    return R.source_status(rules, probes).select("id", "name", "delay", "code")
