@@ -172,7 +172,7 @@ def column(step: Step, r: Column) -> Column:
         case "sort_by_data_id":
             pattern = r"""(?is)<(\w+)[^>]*\bdata-id=["']?(\d+)["']?[^>]*>(.*?)</\1>"""
             pairs = F.arrays_zip(F.regexp_extract_all(r, F.lit(pattern), 2).alias("id"), F.regexp_extract_all(r, F.lit(pattern), 3).alias("body"))
-            ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(p["0"].cast("long").alias("id"), p["1"].alias("body"))))
+            ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(p["id"].cast("long").alias("id"), p["body"].alias("body"))))
             return F.concat_ws("", F.transform(ordered, lambda p: F.concat(F.lit("<p>"), p["body"], F.lit("</p>"))))
         case "":
             return r
