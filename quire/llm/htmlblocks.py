@@ -84,7 +84,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
             if name == "p" and "p" not in names or name == "br":
                 flush()
             elif name in names:
-                if name not in INLINE:
+                if name not in INLINE and name not in OPAQUE:
                     flush()
                 while names[-1] != name:
                     pop()
@@ -97,16 +97,15 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
             if name not in INLINE:
                 flush()
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in OPAQUE:
             flush()
-            if name not in OPAQUE:
-                # a block ends an open paragraph; formatting that was left open inside it ends as well
-                for k in range(len(names) - 1, -1, -1):
-                    if names[k] in HOLDS and names[k] not in CLOSES.get(name, ()):
-                        break
-                    if names[k] == "p" or names[k] in CLOSES.get(name, ()):
-                        while len(names) > k:
-                            pop()
+            # a block ends an open paragraph; formatting that was left open inside it ends as well
+            for k in range(len(names) - 1, -1, -1):
+                if names[k] in HOLDS and names[k] not in CLOSES.get(name, ()):
+                    break
+                if names[k] == "p" or names[k] in CLOSES.get(name, ()):
+                    while len(names) > k:
+                        pop()
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
