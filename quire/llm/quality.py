@@ -1,6 +1,6 @@
 """Quality classifier: a weak-label model over overlapping heuristic labellers, then a hashed linear scorer.
 
-1. Labellers vote on each document: 1 good, -1 bad, 0 no opinion. They are DataFrame expressions.
+1. Labellers vote on each whole text: 1 good, -1 bad, 0 no opinion.
 2. Expectation-maximisation over the counts of vote patterns (all documents; at most 3^labellers patterns, however many
    documents) estimates the share of good documents and each labeller's accuracy and propensity in either class.
 3. The posterior of each pattern labels a bounded sample of documents (SAMPLE rows by digest, the documented bound); a
@@ -12,54 +12,46 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import table
 
 #: Words that abuse; a labeller counts them, the scorer learns more.
 ABUSE = """loser idiot pathetic scum worthless moron trash clown disgusting stupid dumb imbecile filthy vermin garbage bastard
 jerk fool freak creep coward ugly retard bitch whore slut fuck fucking shit asshole crap dickhead cunt nazi""".split()
-#: What is cut off the ends of words.
-MARKS = ".,;:!?\"'()[]*#$%&|"
 SAMPLE = 8_000
 #: Bound of the labelled rows from which terms are mined, and of the terms; least share of toxic documents that a term is in.
 LABELLED, TERMS, SUPPORT, PRECISION = 8_000, 400, 0.01, 0.95
 BITS = 16
 KEEP = 0.35
+#: Lengths of the beginnings of words that are mined.
+BEGINNINGS = (4, 5)
 EM_ROUNDS = 60
 EPOCHS = 5
-#: Most of the good documents that a labeller speaks against, least of the bad ones that one speaks for,
-#: share of good documents to begin with.
-FALSE_ALARM, SLIP, GOOD = 0.0005, 0.3, 0.8
+#: Most of the good documents that a labeller speaks against, least of the cases of its own reason that it
+#: finds, least of the bad documents that one speaks for, share of good documents to begin with.
+FALSE_ALARM, HIT, SLIP, GOOD = 0.0005, 0.95, 0.3, 0.8
 
 
-def _trie(terms: list[str]) -> str:
-    """A pattern for any of the terms, branching letter by letter; a term that ends in * stands for its beginning."""
-    tree: dict = {}
-    for term in sorted(terms):
-        at = tree
-        for c in term:
-            at = at.setdefault(c, {})
-        at[""] = {}
+def _longer(n: int):
+    return lambda w: F.length(w) > n
 
-    def pattern(at: dict) -> str:
-        if "*" in at:
-            return r"\p{L}*+"
-        ways = [(re.escape(c) if c else "") + pattern(at[c]) for c in sorted(at, reverse=True)]
-        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
 
-    return pattern(tree)
+def _beginning(n: int):
+    return lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*"))
 
 
 def mined_terms(docs: DataFrame, labels: DataFrame | None, sample: int = LABELLED, most: int = TERMS) -> list[str]:
     """Words and beginnings of words (4 or 5 letters and *) that mark documents labelled toxic.
 
-    Counted over the distinct texts of about `sample` labelled rows (doc_id, toxic), the documented bound. A term must
+    Counted over the texts (of toxic ones the distinct) of about `sample` labelled rows (doc_id, toxic), the documented bound. A term must
     stand in SUPPORT of the toxic ones and four of them at least, and in PRECISION times as many toxic ones as all.
     """
     if labels is None:
@@ -67,18 +59,17 @@ def mined_terms(docs: DataFrame, labels: DataFrame | None, sample: int = LABELLE
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)).limit(2 * sample)
-    texts = docs.join(F.broadcast(known), "doc_id").select("text", "toxic").dropDuplicates(["text"])
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)))
-    counted = (
-        texts.select("toxic", F.monotonically_increasing_id().alias("row"), word.alias("word"))
-        .select("row", "toxic", F.explode(F.expr("array_compact(array(word, if(length(word) > 5, concat(left(word, 4), '*'), null), if(length(word) > 6, concat(left(word, 5), '*'), null)))")).alias("term"))
-        .distinct()
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-        .where(F.col("toxic") >= F.lit(PRECISION) * F.col("n"))
-    )
-    n_toxic = texts.agg(F.sum("toxic")).first()[0] or 0
-    best = counted.where(F.col("toxic") >= max(4, SUPPORT * n_toxic)).orderBy(F.desc("toxic"), F.length("term"), "term").limit(most).collect()
+    texts = docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic") > 0).toDF("text", "toxic")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
+    begins = [F.transform(F.filter(words, _longer(n + 1)), _beginning(n)) for n in BEGINNINGS]
+    terms_of = F.explode(F.array_distinct(F.concat(words, *begins))).alias("term")
+    toxic = texts.where("toxic").dropDuplicates(["text"])
+    n_toxic = toxic.count()
+    often = toxic.select(terms_of).groupBy("term").agg(F.count("*").alias("toxic")).where(F.col("toxic") >= max(4, SUPPORT * n_toxic))
+    often = often.orderBy(F.desc("toxic"), "term").limit(100 * most)  # those that can be among the best
+    clean = texts.where("not toxic").select(terms_of).join(F.broadcast(often.select("term")), "term").groupBy("term").agg(F.count("*").alias("clean"))
+    counted = often.join(clean, "term", "left").where(F.col("toxic") >= PRECISION * (F.col("toxic") + F.coalesce("clean", F.lit(0))))
+    best = counted.orderBy(F.desc("toxic"), F.length("term"), "term").limit(most).collect()
     terms: list[str] = []
     for r in best:
         if not any(t.endswith("*") and r["term"].startswith(t[:-1]) for t in terms):
@@ -86,68 +77,94 @@ def mined_terms(docs: DataFrame, labels: DataFrame | None, sample: int = LABELLE
     return terms
 
 
-def signals(text: Column, terms: list[str] = ()) -> dict[str, Column]:
-    """Numbers about a whole text, each in [0, 1] but for n_words and abuse (words of ABUSE or `terms`)."""
-    text = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
-    n = F.greatest(F.lit(1), count(WORD))
-    without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    letters = F.greatest(F.lit(1), without(r"\p{L}+"))
-    return {
-        "n_words": count(WORD),
-        "abuse": F.coalesce(F.regexp_count(F.lower(text), F.lit(r"(?<!\p{L})" + _trie([*ABUSE, *terms]) + r"(?!\p{L})")), F.lit(0)),
-        "bars": count(r"(?<![^\x20\x09-\x0D])\|(?![^\x20\x09-\x0D])") / n,
-        "marks": count(r"[!?#$%&*@^~=]{2,}(?![^\x20\x09-\x0D])") / n,
-        "capitals": without(r"\p{Lu}+") / letters,
-        "again": count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=\x20\1(?![^\x20\x09-\x0D]))") / n,
-        "letters": without(r"\p{L}+") / F.greatest(F.lit(1), F.length(text)),
-        "stops": count(r"[.!?](?![^\x20\x09-\x0D])") / n,
-    }
-
-
-def votes() -> dict[str, Column]:
-    """Labellers over the signals. A document is bad for one reason and fine in all other respects, so a labeller that
-    finds nothing has no opinion; only whole sentences speak for a document."""
-    c = F.col
-    bad = {
-        "abuse": c("abuse") >= 1,
-        "repeats": c("again") > 0.2,
-        "bars": c("bars") > 0.2,
-        "marks": c("marks") > 0.2,
-        "capitals": c("capitals") > 0.4,
-        "letters": (c("letters") < 0.5) & (c("n_words") > 0),
-        "unbroken": (c("stops") == 0) & (c("n_words") > 200),
-    }
-    return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {"sentences": F.when(c("stops") > 0.02, 1).otherwise(0)}
+SIGNALS = ["n_words", "abuse", "bars", "marks", "capitals", "letters", "stops", "again"]
+_ENDS = re.compile(r"[!?#$%&*@^~=]{2,}(?!\S)").findall
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+
+
+class Reader:
+    """Signals and hashed words of texts; keeps nothing from one text to the next."""
+
+    def __init__(self, terms: list[str], bits: int):
+        import xxhash
+
+        self.hash, self.mask = xxhash.xxh32_intdigest, (1 << bits) - 1
+        self.whole = {*ABUSE, *(t for t in terms if not t.endswith("*"))}
+        self.begins = {n: {t[:n] for t in terms if t.endswith("*") and len(t) == n + 1} for n in BEGINNINGS}
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(signals, distinct slots of the words) of a whole text. Shares are of the words between white space; abuse counts
+        different words. Words are runs of letters, in lower case."""
+        text = text or ""
+        parts = text.split()
+        bare = _LETTERS(text.lower())
+        found, mask, digest = set(bare), self.mask, self.hash
+        abuse = len(found & self.whole) + sum(w[:n] in b for n, b in self.begins.items() if b for w in found if len(w) > n + 1)
+        share = 1 / max(1, len(parts))
+        stops = sum(text.count(m + gap) for m in ".!?" for gap in " \n") + text.endswith((".", "!", "?"))
+        shares = [text.count("|"), len(_ENDS(text)), sum(map(str.isupper, parts)), len(bare), stops, sum(map(eq, parts, parts[1:]))]
+        return np.array([len(parts), abuse, *(min(1.0, x * share) for x in shares)]), np.unique(np.array([digest(w) & mask for w in found], dtype=np.int64))
+
+
+#: What the labellers look at; each says bad (-1), good (1) or nothing (0). A document is bad for one reason and fine in all
+#: other respects, so a labeller that finds nothing has no opinion; only whole sentences speak for a document.
+LABELLERS = {
+    "abuse": lambda s: -(s["abuse"] >= 1),
+    "repeats": lambda s: -(s["again"] > 0.2),
+    "bars": lambda s: -(s["bars"] > 0.2),
+    "marks": lambda s: -(s["marks"] > 0.2),
+    "capitals": lambda s: -(s["capitals"] > 0.4),
+    "letters": lambda s: -(s["letters"] < 0.5 and s["n_words"] > 0),
+    "unbroken": lambda s: -(s["stops"] == 0 and s["n_words"] > 200),
+    "sentences": lambda s: int(s["stops"] > 0.02),
+}
+
+
+def votes(signals: np.ndarray) -> tuple[int, ...]:
+    row = dict(zip(SIGNALS, signals.tolist(), strict=True))
+    return tuple(int(f(row)) for f in LABELLERS.values())
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
     """(posterior of good for each pattern, share of good, chance[labeller, class, vote + 1]) by expectation-maximisation.
 
-    Classes: 0 bad, 1 good. Votes are independent given the class. Two constraints keep the classes from swapping or
-    merging: a labeller speaks against at most FALSE_ALARM of the good documents, and one that speaks for a document does
-    so for at least SLIP of the bad ones. All else is estimated.
+    Class 0 is good; class 1 + j is bad for the reason that labeller j looks for. Votes are independent given the class, so
+    overlaps of labellers tell their accuracies apart. Without constraints silent documents could be called bad at will:
+    a labeller finds its own reason in at least HIT of the cases, speaks against at most FALSE_ALARM of the good documents,
+    and one that speaks for documents does so for at least SLIP of the bad ones. All else is estimated.
     """
     n, k = patterns.shape
-    chance = np.tile(np.array([[0.15, 0.85, 1e-6], [FALSE_ALARM, 1 - FALSE_ALARM, 1e-6]]), (k, 1, 1))
     speaks_for = [j for j in range(k) if n and patterns[:, j].max() > 0]
-    chance[speaks_for] = [[1e-6, 1 - SLIP, SLIP], [1e-6, 0.2, 0.8]]
-    good, votes, total = GOOD, patterns + 1, counts.sum()
-    post = np.full(n, good)
+    reasons = [j for j in range(k) if j not in speaks_for]
+    chance = np.tile(np.array([0.05, 0.95, 1e-6]), (k, 1 + len(reasons), 1))
+    chance[speaks_for] = [1e-6, 1 - SLIP, SLIP]
+    chance[speaks_for, 0] = [1e-6, 0.2, 0.8]
+    for c, j in enumerate(reasons, 1):
+        chance[j, 0] = [FALSE_ALARM, 1 - FALSE_ALARM, 1e-6]
+        chance[j, c] = [HIT, 1 - HIT, 1e-6]
+    share = np.array([GOOD, *[(1 - GOOD) / max(1, len(reasons))] * len(reasons)])
+    votes, total = patterns + 1, max(counts.sum(), 1e-9)
+    post = np.full((n, len(share)), GOOD)
     for _ in range(rounds):
-        like = [np.log(p) + sum(np.log(chance[j, y, votes[:, j]] + 1e-9) for j in range(k)) for y, p in ((0, 1 - good), (1, good))]
-        post = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
-        for y, p in ((0, 1 - post), (1, post)):
-            for j in range(k):
-                made = np.bincount(votes[:, j], weights=counts * p, minlength=3) + 1e-3
+        like = np.log(share)[None, :] + sum(np.log(chance[j][:, votes[:, j]] + 1e-9).T for j in range(k))
+        post = np.exp(like - like.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        weight = counts[:, None] * post
+        for j in range(k):
+            for c in range(len(share)):
+                made = np.bincount(votes[:, j], weights=weight[:, c], minlength=3) + 1e-3
                 made /= made.sum()
-                if j in speaks_for and y == 0:
+                if j in speaks_for and c:
                     made[2] = max(made[2], SLIP)
-                elif j not in speaks_for and y == 1:
+                elif j not in speaks_for and c == 0:
                     made[0] = min(made[0], FALSE_ALARM)
-                chance[j, y] = made / made.sum()
-        good = float(np.clip((counts * post).sum() / max(total, 1e-9), 1e-3, 1 - 1e-3))
-    return post, good, chance
+                elif c and reasons[c - 1] == j:
+                    made[0] = max(made[0], HIT)
+                    made[1] = min(made[1], 1 - HIT)
+                chance[j, c] = made / made.sum()
+        share = np.maximum(weight.sum(axis=0) / total, 1e-6)
+        share /= share.sum()
+    return post[:, 0], float(share[0]), chance
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: int, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -169,91 +186,75 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: i
     return w.astype(np.float32), float(b)
 
 
-def hashed(text: str, row: dict[str, float], bits: int, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a document: its signals in steps (value 1) and its distinct words, in lower case and without
-    their outer marks (together a vector of length 1). cache: slots of words seen, kept small by the caller."""
+def features(signals: np.ndarray, slots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of a document: its signals in steps (value 1) and its words (together a vector of length 1)."""
     import xxhash
 
-    mask = (1 << bits) - 1
-    found = set()
-    for w in set(text.split()):
-        if (slot := cache.get(w)) is None:
-            slot = cache[w] = xxhash.xxh3_64_intdigest("w " + w.strip(MARKS).lower()) & mask
-        found.add(slot)
-    steps = [f"{name} {min(6, int(np.log2(v + 1))) if name in ('n_words', 'abuse') else int(min(1.0, v) * 10 + 0.5)}" for name, v in row.items()]
-    own = [xxhash.xxh3_64_intdigest(x) & mask for x in steps]
-    at = np.fromiter([*own, *found], dtype=np.int64, count=len(own) + len(found))
-    value = np.full(len(at), 1 / np.sqrt(max(1, len(found))))
-    value[: len(own)] = 1.0
-    return at, value
-
-
-CACHED_WORDS = 200_000
+    steps = [f"{k} {min(6, int(np.log2(v + 1))) if k in ('n_words', 'abuse') else int(min(1.0, v) * 10 + 0.5)}" for k, v in zip(SIGNALS, signals.tolist(), strict=True)]
+    own = [xxhash.xxh3_64_intdigest(x) & ((1 << bits) - 1) for x in steps]
+    at = np.concatenate([np.array(own, dtype=np.int64), slots])
+    return at, _values(at)
 
 
-def _features(texts: pd.Series, rows: pd.DataFrame, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    cache: dict[str, int] = {}
-    names = list(rows.columns)
-    for text, values in zip(texts, rows.itertuples(index=False, name=None), strict=True):
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        yield hashed(text or "", dict(zip(names, values, strict=True)), bits, cache)
-
-
-def _signal_struct(text: Column, terms: list[str]) -> Column:
-    return F.struct(*(v.cast("double").alias(k) for k, v in signals(text, terms).items()))
-
-
-def _patterns(docs: DataFrame, terms: list[str]) -> tuple[list[str], DataFrame]:
-    """docs (doc_id, text) with the signals and one column for each labeller's vote."""
-    seen = docs.withColumn("__s", _signal_struct(F.col("text"), terms))
-    return list(votes()), seen.select("*", "__s.*").withColumns({f"vote_{k}": v.cast("int") for k, v in votes().items()})
+def _values(at: np.ndarray) -> np.ndarray:
+    n = len(SIGNALS)
+    return np.concatenate([np.ones(n), np.full(len(at) - n, 1 / np.sqrt(max(1, len(at) - n)))])
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, bits: int = BITS) -> dict:
     """The model: share of good documents, accuracies of the labellers, weights of the scorer.
 
     Vote patterns are counted over all of docs (doc_id, text). About `sample` documents, chosen by a digest of doc_id,
-    train the scorer; only their hashed features reach the driver. labels (doc_id, toxic) add terms of abuse to one labeller. An empty table gives a model that keeps everything.
+    train the scorer; only their hashed features reach the driver. labels (doc_id, toxic) add terms of abuse to one labeller.
+    An empty table gives a model that keeps everything.
     """
-    terms = mined_terms(docs, labels)
-    names, voted = _patterns(docs.select("doc_id", "text"), terms)
-    ballot = [f"vote_{k}" for k in names]
-    counted = voted.groupBy(*ballot).count().orderBy(*ballot).collect()
-    patterns = np.array([[r[k] for k in ballot] for r in counted], dtype=np.int64).reshape(-1, len(names))
-    counts = np.array([r["count"] for r in counted], dtype=float)
-    post, good, chance = accuracies(patterns, counts)
-    n = int(counts.sum())
-    share = min(1.0, sample / max(1, n))
-    chosen = voted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)).limit(2 * sample)
-    signal_names = list(signals(F.lit("")))
+    terms, names = mined_terms(docs, labels), list(LABELLERS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, seen = Reader(terms, bits), Counter()
         for pdf in batches:
-            made = list(_features(pdf["text"], pdf[signal_names], bits))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": list(pdf[ballot].to_numpy(np.int32)), "at": [a for a, _ in made], "value": [v for _, v in made]})
-
-    schema = "doc_id long, votes array<int>, at array<long>, value array<double>"
-    rows = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *signal_names, *ballot).mapInPandas(run, schema).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"]))
-    by_pattern = {tuple(p): q for p, q in zip(patterns.tolist(), post.tolist(), strict=True)}
-    target = np.array([by_pattern[tuple(r["votes"])] for r in rows])
-    w, b = train([(np.array(r["at"]), np.array(r["value"])) for r in rows], target, bits)
+            seen.update(votes(reader.read(t)[0]) for t in pdf["text"])
+        if seen:
+            yield pd.DataFrame({"votes": [",".join(map(str, v)) for v in seen], "n": list(seen.values())})
+
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(terms, bits)
+        for pdf in batches:
+            read = [reader.read(t) for t in pdf["text"]]
+            packed = [features(*r, bits)[0].astype(np.int32).tobytes() for r in read]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": [",".join(map(str, votes(s))) for s, _ in read], "at": packed})
+
+    counted = docs.select("text").mapInPandas(count, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
+    patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in counted], dtype=np.int64).reshape(-1, len(names))
+    counts = np.array([r["n"] for r in counted], dtype=float)
+    post, good, chance = accuracies(patterns, counts)
+    share = min(1.0, sample / max(1.0, counts.sum()))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)).limit(2 * sample)
+    rows = chosen.mapInPandas(sampled, "doc_id long, votes string, at binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["at"])))
+    by_pattern = dict(zip((r["votes"] for r in counted), post.tolist(), strict=True))
+    target = np.array([by_pattern[r["votes"]] for r in rows])
+    slots = [np.frombuffer(r["at"], np.int32) for r in rows]
+    w, b = train([(at, _values(at)) for at in slots], target, bits)
     return {"terms": terms, "w": w, "b": b, "bits": bits, "good": good, "chance": dict(zip(names, chance.tolist(), strict=True))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs with `score`: the scorer's chance that the document is good, over its whole text."""
-    w, b, bits = model["w"], model["b"], model["bits"]
-    sent = docs.sparkSession.sparkContext.broadcast(w)
+    terms, b, bits = model["terms"], model["b"], model["bits"]
+    sent = docs.sparkSession.sparkContext.broadcast(model["w"])
 
     @F.pandas_udf("double")
-    def scorer(texts: pd.Series, rows: pd.DataFrame) -> pd.Series:
-        own = sent.value
-        z = np.array([own[at] @ value + b for at, value in _features(texts, rows, bits)])
-        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6))
-
-    return docs.withColumn("score", scorer(F.col("text"), _signal_struct(F.col("text"), model["terms"])))
+    def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w, reader = sent.value, Reader(terms, bits)
+        for texts in batches:
+            z = []
+            for t in texts:
+                at, value = features(*reader.read(t), bits)
+                z.append(w[at] @ value + b)
+            yield pd.Series(np.round(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30))), 6))
+
+    return docs.withColumn("score", scorer("text"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame | None = None, model: dict | None = None, keep: float = KEEP) -> DataFrame:
