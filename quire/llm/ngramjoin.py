@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, join_counted, staged, table
-from .passages import _WORDS, _by_shard, rolled, word_ids
+from .passages import _FACTORS, _WORDS, LAST, WordIds, _by_shard, rolled, word_ids
 
 N = 5
 T = 75
@@ -37,7 +37,7 @@ CELL_SHINGLES = 2_000_000
 SHARD_ROWS = 500_000
 LEAST_SHARDS = 48
 #: Frequent shingles that a task reports and that are ranked in all (16 bytes each).
-TASK_FREQUENT, FREQUENT = 20_000, 200_000
+TASK_FREQUENT, FREQUENT = 60_000, 400_000
 
 
 def shingles(ids: np.ndarray, n: int = N) -> np.ndarray:
@@ -65,7 +65,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: int = T)
     return np.concatenate([rare, late[: p - len(rare)]])
 
 
-def _sets(texts: pd.Series, cache: dict[str, int]) -> Iterator[np.ndarray]:
+def _sets(texts: pd.Series, cache: WordIds) -> Iterator[np.ndarray]:
     for text in texts:
         yield shingles(word_ids(_WORDS(text), cache) if isinstance(text, str) else np.zeros(0, np.uint64))
 
@@ -77,14 +77,14 @@ def _signature(own: np.ndarray, seed: int) -> int:
 
 
 def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict[str, int] = {}
+    cache = WordIds()
     sums: dict[int, int] = {}
     for pdf in batches:
-        found = [s for s in _sets(pdf["text"], cache) if len(s)]
+        found = {s.tobytes(): s for s in _sets(pdf["text"], cache) if len(s)}  # equal sets count once
         if not found:
             continue
-        h, count = np.unique(np.concatenate(found), return_counts=True)
-        often = count >= 3
+        h, count = np.unique(np.concatenate(list(found.values())), return_counts=True)
+        often = count >= 2
         h, count = h[often], count[often]
         if len(h) > TASK_FREQUENT:
             top = np.argpartition(-count, TASK_FREQUENT)[:TASK_FREQUENT]
@@ -99,39 +99,49 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _prefixes(sent, shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each document, and its group's prefix shingles packed by shard; a group of a batch goes out once."""
+        """Documents, and the prefix shingles of their groups, packed by shard; a group of a batch goes out once."""
         frequent, rank = sent.value
-        cache: dict[str, int] = {}
+        cache = WordIds()
         for pdf in batches:
-            docs, tokens, groups, sizes, seen = [], [], [], [], set()
-            for doc_id, own in zip(pdf["doc_id"], _sets(pdf["text"], cache), strict=True):
-                first = prefix(own, frequent, rank) if len(own) else own
-                group = _signature(first, len(own)) if len(own) else None
-                docs.append(("doc", None, None if pd.isna(doc_id) else int(doc_id), len(own), _signature(own, 1) if len(own) else None, _signature(own, 2) if len(own) else None, group, None))
-                if len(own) and group not in seen:
+            docs, tokens, groups, sizes, seen, rows = [], [], [], [], set(), []
+            for doc_id, own in zip(pdf["doc_id"].tolist(), _sets(pdf["text"], cache), strict=True):
+                if not len(own):
+                    docs.append((doc_id, 0, 0, 0, 0))
+                    continue
+                first = prefix(own, frequent, rank)
+                group = _signature(first, len(own))
+                docs.append((doc_id, len(own), _signature(own, 1), _signature(own, 2), group))
+                if group not in seen:
                     seen.add(group)
                     tokens.append(first)
                     groups.append(np.full(len(first), group, dtype=np.int64))
-                    sizes.append(np.full(len(first), len(own), dtype=np.int64))
+                    sizes.append(np.full(len(first), len(own), dtype=np.uint32))
+            docs = np.array(docs, dtype=np.int64)
+            for shard, i in _by_shard(docs[:, 0].astype(np.uint64) * _FACTORS[0], shards):
+                rows.append(("docs", shard, len(i), docs[i].tobytes()))
             if tokens:
                 t, g, n = np.concatenate(tokens), np.concatenate(groups), np.concatenate(sizes)
                 for shard, i in _by_shard(t, shards):
-                    packed = t[i].astype(np.uint32).tobytes() + n[i].astype(np.uint32).tobytes() + g[i].tobytes()
-                    docs.append(("tokens", shard, None, len(i), None, None, None, packed))
-            # nullable whole numbers from the start: 64-bit hashes must not pass through doubles
-            kinds = ["object", *["Int64"] * 6, "object"]
-            yield pd.DataFrame({c: pd.array(list(x), dtype=k) for c, x, k in zip(_NAMES, zip(*docs, strict=True), kinds, strict=True)})
+                    rows.append(("tokens", shard, len(i), t[i].astype(np.uint32).tobytes() + n[i].tobytes() + g[i].tobytes()))
+            yield pd.DataFrame(rows, columns=["kind", "shard", "n", "data"])
 
     return run
 
 
-_NAMES = ["kind", "shard", "doc_id", "n", "s1", "s2", "group", "data"]
-_PREFIXES = "kind string, shard long, doc_id long, n long, s1 long, s2 long, group long, data binary"
+_PREFIXES = "kind string, shard long, n long, data binary"
+_JOINED = ["kind", "a", "b", "na", "nb", "c"]
 
 
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: pairs of groups with the number of prefix shingles that they share (kind 1), and the groups of
-    shingles that too many share (kind 0: a is the shingle, c the number of its groups)."""
+    """Of one shard: pairs of groups with the number of prefix shingles that they share (kind 1), the groups of shingles
+    that too many share (kind 0: a is the shingle, c the number of its groups), and its documents (kind 2: doc_id, first
+    digest, size, second digest, group)."""
+    is_docs = pdf["kind"].to_numpy() == "docs"
+    docs = np.frombuffer(b"".join(pdf["data"][is_docs]), np.int64).reshape(-1, 5)
+    rows = [pd.DataFrame({"kind": 2, "a": docs[:, 0], "b": docs[:, 2], "na": docs[:, 1], "nb": docs[:, 3], "c": docs[:, 4]})]
+    pdf = pdf[~is_docs]
+    if not len(pdf):
+        return rows[0]
     t, n, g = [], [], []
     for k, data in zip(pdf["n"], pdf["data"], strict=True):
         t.append(np.frombuffer(data, np.uint32, k))
@@ -145,7 +155,6 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     t, n, g = t[new], n[new], g[new]
     begin = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
     size = np.diff(begin, append=len(t))
-    rows = []
     hot = size > PAIRS
     for b, m in zip(begin[hot].tolist(), size[hot].tolist(), strict=True):
         shingle = (int(pdf["shard"].iloc[0]) << 32) | int(t[b])
@@ -168,7 +177,7 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
             first[1:] = (g[x][1:] != g[x][:-1]) | (g[y][1:] != g[y][:-1])
             at = np.flatnonzero(first)
             rows.append(pd.DataFrame({"kind": 1, "a": g[x[at]], "b": g[y[at]], "na": n[x[at]], "nb": n[y[at]], "c": np.diff(at, append=len(x))}))
-    return pd.concat(rows) if rows else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("kind", "a", "b", "na", "nb", "c")})
+    return pd.concat(rows)[_JOINED]
 
 
 def _overlaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
@@ -264,10 +273,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = np.argsort(h)
     sent = spark.sparkContext.broadcast((h[order], (len(h) - np.arange(len(h)))[order]))  # the most frequent last
 
-    made = staged(read.mapInPandas(_prefixes(sent, shards), _PREFIXES), "prefixes")
-    doc_rows = made.where("kind = 'doc'").select("doc_id", "n", "s1", "s2", "group")
-    classes = staged(doc_rows.where("s1 is not null").groupBy("s1", "s2", "group", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    joined = staged(made.where("kind = 'tokens'").select("shard", "n", "data").groupBy("shard").applyInPandas(_joined, "kind int, a long, b long, na long, nb long, c long"), "pairs")
+    # ids with nulls would become doubles on the way to Python
+    packed = read.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), "text").mapInPandas(_prefixes(sent, shards), _PREFIXES)
+    joined = staged(packed.groupBy("shard").applyInPandas(_joined, "kind int, a long, b long, na long, nb long, c long"), "joined")
+    known = lambda c: F.when(F.col("na") > 0, F.col(c))
+    doc_rows = joined.where("kind = 2").select(F.nullif("a", F.lit(int(LAST))).alias("doc_id"), F.col("na").alias("n"), known("b").alias("s1"), known("nb").alias("s2"), known("c").alias("group"))
+    classes = staged(doc_rows.where("s1 is not null").groupBy("s1", "s2", "group", "n").agg(F.min(F.coalesce("doc_id", F.lit(int(LAST)))).alias("rep")), "classes")
 
     # what two groups can still share after what their prefixes share
     p_a, p_b = (F.expr(f"{x} - cast(ceil({T} * {x} / 100) as bigint) + 1") for x in ("na", "nb"))
@@ -298,13 +309,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     in_cell = members.join(cells, "label").select("s1", "rep", "label", F.pmod(F.xxhash64("s1"), F.col("cells")).alias("cell"))
 
     def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache = WordIds()
         for pdf in batches:
             own = list(_sets(pdf["text"], cache))
             pdf = pdf.assign(own=[x.tobytes() for x in own], real=[_signature(x, 1) if len(x) else 0 for x in own])
             yield pdf.loc[pdf["real"] == pdf["s1"], ["s1", "label", "cell", "own"]]
 
-    with_text = join_counted(read, in_cell.withColumnRenamed("rep", "doc_id"), ["doc_id"], rows=300_000)
+    with_text = join_counted(read.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST)))), in_cell.withColumnRenamed("rep", "doc_id"), ["doc_id"], rows=300_000)
     held = staged(with_text.select("s1", "label", "cell", "text").mapInPandas(read_sets, "s1 long, label string, cell long, own binary"), "sets")
     left = meet.select("pair", F.lit(0).alias("side"), F.col("x").alias("label"), F.col("i").alias("cell"))
     right = meet.where("x <> y or i <> j").select("pair", F.lit(1).alias("side"), F.col("y").alias("label"), F.col("j").alias("cell"))
@@ -317,7 +328,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = reps.join(least, "label").groupBy("s1").agg(F.min("component_id").alias("component_id"))
     # equal sets may hold a third of all rows: adaptive execution splits them, or the other side is small
     out = join_counted(doc_rows, named, ["s1"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "s1")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.nullif("component_id", F.lit(int(LAST))), "doc_id").alias("component_id"), "s1")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

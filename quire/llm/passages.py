@@ -37,49 +37,65 @@ LEAST_BLOCKS = 48
 CACHED_WORDS = 400_000
 LAST = np.iinfo(np.int64).max
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+_FIND = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: What str.split() takes for white space beyond space and the control characters 9 to 13.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Odd multipliers of the two window hashes and of the phrase hash.
-_FACTORS = [np.random.default_rng(k).integers(1, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in range(3)]
+_FACTORS = [np.random.default_rng(k).integers(2**62, 2**63, 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in range(3)]
+CHUNK_WORDS = 1_000_000
 
 
-def word_ids(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words; the cache is emptied when it grows large."""
-    import xxhash
+def _WORDS(text: str) -> list[str]:
+    return _FIND(text) if _OTHER_SPACE(text) else text.split()
 
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    get, out = cache.get, []
-    for w in words:
-        if (h := get(w)) is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+
+class WordIds(dict):
+    """64-bit hashes of words, kept up to CACHED_WORDS."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+def word_ids(words: list[str], cache: WordIds) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def rolled(ids: np.ndarray, n: int, which: int) -> np.ndarray:
     """Hash of the n words from each position on."""
     m = len(ids) - n + 1
-    out = np.zeros(max(0, m), dtype=np.uint64)
-    for k in range(n if m > 0 else 0):
-        x = ids[k : k + m] * _FACTORS[which][k]
-        out += x ^ (x >> np.uint64(31))
+    if m <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = ids[:m].copy()
+    for k in range(1, n):
+        out *= _FACTORS[which]
+        out += ids[k : k + m]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    out ^= out >> np.uint64(32)
+    return out
 
 
-def anchors(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the anchor of each window, hash of the phrase at each position)."""
+def anchors(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the anchors of all windows, each once, hash of the phrase at each position) of documents that stand one
+    after the other; ends: where each ends. Windows across two documents do not count."""
     h = rolled(ids, PHRASE, 2)
-    value, at, width = h, np.arange(len(h)), 1
+    value, at, width = h, np.arange(len(h), dtype=np.int32), 1
     need = WINDOW - PHRASE + 1
-    while width < need:
+    while width < need and len(value):
         step = min(width, need - width)
         left, right = value[: len(value) - step], value[step:]
         less = right < left
         at, value = np.where(less, at[step:], at[: len(at) - step]), np.where(less, right, left)
         width += step
-    return at, h
+    starts = np.arange(len(at))
+    inside = starts + WINDOW <= ends[np.searchsorted(ends, starts, side="right")] if len(at) else np.zeros(0, bool)
+    at = at[inside]
+    return at[np.flatnonzero(np.diff(at, prepend=-1))], h
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -92,23 +108,28 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
             yield int(shard[part[0]]), part
 
 
-def _documents(pdf: pd.DataFrame, cache: dict[str, int]) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    for text in pdf["text"]:
-        words = _WORDS(text) if isinstance(text, str) else []
-        yield words, word_ids(words, cache)
+def _chunks(pdf: pd.DataFrame, cache: WordIds) -> Iterator[tuple[int, list[list[str]], np.ndarray, np.ndarray]]:
+    """(row of the first document, words of each, their ids in one line, ends of the documents on it)."""
+    first, words, ids, n = 0, [], [], 0
+    for k, text in enumerate(pdf["text"], 1):
+        words.append(_WORDS(text) if isinstance(text, str) else [])
+        ids.append(word_ids(words[-1], cache))
+        n += len(words[-1])
+        if n >= CHUNK_WORDS or k == len(pdf):
+            yield first, words, np.concatenate(ids), np.cumsum([len(x) for x in ids])
+            first, words, ids, n = k, [], [], 0
 
 
 def _phrases_of(blocks: int, shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache = WordIds()
         for pdf in batches:
             block, found = [], []
-            for b, (_, ids) in zip(pdf["block"], _documents(pdf, cache), strict=True):
-                if len(ids) >= WINDOW:
-                    at, h = anchors(ids)
-                    mine = h[at[np.flatnonzero(np.diff(at, prepend=-1))]]
-                    block.append(np.full(len(mine), b, dtype=np.int64))
-                    found.append(mine)
+            blocks_of = pdf["block"].to_numpy(np.int64)
+            for first, _, ids, ends in _chunks(pdf, cache):
+                at, h = anchors(ids, ends)
+                found.append(h[at])
+                block.append(blocks_of[first + np.searchsorted(ends, at, side="right")])
             if not found:
                 continue
             block, found = np.concatenate(block), np.concatenate(found)
@@ -184,24 +205,31 @@ _COLUMNS = ["kind", "block", "shard", "doc_id", "text", "n_words", "sha", "data"
 
 
 def _locate(shards: int):
+    """Step 2 of one block, for cogroup."""
+
     def run(docs: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
         """Of one block: documents without a located window are done; the others wait, and their windows go to shards."""
-        cache: dict[str, int] = {}
-        repeated = np.unique(_joined(phrases["h"], np.uint64)) if len(phrases) else np.zeros(0, np.uint64)
-        read = list(_documents(docs, cache))
-        strings, wanted = [], set()
-        for _, ids in read:
-            strings.append(None)
-            if len(ids) >= WINDOW and len(repeated):
-                at, h = anchors(ids)
-                at = np.unique(at)
-                at = at[np.isin(h[at], repeated, assume_unique=False)]
-                if len(at):
-                    strings[-1] = symbols(ids)
-                    wanted.update(strings[-1][k : k + PHRASE] for k in at.tolist())
+        cache = WordIds()
+        repeated = np.sort(_joined(phrases["h"], np.uint64)) if len(phrases) else np.zeros(0, np.uint64)
+        read, strings, wanted = [], [], set()
+        for _, words, ids, ends in _chunks(docs, cache):
+            at, h = anchors(ids, ends)
+            found = h[at]
+            if len(repeated):
+                at = at[repeated[np.minimum(np.searchsorted(repeated, found), len(repeated) - 1)] == found]
+            else:
+                at = at[:0]
+            line = symbols(ids)
+            wanted.update(line[k : k + PHRASE] for k in at.tolist())
+            begins = ends - [len(w) for w in words]
+            hit = np.zeros(len(words), bool)
+            hit[np.searchsorted(ends, at, side="right")] = True
+            for w, a, b, one in zip(words, begins.tolist(), ends.tolist(), hit.tolist(), strict=True):
+                read.append((w, ids[a:b]))
+                strings.append(line[a:b] if one else None)
         made = automaton(wanted) if wanted else None
         rows, win = [], []
-        for doc_id, text, (words, ids), string in zip(docs["doc_id"].fillna(LAST).astype("int64"), docs["text"], read, strings, strict=True):
+        for doc_id, text, (words, ids), string in zip(docs["doc_id"].tolist(), docs["text"], read, strings, strict=True):
             starts = located(string, made, len(ids) - WINDOW + 1) if string else ()
             if not len(starts):
                 rows.append(("done", None, None, doc_id, None, len(words), _kept(words, starts)[1], None, None))
@@ -272,7 +300,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shards = max(LEAST_BLOCKS, -(-total // (30 * SHARD_ROWS)))
     block = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("block")), F.lit(blocks)).cast("long")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
-    by_block = dealt.withColumn("text", F.coalesce("text", F.lit("")))
+    # ids with nulls would become doubles on the way to Python
+    by_block = dealt.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "block")
 
     phrases = dealt.select("block", "text").mapInPandas(_phrases_of(blocks, shards), "shard long, h binary, block binary")
     repeated = staged(phrases.groupBy("shard").applyInPandas(_repeated, "block long, h binary"), "phrases")
