@@ -1,7 +1,7 @@
 """Substring dedup with repeated-phrase automata.
 
 A window is WINDOW consecutive words of one document. Every window names its anchor, the phrase of PHRASE words in it with
-the least hash (the first, if equal); equal windows have equal anchors, and neighbours mostly share theirs, so a fifth of
+the least hash (the first, if equal); equal windows have equal anchors, and neighbours mostly share theirs, so a seventh of
 the positions stand for all.
 
 1. Anchors of all documents are counted by shards of their hash; those that occur twice are the repeated phrases.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 WINDOW = 20
-PHRASE = 12
+PHRASE = 8
 BLOCK_CHARS = 4_000_000
 SHARD_ROWS = 400_000
 LEAST_BLOCKS = 48
@@ -84,16 +84,18 @@ def anchors(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions of the anchors of all windows, each once, hash of the phrase at each position) of documents that stand one
     after the other; ends: where each ends. Windows across two documents do not count."""
     h = rolled(ids, PHRASE, 2)
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int32), h
     value, at, width = h, np.arange(len(h), dtype=np.int32), 1
     need = WINDOW - PHRASE + 1
-    while width < need and len(value):
+    while width < need:
         step = min(width, need - width)
         left, right = value[: len(value) - step], value[step:]
         less = right < left
         at, value = np.where(less, at[step:], at[: len(at) - step]), np.where(less, right, left)
         width += step
     starts = np.arange(len(at))
-    inside = starts + WINDOW <= ends[np.searchsorted(ends, starts, side="right")] if len(at) else np.zeros(0, bool)
+    inside = starts + WINDOW <= ends[np.searchsorted(ends, starts, side="right")]
     at = at[inside]
     return at[np.flatnonzero(np.diff(at, prepend=-1))], h
 
@@ -125,7 +127,7 @@ def _phrases_of(blocks: int, shards: int):
         cache = WordIds()
         for pdf in batches:
             block, found = [], []
-            blocks_of = pdf["block"].to_numpy(np.int64)
+            blocks_of = pdf["block"].to_numpy(np.int32)
             for first, _, ids, ends in _chunks(pdf, cache):
                 at, h = anchors(ids, ends)
                 found.append(h[at])
@@ -151,7 +153,7 @@ def _joined(column: pd.Series, kind) -> np.ndarray:
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one shard: the phrases that occur twice, by block."""
-    h, block = _joined(pdf["h"], np.uint64), _joined(pdf["block"], np.int64)
+    h, block = _joined(pdf["h"], np.uint64), _joined(pdf["block"], np.int32)
     order = np.lexsort((h, block))
     _, back, count = np.unique(h, return_inverse=True, return_counts=True)
     order = order[count[back[order]] > 1]
@@ -242,10 +244,10 @@ def _locate(shards: int):
             a, b, d, s = a[order], b[order], d[order], s[order]
             first = np.ones(len(a), bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b, d, s = a[first], b[first], d[first], s[first].astype(np.int64)
+            a, b, d, s = a[first], b[first], d[first], s[first].astype(np.int32)
             block = int(docs["block"].iloc[0])
             for shard, i in _by_shard(a, shards):
-                rows.append(("window", block, shard, None, None, None, None, np.stack([a[i], b[i]]).tobytes(), np.stack([d[i], s[i]]).tobytes()))
+                rows.append(("window", block, shard, None, None, None, None, np.stack([a[i], b[i]]).tobytes(), d[i].tobytes() + s[i].tobytes()))
         kinds = ["object", "Int64", "Int64", "Int64", "object", "Int64", "object", "object", "object"]
         return pd.DataFrame({c: pd.array(list(x), dtype=k) for c, x, k in zip(_COLUMNS, zip(*rows, strict=True), kinds, strict=True)})
 
@@ -255,9 +257,10 @@ def _locate(shards: int):
 def _first(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one shard: the first place of each window, told to its block."""
     keys = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in pdf["data"]]
-    at = [np.frombuffer(x, np.int64).reshape(2, -1) for x in pdf["more"]]
+    docs = [np.frombuffer(x, np.int64, k.shape[1]) for x, k in zip(pdf["more"], keys, strict=True)]
+    starts = [np.frombuffer(x, np.int32, k.shape[1], 8 * k.shape[1]) for x, k in zip(pdf["more"], keys, strict=True)]
     block = np.repeat(pdf["block"].to_numpy(np.int64), [k.shape[1] for k in keys])
-    (a, b), (d, s) = np.concatenate(keys, axis=1), np.concatenate(at, axis=1)
+    (a, b), d, s = np.concatenate(keys, axis=1), np.concatenate(docs), np.concatenate(starts)
     order = np.lexsort((s, d, b, a))
     a, b, d, s, block = a[order], b[order], d[order], s[order], block[order]
     first = np.ones(len(a), bool)

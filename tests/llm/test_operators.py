@@ -58,6 +58,14 @@ def test_passages(spark, seed):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == removed(rows)
 
 
+@pytest.mark.parametrize("n", range(0, 45, 3))
+def test_anchors_of_short_lines(n):
+    ids = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+    at, h = passages.anchors(ids, np.array([n]))
+    w = passages.WINDOW - passages.PHRASE + 1
+    assert at.tolist() == sorted({i + int(np.argmin(h[i : i + w])) for i in range(max(0, n - passages.WINDOW + 1))})
+
+
 def linked(rows):
     sets = {}
     for doc_id, text in rows:
