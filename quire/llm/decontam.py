@@ -4,7 +4,8 @@ A seed is a mask over SPAN consecutive tokens that ignores some positions. Each
 of the tokens that it selects; equal hashes of a benchmark item and a document are hits, also where a substitution falls on
 ignored positions. A hit places the item over the document (document start = hit - position in the item). The placed texts
 are then compared token by token around the hits: a run of the overlap with at least LEAST tokens, of which at most SLACK
-differ, confirms the leak.
+differ, confirms the leak. Items of fewer than SPAN tokens have no seed: they hit, and count, only where they stand whole
+and without a difference.
 
 Everything is DataFrame code. Token hashes are made once per text; masks are combinations of them. The benchmark's hashes
 are broadcast when they were counted to be small; beyond that both sides are joined by shuffle on the hash. Hits are
@@ -43,20 +44,33 @@ def _seeds(tokens: DataFrame, keep: list[str]) -> DataFrame:
     return at.select(*keep, "pos", F.explode(F.array(*hashes)).alias("seed"))
 
 
+def _whole(tokens: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """tokens to one row for each run of n tokens, as _seeds gives them: keep..., pos, seed (of the run and n)."""
+    last = F.size("h") - n
+    runs = F.posexplode(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice("h", k + 1, n))))
+    return tokens.select(*keep, runs.alias("pos", "t")).select(*keep, "pos", F.xxhash64(F.lit(-n), "t").alias("seed"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, slack: float = SLACK) -> DataFrame:
     """doc_id, item_id, start, n_tokens, n_equal, n_item: passages of benchmark items (item_id, text) in docs (doc_id, text).
 
     One row for each item in a document: the placement with most equal tokens (ties: the first). start counts the
     document's tokens from 0; n_tokens is the length of the confirmed run, n_equal the equal tokens in it, n_item the length
-    of the item. An item shorter than `least` must stand in the document whole. Items with fewer than SPAN tokens are too
-    short to tell and take no part. Null and blank texts have no tokens. Rows of equal doc_id are searched each and reported
+    of the item. The run is the one with the highest score (see _BEST_RUN) among those long enough. An item shorter than
+    `least` must stand in the document whole, one of fewer than SPAN tokens without a difference. Null and blank texts have no tokens. Rows of equal doc_id are searched each and reported
     as one. Other columns are ignored. Empty in, empty out.
     """
-    items = staged(benchmark.select("item_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h")).where(F.size("h") >= SPAN).distinct(), "items")
-    theirs = _seeds(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed")
+    items = staged(benchmark.select("item_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h")).where(F.size("h") > 0).distinct(), "items")
+    short = sorted(r["n"] for r in items.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # less than SPAN rows
+    theirs = _seeds(items, ["item_id"])
+    for n in short:
+        theirs = theirs.unionByName(_whole(items.where(F.size("h") == n), ["item_id"], n))
+    theirs = theirs.select("item_id", F.col("pos").alias("item_pos"), "seed")
     small = at_most(theirs, BROADCAST)
     tokens = docs.select("doc_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
     mine = _seeds(tokens, ["doc_id"])
+    for n in short:
+        mine = mine.unionByName(_whole(tokens, ["doc_id"], n))
     hits = mine.join(F.broadcast(theirs) if small else theirs, "seed")
     placed = staged(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "placed")
 
@@ -77,24 +91,28 @@ def _confirmed(docs: DataFrame, by_doc: DataFrame, items: DataFrame, least: int,
     return (
         found.withColumn("n_item", F.size("i"))
         .withColumn("equal", equal)
+        .withColumn("need", F.least(F.lit(least), F.col("n_item")))
         .drop("d", "i")
-        .withColumn("run", F.expr(_BEST_RUN.format(slack=slack)))
-        .where((F.col("run.n") >= F.least(F.lit(least), F.col("n_item"))))
+        .withColumn("run", F.expr(_BEST_RUN.format(slack=round(slack * _ONE), one=_ONE)))
+        .where((F.col("run.n") >= F.col("need")) & ((F.col("n_item") >= SPAN) | (F.col("run.equal") == F.col("n_item"))))
         .groupBy("doc_id", "item_id")
         .agg(F.max_by(F.struct((F.col("shift") + F.col("run.at")).alias("start"), F.col("run.n").alias("n_tokens"), F.col("run.equal").alias("n_equal"), "n_item"), F.struct("run.equal", -F.col("shift"))).alias("best"))
         .select("doc_id", "item_id", "best.*")
     )
 
 
-#: The run with the highest score, where an equal token scores slack and another slack - 1: in every run from its start on
-#: at most a share `slack` of the tokens differ. Ends of the document break a run.
-_BEST_RUN = """aggregate(transform(equal, (e, k) -> named_struct('e', e, 'k', k)),
-  named_struct('at', 0, 'n', 0, 'equal', 0, 'score', 0D, 'best', named_struct('at', 0, 'n', 0, 'equal', 0, 'score', 0D)),
-  (a, x) -> transform(array(
-      if(x.e is null, named_struct('at', x.k + 1, 'n', 0, 'equal', 0, 'score', 0D),
-      if(a.score + if(x.e = 1, {slack}D, {slack}D - 1D) < 0D, named_struct('at', x.k + 1, 'n', 0, 'equal', 0, 'score', 0D),
-         named_struct('at', a.at, 'n', a.n + 1, 'equal', a.equal + x.e, 'score', a.score + if(x.e = 1, {slack}D, {slack}D - 1D))))),
-    c -> named_struct('at', c.at, 'n', c.n, 'equal', c.equal, 'score', c.score, 'best', if(c.score > a.best.score, c, a.best)))[0],
+_ONE = 1_000_000
+#: Of the runs with at least `need` tokens of which at most a share `slack` differ, the one with the highest score, where an
+#: equal token scores slack and another slack - 1 (in millionths, so that sums are exact); n is 0 where there is none. A run
+#: scores its last prefix sum less the one before its start: o is the least such sum so far that lies `need` tokens back, l
+#: the latest one. Ties: the run that ends first, the longest of those. Tokens beyond the document's ends belong to no run.
+_BEST_RUN = """aggregate(transform(equal, (e, k) -> named_struct('e', e, 'k', k, 'back', if(k >= need, get(equal, k - need), null))),
+  named_struct('n', 0, 's', 0L, 'q', 0, 'l', named_struct('at', 0, 's', 0L, 'q', 0), 'o', named_struct('at', 0, 's', 0L, 'q', 0), 'best', named_struct('score', -1L, 'at', 0, 'n', 0, 'equal', 0)),
+  (a, x) -> if(x.e is null, a, transform(transform(array(named_struct('n', a.n + 1, 's', a.s + {slack}L - if(x.e = 1, 0L, {one}L), 'q', a.q + x.e, 'l',
+      if(a.n = 0, named_struct('at', x.k, 's', 0L, 'q', 0), if(a.n < need, a.l, named_struct('at', a.l.at + 1, 's', a.l.s + {slack}L - if(x.back = 1, 0L, {one}L), 'q', a.l.q + x.back))))),
+    c -> named_struct('n', c.n, 's', c.s, 'q', c.q, 'l', c.l, 'o', if(a.n = 0 or c.l.s < a.o.s, c.l, a.o))),
+    c -> named_struct('n', c.n, 's', c.s, 'q', c.q, 'l', c.l, 'o', c.o, 'best', if(c.n >= need and c.s - c.o.s > a.best.score,
+      named_struct('score', c.s - c.o.s, 'at', c.o.at, 'n', x.k + 1 - c.o.at, 'equal', c.q - c.o.q), a.best)))[0]),
   a -> a.best)"""
 
 

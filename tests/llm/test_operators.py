@@ -127,6 +127,42 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in decontam.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()} == {d for d, _ in docs} - {d for d, _ in planted}
 
 
+def best_run(equal, need):
+    """(score in fifths, equal, length) of the best run of at least need tokens with at most 20 % different; by trying all."""
+    runs = [(sum(equal[a:b]) * 5 - (b - a) * 4, a, b) for a in range(len(equal)) for b in range(a + need, len(equal) + 1)]
+    return max((s for s, _, _ in runs if s >= 0), default=None)
+
+
+def test_leaks_with_substitutions(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (4, 9, 10, 12, 13, *range(15, 21))]
+    docs, names = [], []
+    for n, text in items:
+        for at in [None, *range(n)]:
+            w = text.split()
+            if at is not None:
+                w[at] = "other"
+            names.append((n, at))
+            docs.append((len(docs), " ".join([f"b{k}" for k in range(7)] + w + [f"a{k}" for k in range(7)])))
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # one difference in ten tokens or more is within the rule at every place; shorter items stand exactly or not at all
+    assert {(x["doc_id"], x["item_id"]) for x in found} == {(d, n) for d, (n, at) in enumerate(names) if at is None or n >= 10}
+    assert all(x["n_tokens"] >= min(13, x["n_item"]) and 5 * x["n_equal"] >= 4 * x["n_tokens"] for x in found)
+
+
+def test_best_run_against_all_runs(spark):
+    r = random.Random(9)
+    rows = [(k, [None] * r.randint(0, 2) + [int(r.random() < r.choice((0.7, 0.85, 0.95))) for _ in range(r.randint(0, 40))] + [None] * r.randint(0, 2), r.choice((4, 10, 13))) for k in range(300)]
+    sql = decontam._BEST_RUN.format(slack=200_000, one=decontam._ONE)
+    got = spark.createDataFrame(rows, "k int, equal array<int>, need int").selectExpr("k", f"{sql} as run").collect()
+    for x in got:
+        _, equal, need = rows[x["k"]]
+        run, best = x["run"], best_run([e for e in equal if e is not None], need)
+        assert (run["n"] == 0) == (best is None)
+        if best is not None:
+            part = equal[run["at"] : run["at"] + run["n"]]
+            assert len(part) == run["n"] >= need and sum(part) == run["equal"] and run["equal"] * 5 - run["n"] * 4 == best
+
+
 def test_every_substitution_leaves_a_mask():
     assert all(any(m[at] == "0" for m in decontam.MASKS) for at in range(decontam.SPAN))
 
