@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Patterns match the same spans as the stated ones but cannot backtrack far or recurse deeply on very long runs.
-#: card: only runs of digits with 14 to 19 of them, as no other run can pass.
+#: card: only runs of digits with 14 to 19 of them, as no other run can pass. iban: the first four characters; _RUN follows.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])",
 }
+#: The longest run of words in capitals and digits that an IBAN may take, from its start; other words may have run into it.
+_RUN = "^[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+_RUN_CHARS = 68
 KINDS = list(PATTERNS)
 BASE = KINDS[:4]
 #: Score of a confirmed span, words that raise it, words that lower it.
@@ -85,7 +88,17 @@ def _proposed(kind: str) -> str:
         (a, i) -> named_struct('at', a.at + z.g[i - 1] + length(z.m[i - 1]), 'out', concat(a.out, array(
           named_struct('kind', '{kind}', 'start', a.at + z.g[i - 1], 'end', a.at + z.g[i - 1] + length(z.m[i - 1]), 'value', z.m[i - 1])))),
         a -> a.out))[0]"""
-    return f"if({HINT[kind]}, filter({spans}, s -> {_passes(kind, 's.value')}), {none})"
+    confirmed = _cut_ibans(spans, none) if kind == "iban" else f"filter({spans}, s -> {_passes(kind, 's.value')})"
+    return f"if({HINT[kind]}, {confirmed}, {none})"
+
+
+def _cut_ibans(spans: str, none: str) -> str:
+    """SQL: from each start, the longest run of whole words that passes; leftmost first and without overlap."""
+    run = f"split(regexp_extract(substr(__text, cast(s.start + 1 as int), {_RUN_CHARS}), '{_RUN}', 0), ' ')"
+    ends = f"filter(transform(sequence(size(w), 1, -1), k -> concat_ws(' ', slice(w, 1, k))), v -> {_passes('iban', 'v')})"
+    cut = f"""flatten(transform({spans}, s -> flatten(transform(array({run}), w -> transform(slice({ends}, 1, 1),
+      v -> named_struct('kind', 'iban', 'start', s.start, 'end', s.start + length(v), 'value', v))))))"""
+    return f"aggregate({cut}, {none}, (a, s) -> if(size(a) > 0 and s.start < element_at(a, -1).end, a, concat(a, array(s))))"
 
 
 def _scored(kind: str, spans: str) -> str:

@@ -234,6 +234,17 @@ def test_pii_adds_by_checksum_and_context(spark):
     assert got == [["iban"], [], ["ssn"], [], ["tel"], [], ["phone"]]
 
 
+def test_ibans_among_words_in_capitals(spark):
+    gb, no, be = "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "BE68 5390 0754 7034"
+    cases = [(f"IBAN {gb} BIC NWBKGB2L", [gb]), (f"{gb} EUR 100", [gb]), (f"{gb} 250.00", [gb]), (f"IBAN {gb}", [gb]), (f"{no} {be} EUR", [no, be]), (f"REF AB12 {gb} PAY", [gb]), (f"{gb}9 BIC", []), (f"{gb.replace('82', '83')} BIC NWBKGB2L", []), (f"é {be} I {no}", [be, no])]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text, ibans = cases[r["doc_id"]]
+        assert [s["value"] for s in r["spans"] if s["kind"] == "iban"] == ibans
+        assert all(text[s["start"] : s["end"]] == s["value"] for s in r["spans"])
+    assert pii.redact(df).where("doc_id = 0").first()["text"] == "IBAN <IBAN> BIC NWBKGB2L"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.c, 1.2.3.4!", 17), (2, None, None), (3, "none", 4)], "doc_id long, text string, n_chars long")
     assert [(r["text"], r["n_chars"]) for r in pii.redact(df).orderBy("doc_id").collect()] == [("é <EMAIL>, <IP>!", 16), (None, None), ("none", 4)]
