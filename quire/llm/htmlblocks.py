@@ -7,11 +7,15 @@ import re
 
 #: Elements that do not break a block.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulae stand in the line, with all that is in them.
+INLINE |= set("math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction".split())
 #: Elements without content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-OPAQUE = set("script style noscript template textarea select option svg math iframe object canvas head title video audio".split())
+OPAQUE = set("script style noscript template textarea select option svg iframe object canvas head title video audio".split())
 RAW = set("script style textarea title".split())
+#: Start tags that can stand in a head; any other one, and text, ends an open head.
+IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag of the key closes open elements of the value, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = set("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body".split())
@@ -58,17 +62,20 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
 
     def text(chunk: str) -> None:
         nonlocal linked
+        if names and names[-1] == "head" and chunk.strip():
+            pop()
         if chunk and not hidden:
             parts.append(chunk)
             if anchors:
                 linked += len(chunk)
 
-    def pop() -> None:
+    def pop() -> str:
         nonlocal hidden, anchors
         name = names.pop()
         marks.pop()
         hidden -= name in OPAQUE
         anchors -= name == "a"
+        return name
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -90,6 +97,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
                     pop()
                 pop()
             continue
+        if name == "body" and "head" in names or name not in IN_HEAD and names and names[-1] == "head":
+            while pop() != "head":
+                pass
         if name == "br":
             text(" ")
             continue

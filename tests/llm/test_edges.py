@@ -66,6 +66,14 @@ def test_odd_pages(spark):
     assert htmlmain.extract_main(pages.limit(0)).collect() == []
 
 
+def test_odd_pages_without_end_of_head(spark):
+    said = "The committee met on Monday, and after a long debate it agreed that the bridge should be built again next year. " * 3
+    html = ["<html><head><title>t</title>{}<body><nav><ul><li><a href=x>Home</a></ul></nav><article><p>" + said + "<p>" + said + "Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, " + said + "</article>"]
+    pages = spark.createDataFrame([(k, "u", html[0].format(end)) for k, end in enumerate(["", "</head>"])], "page_id long, url string, html string")
+    found = [r["text"] for r in htmlmain.extract_main(pages).orderBy("page_id").collect()]
+    assert found[0] == found[1] and found[0].count("committee") == 9 and "Where x=2 holds" in found[0]
+
+
 def test_odd_urls(spark):
     urls = ["http://A.Org", "http://a.org/", "https://x.example.org/en/12?a=/es/", "http://example.org/es/#x", None, "no scheme", "http:///path", "http://h://x/y", "http://q.com/fr/1", "http://q.com/de/", "", "http://" + "a" * 5000]
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, rule string, host string")

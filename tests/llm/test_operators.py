@@ -281,6 +281,23 @@ def test_blocks():
     assert htmlblocks.leaf_blocks("<p>a<p>b")[1][1] == ("p",)
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>t</title><body><p>one<p>two", ["one", "two"]),
+        ("<head><meta charset=x><link href=y><style>p{}</style><script>a</script><p>one", ["one"]),
+        ("<head><noscript><link href=y><img src=z></noscript><title>t</title><h1>one</h1>", ["one"]),
+        ("<head><noscript><p>hid<body><p>one", ["one"]),
+        ("<head><title>t</title>\n bare text<p>one", ["bare text", "one"]),
+        ("<head><title>t</title></head><body><p>one", ["one"]),
+        ("<head><title>t</title><img src=x>after", ["after"]),
+        ("<p>where <math display=block><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds<p>end", ["where x=2 holds", "end"]),
+    ],
+)
+def test_blocks_of_open_heads_and_formulae(page, texts):
+    assert [b[0] for b in htmlblocks.leaf_blocks(page)] == texts
+
+
 def test_field_on_held_out_pages():
     field = htmlmain.model()
     wrong = total = 0
