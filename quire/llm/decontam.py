@@ -58,7 +58,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, slack:
     document's tokens from 0; n_tokens is the length of the confirmed run, n_equal the equal tokens in it, n_item the length
     of the item. The run is the one with the highest score (see _BEST_RUN) among those long enough. An item shorter than
     `least` must stand in the document whole, one of fewer than SPAN tokens without a difference. Null and blank texts have no tokens. Rows of equal doc_id are searched each and reported
-    as one. Other columns are ignored. Empty in, empty out.
+    as one, those without a doc_id too. Other columns are ignored. Empty in, empty out.
     """
     items = staged(benchmark.select("item_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h")).where(F.size("h") > 0).distinct(), "items")
     short = sorted(r["n"] for r in items.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # less than SPAN rows
@@ -80,7 +80,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, slack:
 
 
 def _confirmed(docs: DataFrame, by_doc: DataFrame, items: DataFrame, least: int, slack: float) -> DataFrame:
-    found = join_counted(docs.select("doc_id", "text"), by_doc, ["doc_id"], rows=100_000)
+    # rows without a doc_id are searched as well
+    by_doc = by_doc.withColumnRenamed("doc_id", "hit_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(by_doc) if at_most(by_doc, 100_000) else by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
     found = found.select("doc_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("d"), "item_id", F.explode("shifts").alias("shift"))
     found = join_counted(found, items.withColumnRenamed("h", "i"), ["item_id"], rows=50_000)
     # equal[k]: whether token k of the item stands at its place in the document; null beyond the document's ends
@@ -117,9 +119,10 @@ _BEST_RUN = """aggregate(transform(equal, (e, k) -> named_struct('e', e, 'k', k,
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a passage of the benchmark; rows with a null doc_id have no name to go by and stay."""
-    bad = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return join_counted(docs, bad, ["doc_id"], "left_anti", rows=500_000)
+    """docs without the rows whose text holds a passage of the benchmark, whatever their doc_id."""
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    bad = find_leaks(keyed.select(F.col("__text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__text")).distinct()
+    return join_counted(keyed, bad, ["__text"], "left_anti", rows=500_000).select(*docs.columns)
 
 
 def op1_find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, join_counted, staged, table
+from .common import LOWER, UPPER, at_most, join_counted, staged, table
 from .passages import _FACTORS, _WORDS, LAST, WordIds, _by_shard, rolled, word_ids
 
 N = 5
@@ -331,14 +331,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.nullif("component_id", F.lit(int(LAST))), "doc_id").alias("component_id"), "s1")
 
 
+def _row_key(docs: DataFrame):
+    """bigint: a hash of all columns and of which are null; equal for rows that are equal throughout (maps take no part)."""
+    names = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*names, *(F.col(c).isNull() for c in names))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the least doc_id; of rows equal in that id too, all stay.
+    """docs with one row of each component: the one with the least doc_id (null is the greatest), then the least key.
 
-    Documents without words stay. Rows with a null doc_id stay.
+    Rows are told apart by a hash of all their columns, not by doc_id; of rows equal throughout one stays. Documents without
+    words stay.
     """
-    found = jaccard_components(docs)
-    out = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return join_counted(docs, out, ["doc_id"], "left_anti", rows=500_000)
+    keyed = docs.withColumn("__row", _row_key(docs))
+    found = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = staged(found.select(F.col("doc_id").alias("__row"), "component_id"), "rows")
+    crowded = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = join_counted(found, crowded, ["component_id"], "left_semi").distinct()
+    named = staged(join_counted(keyed.select("__row", "doc_id"), members, ["__row"], rows=500_000), "members").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")
+    best = named.groupBy("component_id").agg(first).select("first.__row")
+    kept = join_counted(keyed, join_counted(named.select("__row"), best, ["__row"], "left_anti"), ["__row"], "left_anti", rows=500_000)
+    repeated = staged(found.groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"), "repeated")
+    if at_most(repeated, 0):
+        return kept.select(*docs.columns)
+    once = join_counted(kept, repeated, ["__row"], "left_semi", rows=500_000).dropDuplicates(["__row"])
+    return join_counted(kept, repeated, ["__row"], "left_anti", rows=500_000).unionByName(once).select(*docs.columns)
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

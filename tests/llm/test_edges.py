@@ -52,6 +52,26 @@ def test_odd_jaccard(spark):
     assert (8, 5, 4) in rows
 
 
+def test_near_copies_of_equal_or_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (1, b, "s"), (0, a + " end", "s"), (None, c, "s"), (None, c, "s"), (None, c + " end", "s"), (2, d, "s"), (None, d, "s"), (3, "", "s"), (3, "", "s"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = ngramjoin.drop_near_copies(df)
+    assert found.columns == df.columns
+    found = [tuple(r) for r in found.collect()]
+    # (1, b) is clean though (1, a) goes; of c one of two texts stays, once; blank rows stay
+    assert sorted(map(str, [r for r in found if r[1] not in (c, c + " end")])) == sorted(map(str, [(1, b, "s"), (0, a + " end", "s"), (2, d, "s"), (3, "", "s"), (3, "", "s"), (None, None, None)]))
+    assert sum(r[1] in (c, c + " end") for r in found) == 1
+
+
+def test_leaks_of_equal_or_null_ids(spark):
+    item, clean = " ".join(f"i{k}" for k in range(20)), " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(None, f"x {item} y"), (None, clean), (1, item), (1, clean), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in decontam.find_leaks(df, bench).collect()) == ["1", "None"]
+    assert sorted(map(str, (tuple(r) for r in decontam.drop_leaks(df, bench).collect()))) == sorted(map(str, [(None, clean), (1, clean), (2, None)]))
+
+
 def test_odd_mix(spark):
     for r in mixing.mix_counts(docs(spark)).collect():
         assert 0 <= r["taken"] <= 2 * r["size"] and r["target"] <= 2 * r["source_size"]
