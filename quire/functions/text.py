@@ -170,8 +170,9 @@ def safe_file_name(col: Column, windows: bool = False) -> Column:
 
 
 def padded(index: Column, total: Column) -> Column:
-    """The index with leading zeros, as wide as the total."""
-    return F.lpad(index.cast("string"), F.length(total.cast("string")), F.lit("0"))
+    """The index with leading zeros, as wide as the total; a wider index stays whole."""
+    digits = index.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.length(total.cast("string"))), F.lit("0"))
 
 
 def decode_base64_lines(col: Column) -> Column:

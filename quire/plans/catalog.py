@@ -186,7 +186,7 @@ def pad_index(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     total = docs.agg(F.count("*").alias("total"))  # one row
     wide = docs.crossJoin(F.broadcast(total))
-    return wide.where(F.length(F.col("doc_id").cast("string")) <= F.length(F.col("total").cast("string"))).select("doc_id", T.padded(F.col("doc_id"), F.col("total")).alias("name"))
+    return wide.select("doc_id", T.padded(F.col("doc_id"), F.col("total")).alias("name"))
 
 
 @query("SELECT doc_id, md5(text) digest, md5(to_base64(encode(text))) encoded FROM documents")
