@@ -6,8 +6,8 @@ the positions stand for all.
 
 1. Anchors of all documents are counted by shards of their hash; those that occur twice are the repeated phrases.
 2. Documents are dealt by digest to blocks of about BLOCK_CHARS. For each block an Aho-Corasick automaton is compiled
-   (pyahocorasick) from the repeated phrases that the block holds, with one symbol for a word, and all documents of the
-   block stream through it. Only windows around a located phrase can repeat; their 128-bit hashes confirm it.
+   (pyahocorasick) from the repeated phrases that the block holds, with one symbol for a word. A document of
+   which no anchor is a repeated phrase holds no window that repeats and is passed over; the others stream through it. Only windows around a located phrase can repeat; their 128-bit hashes confirm it.
 3. A block reports the first place of each such window; by shards of the hash the first of all blocks is found and told
    back to its block. Every located window that is not first is covered.
 
