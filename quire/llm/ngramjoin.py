@@ -7,163 +7,225 @@ their prefixes of n - ceil(T n / 100) + 1 shingles, so
 1. documents with equal prefix and size become one group, and only groups are joined on prefix shingles, by shards of
    the shingle's hash;
 2. a pair of groups survives if the sizes allow a link and if the shingles that the prefixes share, with all that may
-   follow them, can reach the overlap that a link needs;
-3. surviving groups expand to their distinct sets (equal sets are one class), which meet in cells: near relatives share
-   a cell, and cells meet where a pair of groups asks for it. All sets of two cells are verified against each other;
-4. links become components by hooking and shortcutting.
+   follow them, can reach the overlap that a link needs. A prefix shingle with more than PAIRS groups makes no pairs: its
+   groups are a crowd;
+3. surviving groups and crowds expand to their distinct sets (equal sets are one class). Classes get a label, that of
+   their largest crowd or of their least relative, and a cell of at most CELL_SETS sets of that label. Within its cell each
+   set is verified against all others, and against a few pivots of its label, which join most of a crowd;
+4. only where a pair or a crowd still lies in several cells and in several components, the sets outside its largest
+   component are verified against all of it, block by block. So near copies of one text cost work in proportion to their
+   number, and no link between different components is left out;
+5. links become components by contraction.
 
 Which shingles count as frequent changes the order only, never the result: each task reports its most frequent ones, and
-the sums rank them. A prefix shingle with more than PAIRS groups makes no pairs; its groups are all given to cells, in
-which blocks of at most CELL_SETS sets meet, so no task holds an unbounded group and no pair of it is lost or listed.
+the sums rank them. Any shingle may be treated as a crowd, so the hottest ones never meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, at_most, join_counted, staged, table
-from .passages import _FACTORS, _WORDS, LAST, WordIds, _by_shard, rolled, word_ids
+from .common import at_most, join_counted, staged, table
+from .lanes import Line, by_shard, lines, rolled, text_bytes
 
 N = 5
 T = 75
 PAIRS = 40
+#: Documents from which on a shingle is a crowd at once.
+HOT = 4_000
 CELL_SETS = 200
-CELL_SHINGLES = 2_000_000
+CELL_SHINGLES = 500_000
+#: Random pivots of a label, besides its most typical set.
+PIVOTS = 5
 SHARD_ROWS = 500_000
 LEAST_SHARDS = 48
-#: Frequent shingles that a task reports and that are ranked in all (16 bytes each).
-TASK_FREQUENT, FREQUENT = 60_000, 400_000
-
-
-def shingles(ids: np.ndarray, n: int = N) -> np.ndarray:
-    """Sorted distinct shingles of a document's word hashes; fewer than n words make one."""
-    if len(ids) >= n:
-        return np.unique(rolled(ids, n, 0))
-    return rolled(ids, len(ids), 0) + np.uint64(len(ids)) if len(ids) else ids
+#: Frequent shingles that a task reports and that are ranked in all (16 bytes each); shingles that a task counts at a time.
+TASK_FREQUENT, FREQUENT, COUNTED = 60_000, 400_000, 2_000_000
+#: Links that one task solves at once; beyond that they are contracted first.
+SOLVED = 500_000
+#: Stands for a null doc_id.
+LAST = np.iinfo(np.int64).max
 
 
 def prefix_size(n, t: int = T):
     return n + (-t * n) // 100 + 1
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: int = T) -> np.ndarray:
-    """The first shingles of a set in the common order. frequent: sorted; rank: of each of them."""
+def sets_of(words: Line, n: int = N) -> list[np.ndarray]:
+    """Sorted distinct shingles of each document; fewer than n words make one."""
+    every, out = rolled(words.ids, n, 0), []
+    for a, b in zip(words.cuts[:-1].tolist(), words.cuts[1:].tolist(), strict=True):
+        if b - a < n:
+            out.append(rolled(words.ids[a:b], b - a, 0) + np.uint64(b - a) if b > a else every[:0])
+            continue
+        own = np.sort(every[a : b - n + 1])
+        new = own[1:] != own[:-1]
+        out.append(own if new.all() else own[np.concatenate([[True], new])])
+    return out
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: int = T) -> tuple[np.ndarray, np.ndarray]:
+    """(the first shingles of a set in the common order, place in `frequent` of each, -1 for rare ones). frequent: sorted;
+    rank: of each of them."""
     p = prefix_size(len(own), t)
     if not len(frequent):
-        return own[:p]
+        return own[:p], np.full(min(p, len(own)), -1)
     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
     often = frequent[at] == own
-    rare = own[~often]
-    if len(rare) >= p:
-        return rare[:p]
-    late = own[often][np.argsort(rank[at[often]])]
-    return np.concatenate([rare, late[: p - len(rare)]])
+    rare = own[~often][:p]
+    late = at[often]
+    late = late[np.argsort(rank[late])][: p - len(rare)]
+    return np.concatenate([rare, frequent[late]]), np.concatenate([np.full(len(rare), -1), late])
+
+
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent shingles of a task, and in how many documents; equal sets that come close together count once."""
+    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+    seen: set[int] = set()
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, count = np.unique(np.concatenate(waiting), return_counts=True)
+        both, back = np.unique(np.concatenate([h, new[count > 1]]), return_inverse=True)
+        sums = np.bincount(back, np.concatenate([n, count[count > 1]]), len(both)).astype(np.int64)
+        best = np.sort(np.argsort(-sums, kind="stable")[:TASK_FREQUENT])
+        return both[best], sums[best]
+
+    size = 0
+    for batch in batches:
+        for words in lines(*text_bytes(batch.column(0)), fold=True):
+            for own in sets_of(words):
+                digest = xxhash.xxh3_64_intdigest(own)
+                if len(own) and digest not in seen:
+                    seen.add(digest)
+                    waiting.append(own)
+                    size += len(own)
+            if size > COUNTED:
+                h, n = merged()
+                waiting.clear()
+                seen.clear()
+                size = 0
+    if waiting:
+        h, n = merged()
+    yield _batch(["h", "n"], h.view(np.int64), n)
+
+
+_DOCS, _TOKENS, _CROWD = 2, 1, 0
+_PACKED = "kind int, shard long, n long, data binary"
+
+
+def _prefixes(sent, shards: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents, and the prefix shingles of their groups, packed by shard; a group goes out once for each of the parts
+        in which a task packs. Shingles of `hot` documents are dealt by group."""
+        frequent, rank, count = sent.value
+        docs, tokens, crowd, sizes, seen = [], [], [], 0, set()
+
+        def packed() -> pa.RecordBatch:
+            rows = []
+            d = np.array(docs, dtype=np.int64)
+            for shard, i in by_shard(np.arange(len(d), dtype=np.uint64) << np.uint64(20), shards):
+                rows.append((_DOCS, shard, len(i), d[i].tobytes()))
+            for kind, found in ((_TOKENS, tokens), (_CROWD, crowd)):
+                if found:
+                    t = np.concatenate([x[0] for x in found])
+                    g = np.repeat(np.array([x[1] for x in found], np.int64), [len(x[0]) for x in found])
+                    n = np.repeat(np.array([x[2] for x in found], np.uint32), [len(x[0]) for x in found])
+                    m = np.concatenate([x[3] for x in found]) if kind == _CROWD else None
+                    for shard, i in by_shard(t if kind == _TOKENS else g.view(np.uint64), shards):
+                        rows.append((kind, shard, len(i), t[i].tobytes() + g[i].tobytes() + n[i].tobytes() + (m[i].tobytes() if kind == _CROWD else b"")))
+            for x in (docs, tokens, crowd, seen):
+                x.clear()
+            kinds, dealt, n, data = zip(*rows, strict=True)
+            return _batch(["kind", "shard", "n", "data"], np.array(kinds, np.int32), np.array(dealt, np.int64), np.array(n, np.int64), pa.array(data, pa.binary()))
+
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for words in lines(*text_bytes(batch.column(2)), fold=True):
+                for k, own in enumerate(sets_of(words), words.first):
+                    if not len(own):
+                        docs.append((ids[k], keys[k], 0, 0, 0, 0))
+                        continue
+                    first, at = prefix(own, frequent, rank)
+                    group = xxhash.xxh3_64_intdigest(first, seed=len(own))
+                    digest = xxhash.xxh3_128_intdigest(own)
+                    docs.append((ids[k], keys[k], len(own), *np.array([digest >> 64, digest & (2**64 - 1), group], np.uint64).view(np.int64).tolist()))
+                    if group not in seen:
+                        seen.add(group)
+                        signed = docs[-1][-1]
+                        many = np.zeros(len(first), bool) if not len(count) else (at >= 0) & (count[at] >= hot)
+                        tokens.append((first[~many], signed, len(own)))
+                        if many.any():
+                            crowd.append((first[many], signed, len(own), count[at[many]]))
+                        sizes += len(first)
+                if sizes > SHARD_ROWS or len(docs) > SHARD_ROWS:
+                    yield packed()
+                    sizes = 0
+        if docs:
+            yield packed()
 
-
-def _sets(texts: pd.Series, cache: WordIds) -> Iterator[np.ndarray]:
-    for text in texts:
-        yield shingles(word_ids(_WORDS(text), cache) if isinstance(text, str) else np.zeros(0, np.uint64))
+    return run
 
 
-def _signature(own: np.ndarray, seed: int) -> int:
-    import xxhash
+_JOINED = ["kind", "a", "b", "c", "d", "e", "f"]
 
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), seed=seed))))
 
+def _rows(kind: int, *columns) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(_JOINED, (kind, *columns), strict=False))).reindex(columns=_JOINED, fill_value=0)
 
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = WordIds()
-    sums: dict[int, int] = {}
-    for pdf in batches:
-        found = {s.tobytes(): s for s in _sets(pdf["text"], cache) if len(s)}  # equal sets count once
-        if not found:
-            continue
-        h, count = np.unique(np.concatenate(list(found.values())), return_counts=True)
-        often = count >= 2
-        h, count = h[often], count[often]
-        if len(h) > TASK_FREQUENT:
-            top = np.argpartition(-count, TASK_FREQUENT)[:TASK_FREQUENT]
-            h, count = h[top], count[top]
-        for a, b in zip(h.tolist(), count.tolist(), strict=True):
-            sums[a] = sums.get(a, 0) + b
-        if len(sums) > 4 * TASK_FREQUENT:
-            sums = dict(sorted(sums.items(), key=lambda x: -x[1])[:TASK_FREQUENT])
-    best = sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:TASK_FREQUENT]
-    yield pd.DataFrame({"h": np.array([a for a, _ in best], dtype=np.uint64).astype(np.int64), "n": [b for _, b in best]})
-
-
-def _prefixes(sent, shards: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Documents, and the prefix shingles of their groups, packed by shard; a group of a batch goes out once."""
-        frequent, rank = sent.value
-        cache = WordIds()
-        for pdf in batches:
-            docs, tokens, groups, sizes, seen, rows = [], [], [], [], set(), []
-            for doc_id, own in zip(pdf["doc_id"].tolist(), _sets(pdf["text"], cache), strict=True):
-                if not len(own):
-                    docs.append((doc_id, 0, 0, 0, 0))
-                    continue
-                first = prefix(own, frequent, rank)
-                group = _signature(first, len(own))
-                docs.append((doc_id, len(own), _signature(own, 1), _signature(own, 2), group))
-                if group not in seen:
-                    seen.add(group)
-                    tokens.append(first)
-                    groups.append(np.full(len(first), group, dtype=np.int64))
-                    sizes.append(np.full(len(first), len(own), dtype=np.uint32))
-            docs = np.array(docs, dtype=np.int64)
-            for shard, i in _by_shard(docs[:, 0].astype(np.uint64) * _FACTORS[0], shards):
-                rows.append(("docs", shard, len(i), docs[i].tobytes()))
-            if tokens:
-                t, g, n = np.concatenate(tokens), np.concatenate(groups), np.concatenate(sizes)
-                for shard, i in _by_shard(t, shards):
-                    rows.append(("tokens", shard, len(i), t[i].astype(np.uint32).tobytes() + n[i].tobytes() + g[i].tobytes()))
-            yield pd.DataFrame(rows, columns=["kind", "shard", "n", "data"])
 
-    return run
+def _unpacked(pdf: pd.DataFrame, *kinds) -> list[np.ndarray]:
+    """Columns that were packed one after the other, each row's k values of each kind."""
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for k, data in zip(pdf["n"].tolist(), pdf["data"], strict=True):
+        at = 0
+        for part, kind in zip(parts, kinds, strict=True):
+            part.append(np.frombuffer(data, kind, k, at))
+            at += k * np.dtype(kind).itemsize
+    return [np.concatenate(p) if p else np.zeros(0, kind) for p, kind in zip(parts, kinds, strict=True)]
 
 
-_PREFIXES = "kind string, shard long, n long, data binary"
-_JOINED = ["kind", "a", "b", "na", "nb", "c"]
+def _distinct(*keys: np.ndarray) -> np.ndarray:
+    """Places of the first of equal keys, in the order of the keys (the last key counts most)."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order[new]
 
 
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: pairs of groups with the number of prefix shingles that they share (kind 1), the groups of shingles
-    that too many share (kind 0: a is the shingle, c the number of its groups), and its documents (kind 2: doc_id, first
-    digest, size, second digest, group)."""
-    is_docs = pdf["kind"].to_numpy() == "docs"
-    docs = np.frombuffer(b"".join(pdf["data"][is_docs]), np.int64).reshape(-1, 5)
-    rows = [pd.DataFrame({"kind": 2, "a": docs[:, 0], "b": docs[:, 2], "na": docs[:, 1], "nb": docs[:, 3], "c": docs[:, 4]})]
-    pdf = pdf[~is_docs]
-    if not len(pdf):
-        return rows[0]
-    t, n, g = [], [], []
-    for k, data in zip(pdf["n"], pdf["data"], strict=True):
-        t.append(np.frombuffer(data, np.uint32, k))
-        n.append(np.frombuffer(data, np.uint32, k, 4 * k))
-        g.append(np.frombuffer(data, np.int64, k, 8 * k))
-    t, n, g = np.concatenate(t), np.concatenate(n).astype(np.int64), np.concatenate(g)
-    order = np.lexsort((g, t))
-    t, n, g = t[order], n[order], g[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-    t, n, g = t[new], n[new], g[new]
-    begin = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
+    """Of one shard: groups of shingles that too many share (kind 0: shingle, number of its groups, group), pairs of groups
+    with the number of prefix shingles that they share (kind 1: a, b, sizes of both, shared), and its documents (kind 2:
+    doc_id, key, size, both halves of the digest, group)."""
+    docs = np.frombuffer(b"".join(pdf["data"][pdf["kind"] == _DOCS]), np.int64).reshape(-1, 6)
+    rows = [_rows(_DOCS, *docs.T)]
+    t, g, _, m = _unpacked(pdf[pdf["kind"] == _CROWD], np.int64, np.int64, np.uint32, np.int64)
+    one = _distinct(t, g)
+    rows.append(_rows(_CROWD, t[one], m[one], g[one]))
+    t, g, n = _unpacked(pdf[pdf["kind"] == _TOKENS], np.int64, np.int64, np.uint32)
+    one = _distinct(g, t)
+    t, g, n = t[one], g[one], n[one].astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]]))
     size = np.diff(begin, append=len(t))
-    hot = size > PAIRS
-    for b, m in zip(begin[hot].tolist(), size[hot].tolist(), strict=True):
-        shingle = (int(pdf["shard"].iloc[0]) << 32) | int(t[b])
-        rows.append(pd.DataFrame({"kind": 0, "a": shingle, "b": g[b : b + m], "na": 0, "nb": n[b : b + m], "c": m}))
+    crowded = np.repeat(size > PAIRS, size)
+    rows.append(_rows(_CROWD, t[crowded], np.repeat(size, size)[crowded], g[crowded]))
     left, right = [], []
-    for m in range(2, PAIRS + 1):
-        at = begin[size == m]
+    for k in range(2, PAIRS + 1):
+        at = begin[size == k]
         if len(at):
-            i, j = np.triu_indices(m, 1)
+            i, j = np.triu_indices(k, 1)
             left.append((at[:, None] + i[None, :]).ravel())
             right.append((at[:, None] + j[None, :]).ravel())
     if left:
@@ -172,19 +234,16 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = x[fits], y[fits]
         order = np.lexsort((g[y], g[x]))
         x, y = x[order], y[order]
-        if len(x):
-            first = np.ones(len(x), bool)
-            first[1:] = (g[x][1:] != g[x][:-1]) | (g[y][1:] != g[y][:-1])
-            at = np.flatnonzero(first)
-            rows.append(pd.DataFrame({"kind": 1, "a": g[x[at]], "b": g[y[at]], "na": n[x[at]], "nb": n[y[at]], "c": np.diff(at, append=len(x))}))
-    return pd.concat(rows)[_JOINED]
-
-
-def _overlaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by sums over the shingles that two or more sets hold."""
-    every = first + second
-    flat = np.concatenate(every)
-    owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (g[x][1:] != g[x][:-1]) | (g[y][1:] != g[y][:-1])]))
+        rows.append(_rows(_TOKENS, g[x[at]], g[y[at]], n[x[at]], n[y[at]], np.diff(at, append=len(x))))
+    return pd.concat(rows)
+
+
+def _overlaps(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of the intersections of the first `cut` sets with the others (with all, if there are no others), by sums over
+    the shingles that two or more sets hold."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
@@ -192,146 +251,231 @@ def _overlaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(new) - 1
     many = np.bincount(column)[column] > 1
     column, owner = column[many], owner[many]
-    out = np.zeros((len(first), len(second)), dtype=np.float32)
+    same = cut == len(sets)
+    out = np.zeros((cut, cut if same else len(sets) - cut), dtype=np.float32)
     if not len(column):
         return out
     column = np.cumsum(np.diff(column, prepend=column[0]) > 0)
-    step = 4096
+    step = 2048
     for a in range(0, int(column[-1]) + 1, step):
         lo, hi = np.searchsorted(column, a), np.searchsorted(column, a + step)
-        x = np.zeros((len(every), step), dtype=np.float32)
+        x = np.zeros((len(sets), step), dtype=np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
-        out += x[: len(first)] @ x[len(first) :].T
+        out += x[:cut] @ (x if same else x[cut:]).T
     return out
 
 
+def solved(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices of the links (u, v), least vertex of the component of each), by hooking and shortcutting."""
+    ids, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back[: len(u)], back[len(u) :]
+    label = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return ids, ids[label]
+
+
 def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of two cells (or one): links that join all its sets which link, as stars from the least member."""
-    pdf = pdf.drop_duplicates(["side", "s1"]).sort_values(["side", "s1"])
-    ids = pdf["s1"].to_numpy(np.int64)
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["own"]]
-    one = pdf["side"].to_numpy() == 0
-    cut = int(one.sum())
-    same = cut == len(sets)
-    first, second = sets[:cut], sets if same else sets[cut:]
-    if not first or not second:
-        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-    both = _overlaps(first, second).astype(np.int64)
-    n, m = np.array([len(x) for x in first]), np.array([len(x) for x in second])
-    x, y = np.nonzero(100 * both >= T * (n[:, None] + m[None, :] - both))
-    top = {}
-
-    def root(v: int) -> int:
-        while top.setdefault(v, v) != v:
-            top[v] = top[top[v]]
-            v = top[v]
-        return v
-
-    for a, b in zip(ids[:cut][x].tolist(), (ids if same else ids[cut:])[y].tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            top[max(a, b)] = min(a, b)
-    star = [(root(v), v) for v in list(top)]
-    star = [(a, v) for a, v in star if a != v]
-    return pd.DataFrame(star, columns=["u", "v"]).astype("int64")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(v, label): for each vertex of links (u, v), the least vertex of its component.
+    """Of whole cells, or meetings of two blocks (side 0 and 1): links that join all their sets which link, as stars."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for _, cell in pdf.groupby("cell", sort=False):
+        cell = cell.drop_duplicates(["side", "v"]).sort_values("side", kind="stable")
+        sets = [np.frombuffer(x, np.uint64) for x in cell["own"]]
+        ids, cut = cell["v"].to_numpy(np.int64), int((cell["side"] == 0).sum())
+        if len(sets) < 2 or not cut:
+            continue
+        n = np.array([len(x) for x in sets])
+        both = _overlaps(sets, cut).astype(np.int64)
+        others = slice(None) if cut == len(sets) else slice(cut, None)
+        x, y = np.nonzero(100 * both >= T * (n[:cut, None] + n[None, others] - both))
+        v, top = solved(ids[:cut][x], ids[others][y])
+        found.append((top[top != v], v[top != v]))
+    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = [(pdf["u"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)) for pdf in batches]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        v, label = solved(u, v)
+        yield pd.DataFrame({"v": v, "label": label})
 
-    Each round a vertex takes the least label among its neighbours', then the label of that label, until nothing changes;
-    the number of rounds grows with the logarithm of the longest path.
-    """
-    both = staged(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "v"), "labels")
-    while True:
-        near = both.join(labels, "v").groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "v")
-        lower = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        new = staged(lower.join(up, "label").select("v", "old", F.least("label", "up").alias("label")), "labels")
-        labels = new.select("v", "label")
-        if not new.where("old <> label").limit(1).count():
-            return labels
 
+def components(links: DataFrame, most: int = SOLVED) -> DataFrame:
+    """(v, label): for each vertex of links (u, v), the least vertex of its component.
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, s1, one row for each row of docs (doc_id, text).
+    While there are more than `most` links, every vertex is merged with the neighbour of least digest, if that is less than
+    its own, and links are drawn between what remains; digests are random, so each round removes a constant share of the
+    vertices, whatever the shape of the components. One task solves the rest.
+    """
+    links, merged = staged(links.where("u <> v").distinct(), "links"), []
+    while not at_most(links, most):
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+        near = staged(near.select("u", F.when(F.xxhash64("v") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("to")), "merged")
+        merged.append(near)
+        to = links.join(near, "u").select(F.col("to").alias("u"), "v").join(near.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
+        links = staged(to.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    labels = staged(links.repartition(1).mapInPandas(_solve, "v long, label long"), "labels")
+    for near in reversed(merged):
+        up = labels.select(F.col("v").alias("to"), "label")
+        labels = staged(near.join(up, "to", "left").select(F.col("u").alias("v"), F.coalesce("label", "to").alias("label")), "labels")
+    if merged:
+        least = labels.groupBy("label").agg(F.min("v").alias("least"))
+        labels = staged(labels.join(least, "label").select("v", F.col("least").alias("label")), "labels")
+    return labels
+
+
+def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the classes that a document stands for; a task gives each class once."""
+    seen: set[int] = set()
+    for batch in batches:
+        ids, text = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1)
+        s1, s2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        keep, own = [], []
+        for words in lines(*text_bytes(text), fold=True):
+            for k, x in enumerate(sets_of(words), words.first):
+                if ids[k] not in seen and xxhash.xxh3_128_intdigest(x) == ((s1[k] & (2**64 - 1)) << 64 | (s2[k] & (2**64 - 1))):
+                    seen.add(ids[k])
+                    keep.append(k)
+                    own.append(x.tobytes())
+        rest = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rest.column(k) for k in (0, 3, 4, 5)] + [pa.array(own, pa.binary())], ["v", "label", "cell", "pivot", "own"])
+
+
+def _dealt(key: str, n: Column) -> Column:
+    """A block of `key`: its rows are dealt to n blocks by the digest of v."""
+    return F.xxhash64(F.lit(key), key, F.pmod(F.xxhash64("v"), n))
+
+
+def _verified(sets: DataFrame, shingles: int) -> DataFrame:
+    """Links of sets (cell, side, v, own); cells go to Python in bundles of bounded size."""
+    bundles = max(LEAST_SHARDS, -(-shingles // CELL_SHINGLES))
+    return sets.withColumn("bundle", F.pmod(F.xxhash64("cell"), F.lit(bundles))).groupBy("bundle").applyInPandas(_linked, "u long, v long")
+
+
+def open_keys(keys: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of keys (key, group), groups that may link, those that lie in several cells and in several components of
+    placed (v, group, label, cell, comp, n)."""
+    ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "comp") for name, f in (("low", F.min), ("high", F.max))]
+    by_group = placed.groupBy("group").agg(*ends)
+    ends = [f(f"{name}_{c}").alias(f"{name}_{c}") for c in ("cell", "comp") for name, f in (("low", F.min), ("high", F.max))]
+    apart = keys.join(by_group, "group").groupBy("key").agg(*ends).where("low_cell <> high_cell and low_comp <> high_comp").select("key")
+    return staged(keys.join(apart, "key", "left_semi"), "open")
+
+
+def meetings(open_: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, n, block of each class of an open key; meet, x, y: blocks that must be verified against each other).
+
+    A block holds at most CELL_SETS classes: of one component where that is large, else of a label. Of each key, the blocks
+    outside its largest component meet all its blocks but those of their own component.
+    """
+    of_key = open_.join(placed.select("v", "group"), "group").select("key", "v")
+    here = staged(placed.join(of_key.select("v").distinct(), "v", "left_semi"), "here")
+    large = here.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where(F.col("k") >= CELL_SETS // 2).select("comp", F.greatest(F.ceil(F.col("k") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).alias("of_comp"))
+    here = here.join(large, "comp", "left")
+    rest = here.where("of_comp is null").groupBy("label").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("of_label"))
+    here = here.join(rest, "label", "left")
+    pure = F.when(F.col("of_comp").isNotNull(), F.col("comp"))
+    block = F.when(pure.isNotNull(), _dealt("comp", F.col("of_comp"))).otherwise(_dealt("label", F.col("of_label")))
+    here = staged(here.select("v", "n", block.alias("block"), pure.alias("pure")), "blocks")
+
+    of_key = staged(of_key.join(here, "v").groupBy("key", "block", "pure").agg(F.count("*").alias("k")), "of-key")
+    home = of_key.where("pure is not null").groupBy("key", "pure").agg(F.sum("k").alias("k")).groupBy("key").agg(F.max_by("pure", "k").alias("home"))
+    outside = of_key.join(home, "key", "left").where("pure is null or pure <> home").selectExpr("key", "block as x", "pure as pure_x")
+    meet = outside.join(of_key.selectExpr("key", "block as y", "pure as pure_y"), "key").where("pure_x is null or pure_y is null or pure_x <> pure_y")
+    meet = meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return here.select("v", "n", "block"), staged(meet.withColumn("meet", F.xxhash64("x", "y")), "meet")
+
+
+def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id, label, key, one row for each row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach from the document. Fewer than N words make one shingle, the whole
-    sequence; null and blank texts have an empty set, link with nothing and keep their own id (their s1 is null). Rows of
+    sequence; null and blank texts have an empty set, link with nothing and keep their own id (their label is null). Rows of
     equal sets link, so repeated rows share a component; rows of equal doc_id and other text are vertices of their own.
-    A null doc_id is never the least one unless it is alone. Empty in, empty out; other columns are ignored.
+    A null doc_id is never the least one unless it is alone. label tells components apart also where doc_ids repeat. key
+    (bigint, by default a digest of the text) comes with each row. Empty in, empty out; other columns are ignored.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate("text", UPPER, LOWER).alias("text"))
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    key = F.xxhash64("text") if key is None else key
+    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // (24 * SHARD_ROWS)))
 
-    often = read.select("text").mapInPandas(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > PAIRS // 2)
-    rows = often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h = np.array([r["h"] for r in rows], dtype=np.int64).astype(np.uint64)
+    often = read.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > PAIRS // 2)
+    ranked = often.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, count = ranked["h"].to_numpy().view(np.uint64), ranked["n"].to_numpy()
     order = np.argsort(h)
-    sent = spark.sparkContext.broadcast((h[order], (len(h) - np.arange(len(h)))[order]))  # the most frequent last
+    sent = spark.sparkContext.broadcast((h[order], (len(h) - np.arange(len(h)))[order], count[order]))  # the most frequent last
 
-    # ids with nulls would become doubles on the way to Python
-    packed = read.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), "text").mapInPandas(_prefixes(sent, shards), _PREFIXES)
-    joined = staged(packed.groupBy("shard").applyInPandas(_joined, "kind int, a long, b long, na long, nb long, c long"), "joined")
-    known = lambda c: F.when(F.col("na") > 0, F.col(c))
-    doc_rows = joined.where("kind = 2").select(F.nullif("a", F.lit(int(LAST))).alias("doc_id"), F.col("na").alias("n"), known("b").alias("s1"), known("nb").alias("s2"), known("c").alias("group"))
-    classes = staged(doc_rows.where("s1 is not null").groupBy("s1", "s2", "group", "n").agg(F.min(F.coalesce("doc_id", F.lit(int(LAST)))).alias("rep")), "classes")
+    packed = read.mapInArrow(_prefixes(sent, shards, hot), _PACKED)
+    joined = staged(packed.groupBy("shard").applyInPandas(_joined, "kind int, a long, b long, c long, d long, e long, f long"), "joined")
+    doc_rows = joined.where(f"kind = {_DOCS}").selectExpr("a as doc_id", "b as key", "c as n", "d as s1", "e as s2", "f as group")
+    classes = doc_rows.where("n > 0").groupBy("s1", "s2", "group", "n").agg(F.min("doc_id").alias("rep"), F.min_by("key", "doc_id").alias("key"), F.count("*").alias("rows"))
+    classes = staged(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
 
     # what two groups can still share after what their prefixes share
+    pairs = joined.where(f"kind = {_TOKENS}").selectExpr("a", "b", "c as na", "d as nb", "e as c")
     p_a, p_b = (F.expr(f"{x} - cast(ceil({T} * {x} / 100) as bigint) + 1") for x in ("na", "nb"))
-    reach = F.sum("c") + F.greatest(F.first("na") - F.first(p_a), F.first("nb") - F.first(p_b))
-    pairs = joined.where("kind = 1").groupBy("a", "b").agg(reach.alias("reach"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).withColumn("reach", F.col("c") + F.greatest(F.col("na") - p_a, F.col("nb") - p_b))
     pairs = staged(pairs.where(f"reach * {100 + T} >= {T} * (na + nb)").select("a", "b"), "pairs")
-    crowds = joined.where("kind = 0").select(F.col("a").alias("shingle"), F.col("b").alias("group"), F.col("c").alias("m"))
+    crowds = joined.where(f"kind = {_CROWD}").selectExpr("a as shingle", "b as m", "c as group")
     alone = classes.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
 
     # a label for each group that may link: the shingle of its largest crowd, else its least neighbour
-    near = pairs.select(F.col("a").alias("group"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("group"), F.col("a").alias("other")))
-    near = near.unionByName(alone.select("group", F.col("group").alias("other")))
+    near = pairs.selectExpr("a as group", "b as other").unionByName(pairs.selectExpr("b as group", "a as other")).unionByName(alone.selectExpr("group", "group as other"))
     by_near = near.groupBy("group").agg(F.least(F.min("other"), F.col("group")).alias("near"))
-    by_crowd = crowds.groupBy("group").agg(F.max_by("shingle", F.struct("m", "shingle")).alias("crowd"))
-    label = F.when(F.col("crowd").isNotNull(), F.concat(F.lit("c"), F.col("crowd"))).otherwise(F.concat(F.lit("n"), F.col("near")))
-    labelled = staged(by_near.join(by_crowd, "group", "full").select("group", label.alias("label")), "labels")
-
-    members = classes.join(labelled, "group").select("s1", "rep", "group", "label", "n")
-    cells = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("cells"))
-    meet = pairs.join(labelled.select(F.col("group").alias("a"), F.col("label").alias("x")), "a").join(labelled.select(F.col("group").alias("b"), F.col("label").alias("y")), "b").select("x", "y")
-    in_crowd = crowds.join(labelled, "group").select("shingle", "label").distinct()
-    meet = meet.unionByName(in_crowd.select("shingle", F.col("label").alias("x")).join(in_crowd.select("shingle", F.col("label").alias("y")), "shingle").select("x", "y"))
-    meet = meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(labelled.select(F.col("label").alias("x"), F.col("label").alias("y"))).distinct()
-    meet = meet.join(cells.select(F.col("label").alias("x"), F.col("cells").alias("nx")), "x").join(cells.select(F.col("label").alias("y"), F.col("cells").alias("ny")), "y")
-    meet = meet.select("x", "y", F.explode(F.expr("sequence(0L, nx - 1)")).alias("i"), "ny").select("x", "y", "i", F.explode(F.expr("sequence(0L, ny - 1)")).alias("j")).where("x <> y or i <= j")
-    meet = staged(meet.withColumn("pair", F.xxhash64("x", "y", "i", "j")), "meet")
-
-    in_cell = members.join(cells, "label").select("s1", "rep", "label", F.pmod(F.xxhash64("s1"), F.col("cells")).alias("cell"))
-
-    def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordIds()
-        for pdf in batches:
-            own = list(_sets(pdf["text"], cache))
-            pdf = pdf.assign(own=[x.tobytes() for x in own], real=[_signature(x, 1) if len(x) else 0 for x in own])
-            yield pdf.loc[pdf["real"] == pdf["s1"], ["s1", "label", "cell", "own"]]
-
-    with_text = join_counted(read.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST)))), in_cell.withColumnRenamed("rep", "doc_id"), ["doc_id"], rows=300_000)
-    held = staged(with_text.select("s1", "label", "cell", "text").mapInPandas(read_sets, "s1 long, label string, cell long, own binary"), "sets")
-    left = meet.select("pair", F.lit(0).alias("side"), F.col("x").alias("label"), F.col("i").alias("cell"))
-    right = meet.where("x <> y or i <> j").select("pair", F.lit(1).alias("side"), F.col("y").alias("label"), F.col("j").alias("cell"))
-    sides = left.unionByName(right)
-    links = staged(held.join(sides, ["label", "cell"]).select("pair", "side", "s1", "own").groupBy("pair").applyInPandas(_linked, "u long, v long"), "found")
-
-    found = components(links).withColumnRenamed("v", "s1")
-    reps = classes.select("s1", "rep").join(found, "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    largest = F.shiftleft("m", 20) + F.pmod("shingle", F.lit(1 << 20))
+    by_crowd = crowds.groupBy("group").agg(F.max_by("shingle", largest).alias("crowd"), F.count("*").alias("heat"))
+    label = F.when(F.col("crowd").isNotNull(), F.xxhash64(F.lit("crowd"), "crowd")).otherwise(F.xxhash64(F.lit("near"), "near"))
+    labelled = by_near.join(by_crowd, "group", "full").select("group", label.alias("label"), F.coalesce("heat", F.lit(0)).alias("heat"))
+    members = staged(classes.join(labelled, "group").selectExpr("v", "s1", "s2", "rep as doc_id", "key", "group", "n", "label", f"heat / (n - ceil({T} * n / 100) + 1) as typical"), "members")
+
+    blocks = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("cells")
+    pivots = F.array(F.max_by("v", "typical"), *(F.min_by("v", F.xxhash64("v", F.lit(k))) for k in range(PIVOTS))).alias("pivots")
+    sizes = staged(members.groupBy("label").agg(blocks, pivots, F.sum("n").alias("n")), "sizes")
+    in_cell = join_counted(members.drop("typical"), sizes.select("label", "cells", "pivots"), ["label"], rows=100_000)
+    in_cell = in_cell.select("v", "s1", "s2", "doc_id", "key", "label", _dealt("label", F.col("cells")).alias("cell"), ((F.col("cells") > 1) & F.array_contains("pivots", F.col("v"))).alias("pivot"), "group", "n")
+    in_cell = staged(in_cell, "cells")
+
+    with_text = join_counted(read, in_cell.drop("group", "n"), ["doc_id", "key"], rows=300_000)
+    held = staged(with_text.select("v", "s1", "s2", "label", "cell", "pivot", "text").mapInArrow(_read_sets, "v long, label long, cell long, pivot boolean, own binary"), "sets")
+    several = in_cell.select("label", "cell").join(sizes.where("cells > 1").select("label"), "label", "left_semi").distinct()
+    to_pivots = several.join(held.where("pivot").select("label", "v", "own"), "label")
+    shingles = sizes.agg(F.sum("n")).first()[0] or 0
+    links = _verified(held.select("cell", F.lit(0).alias("side"), "v", "own").unionByName(to_pivots.select("cell", F.lit(0).alias("side"), "v", "own")), shingles)
+    found = components(links)
+
+    keys = crowds.select(F.xxhash64(F.lit("crowd"), "shingle").alias("key"), "group").unionByName(alone.select(F.xxhash64(F.lit("group"), "group").alias("key"), "group"))
+    keys = keys.unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group")))
+    placed = staged(in_cell.select("v", "group", "label", "cell", "n").join(found.withColumnRenamed("label", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "placed")
+    open_ = open_keys(keys, placed)
+    if not at_most(open_, 0):
+        blocks, meet = meetings(open_, placed)
+        sides = meet.selectExpr("meet", "0 as side", "x as block").unionByName(meet.where("x <> y").selectExpr("meet", "1 as side", "y as block"))
+        needed = staged(blocks.join(sides, "block").select("v", F.col("meet").alias("cell"), "side", "n"), "needed")
+        again = join_counted(held.select("v", "own"), needed.drop("n"), ["v"], rows=300_000)
+        late = _verified(again.select("cell", "side", "v", "own"), needed.agg(F.sum("n")).first()[0] or 0)
+        found = components(found.select(F.col("label").alias("u"), "v").unionByName(late))
+
+    # classes of several rows or with links; all other rows are alone
+    reps = classes.select("v", "s1", "s2", "rep", "rows").join(found, "v", "left").where("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "v"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = reps.join(least, "label").groupBy("s1").agg(F.min("component_id").alias("component_id"))
+    named = staged(reps.join(least, "label").select("s1", "s2", "label", "component_id"), "named")
     # equal sets may hold a third of all rows: adaptive execution splits them, or the other side is small
-    out = join_counted(doc_rows, named, ["s1"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.nullif("component_id", F.lit(int(LAST))), "doc_id").alias("component_id"), "s1")
+    out = join_counted(doc_rows, named, ["s1", "s2"], "left")
+    null = lambda c: F.nullif(c, F.lit(int(LAST)))
+    alone_label = F.when(F.col("n") > 0, F.coalesce("label", F.xxhash64("s1", "s2")))
+    return out.select(null("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "doc_id")).alias("component_id"), alone_label.alias("label"), "key")
 
 
-def _row_key(docs: DataFrame):
+def _row_key(docs: DataFrame) -> Column:
     """bigint: a hash of all columns and of which are null; equal for rows that are equal throughout (maps take no part)."""
     names = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     return F.xxhash64(*names, *(F.col(c).isNull() for c in names))
@@ -344,14 +488,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     words stay.
     """
     keyed = docs.withColumn("__row", _row_key(docs))
-    found = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
-    found = staged(found.select(F.col("doc_id").alias("__row"), "component_id"), "rows")
-    crowded = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = join_counted(found, crowded, ["component_id"], "left_semi").distinct()
-    named = staged(join_counted(keyed.select("__row", "doc_id"), members, ["__row"], rows=500_000), "members").distinct()
+    found = jaccard_components(docs, _row_key(docs)).where("n_shingles > 0")
+    found = staged(found.select("doc_id", F.col("key").alias("__row"), "label"), "rows")
+    crowded = found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    members = staged(join_counted(found, crowded, ["label"], "left_semi").distinct(), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")
-    best = named.groupBy("component_id").agg(first).select("first.__row")
-    kept = join_counted(keyed, join_counted(named.select("__row"), best, ["__row"], "left_anti"), ["__row"], "left_anti", rows=500_000)
+    best = members.groupBy("label").agg(first).select("first.__row")
+    dropped = staged(members.select("__row").join(best, "__row", "left_anti").distinct(), "dropped")
+    kept = join_counted(keyed, dropped, ["__row"], "left_anti", rows=500_000)
     repeated = staged(found.groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"), "repeated")
     if at_most(repeated, 0):
         return kept.select(*docs.columns)
@@ -360,4 +504,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("s1")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
