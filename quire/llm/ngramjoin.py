@@ -366,31 +366,37 @@ def open_keys(keys: DataFrame, placed: DataFrame) -> DataFrame:
     by_group = placed.groupBy("group").agg(*ends)
     ends = [f(f"{name}_{c}").alias(f"{name}_{c}") for c in ("cell", "comp") for name, f in (("low", F.min), ("high", F.max))]
     apart = keys.join(by_group, "group").groupBy("key").agg(*ends).where("low_cell <> high_cell and low_comp <> high_comp").select("key")
-    return staged(keys.join(apart, "key", "left_semi"), "open")
+    return staged(join_counted(keys, staged(apart, "apart"), ["key"], "left_semi"), "open")
 
 
-def meetings(open_: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(v, n, block of each class of an open key; meet, x, y: blocks that must be verified against each other).
+def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
+    """cell, side, v, n: what must still be verified, side 0 of a cell against its side 1 (or against itself without one).
 
-    A block holds at most CELL_SETS classes: of one component where that is large, else of a label. Of each key, the blocks
-    outside its largest component meet all its blocks but those of their own component.
+    Classes of open keys lie in blocks of at most CELL_SETS, of one component where that is large, else of a label. Of each
+    key, the blocks outside its largest component meet all its blocks but those of their own component, those whose sizes
+    allow no link and those of their own cell. Only the classes of the key meet, not whole blocks.
     """
     of_key = open_.join(placed.select("v", "group"), "group").select("key", "v")
     here = staged(placed.join(of_key.select("v").distinct(), "v", "left_semi"), "here")
-    large = here.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where(F.col("k") >= CELL_SETS // 2).select("comp", F.greatest(F.ceil(F.col("k") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).alias("of_comp"))
+    blocks = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES))
+    large = here.groupBy("comp").agg(F.count("*").alias("k"), blocks.alias("of_comp")).where(F.col("k") >= CELL_SETS // 2).drop("k")
     here = here.join(large, "comp", "left")
-    rest = here.where("of_comp is null").groupBy("label").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("of_label"))
+    rest = here.where("of_comp is null").groupBy("label").agg(blocks.alias("of_label"))
     here = here.join(rest, "label", "left")
     pure = F.when(F.col("of_comp").isNotNull(), F.col("comp"))
     block = F.when(pure.isNotNull(), _dealt("comp", F.col("of_comp"))).otherwise(_dealt("label", F.col("of_label")))
-    here = staged(here.select("v", "n", block.alias("block"), pure.alias("pure")), "blocks")
+    of_key = staged(of_key.join(here.select("v", "n", "cell", block.alias("block"), pure.alias("pure")), "v"), "of-key")
 
-    of_key = staged(of_key.join(here, "v").groupBy("key", "block", "pure").agg(F.count("*").alias("k")), "of-key")
-    home = of_key.where("pure is not null").groupBy("key", "pure").agg(F.sum("k").alias("k")).groupBy("key").agg(F.max_by("pure", "k").alias("home"))
-    outside = of_key.join(home, "key", "left").where("pure is null or pure <> home").selectExpr("key", "block as x", "pure as pure_x")
-    meet = outside.join(of_key.selectExpr("key", "block as y", "pure as pure_y"), "key").where("pure_x is null or pure_y is null or pure_x <> pure_y")
-    meet = meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return here.select("v", "n", "block"), staged(meet.withColumn("meet", F.xxhash64("x", "y")), "meet")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "n") for name, f in (("low", F.min), ("high", F.max))]
+    by_block = staged(of_key.groupBy("key", "block", "pure").agg(F.count("*").alias("k"), *ends), "by-block")
+    home = by_block.where("pure is not null").groupBy("key", "pure").agg(F.sum("k").alias("k")).groupBy("key").agg(F.max_by("pure", "k").alias("home"))
+    outside = by_block.join(home, "key", "left").where("pure is null or pure <> home").drop("home", "k")
+    x, y = (d.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n"))) for d, side in ((outside, "x"), (by_block, "y")))
+    meet = x.join(y, "key").where("pure_x is null or pure_y is null or pure_x <> pure_y").where("low_cell_x <> high_cell_x or low_cell_y <> high_cell_y or low_cell_x <> low_cell_y")
+    meet = meet.where(f"100 * high_n_x >= {T} * low_n_y and 100 * high_n_y >= {T} * low_n_x")
+    meet = meet.select("key", F.least("block_x", "block_y").alias("x"), F.greatest("block_x", "block_y").alias("y")).distinct().withColumn("meet", F.xxhash64("x", "y"))
+    sides = meet.selectExpr("key", "meet as at", "0 as side", "x as block").unionByName(meet.where("x <> y").selectExpr("key", "meet as at", "1 as side", "y as block"))
+    return staged(of_key.join(sides, ["key", "block"]).select(F.col("at").alias("cell"), "side", "v", "n").distinct(), "needed")
 
 
 def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HOT) -> DataFrame:
@@ -457,9 +463,7 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     placed = staged(in_cell.select("v", "group", "label", "cell", "n").join(found.withColumnRenamed("label", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "placed")
     open_ = open_keys(keys, placed)
     if not at_most(open_, 0):
-        blocks, meet = meetings(open_, placed)
-        sides = meet.selectExpr("meet", "0 as side", "x as block").unionByName(meet.where("x <> y").selectExpr("meet", "1 as side", "y as block"))
-        needed = staged(blocks.join(sides, "block").select("v", F.col("meet").alias("cell"), "side", "n"), "needed")
+        needed = meetings(open_, placed)
         again = join_counted(held.select("v", "own"), needed.drop("n"), ["v"], rows=300_000)
         late = _verified(again.select("cell", "side", "v", "own"), needed.agg(F.sum("n")).first()[0] or 0)
         found = components(found.select(F.col("label").alias("u"), "v").unionByName(late))
