@@ -2,175 +2,205 @@
 
 A window is WINDOW consecutive words of one document. Every window names its anchor, the phrase of PHRASE words in it with
 the least hash (the first, if equal); equal windows have equal anchors, and neighbours mostly share theirs, so a seventh of
-the positions stand for all.
+the positions stand for all. A word goes as a symbol of 12 bits, so a phrase is 96 bits.
 
-1. Anchors of all documents are counted by shards of their hash; those that occur twice are the repeated phrases.
-2. Documents are dealt by digest to blocks of about BLOCK_CHARS. For each block an Aho-Corasick automaton is compiled
-   (pyahocorasick) from the repeated phrases that the block holds, with one symbol for a word. A document of
-   which no anchor is a repeated phrase holds no window that repeats and is passed over; the others stream through it. Only windows around a located phrase can repeat; their 128-bit hashes confirm it.
-3. A block reports the first place of each such window; by shards of the hash the first of all blocks is found and told
-   back to its block. Every located window that is not first is covered.
+1. Documents are dealt by digest to blocks of about BLOCK_BYTES. Anchors of all documents are counted by shards of their
+   phrase; those that occur twice are the repeated phrases, and each block is told which of them it holds.
+2. For each block an Aho-Corasick automaton is compiled (pyahocorasick) from the phrases it was told, and all documents of
+   the block stream through it. Only windows around a located phrase can repeat; there is no other source of candidates.
+3. A block keeps the first place of each such window and sends it, by 96 bits of the window's hash, to a shard; there the
+   first of all blocks is found and told back. Every located window that is not first is covered.
 
 Nothing is dropped or sampled. What goes over the network per window is one row for each block, so a passage that stands
 in a third of all documents, or a phrase repeated without end, weighs no more than others. No step holds more than a
-block or a shard, both of bounded size.
+block or a shard, both of bounded size. Texts go packed and compressed, once to their block, and once more if a window of
+theirs was located.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import at_most, join_counted, staged, table
+from .lanes import Line, by_shard, lines, mixed, rolled, text_bytes
 
 WINDOW = 20
 PHRASE = 8
-BLOCK_CHARS = 4_000_000
-SHARD_ROWS = 400_000
+BLOCK_BYTES, SHARD_BYTES = 4_000_000, 6_000_000
 LEAST_BLOCKS = 48
-CACHED_WORDS = 400_000
+#: Rows equal in id and text from which on they are handled as one row with a count.
+REPEATS = 1_000
+#: Stands for a null doc_id.
 LAST = np.iinfo(np.int64).max
+#: Symbols stand for words in the automaton's strings; this one ends a document.
+_SYMBOL_BITS, _END = 12, 0x2000
 
-_FIND = re.compile(r"[^\x20\x09-\x0D]+").findall
-#: What str.split() takes for white space beyond space and the control characters 9 to 13.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-#: Odd multipliers of the two window hashes and of the phrase hash.
-_FACTORS = [np.random.default_rng(k).integers(2**62, 2**63, 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in range(3)]
-CHUNK_WORDS = 1_000_000
 
+def anchors(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of the anchors of all windows, each once, of documents that stand one after the other; ends: where each
+    ends. Windows across two documents do not count."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int32)
+    value = rolled(ids, PHRASE, 2)
+    at, width = np.arange(len(value), dtype=np.int32), 1
+    need = WINDOW - PHRASE + 1
+    while width < need:
+        step = min(width, need - width)
+        left, right = value[: len(value) - step], value[step:]
+        less = right < left
+        at, value = np.where(less, at[step:], at[: len(at) - step]), np.where(less, right, left)
+        width += step
+    # the document of each window, by the number of documents that end at or before its start
+    starts = np.arange(len(at))
+    left_of = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.add.at(left_of, ends, 1)
+    of = np.cumsum(left_of)[starts]
+    at = at[starts + WINDOW <= ends[np.minimum(of, len(ends) - 1)]]
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
-def _WORDS(text: str) -> list[str]:
-    return _FIND(text) if _OTHER_SPACE(text) else text.split()
 
+def symbols(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(64 - _SYMBOL_BITS)).astype(np.uint64)
 
-class WordIds(dict):
-    """64-bit hashes of words, kept up to CACHED_WORDS."""
 
-    def __missing__(self, w: str) -> int:
-        import xxhash
+def phrase_codes(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper 64 bits, lower 32 bits) of the symbols of the phrases at these positions."""
+    s = symbols(ids)
+    high, low = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(PHRASE):
+        high = (high << np.uint64(_SYMBOL_BITS)) | (low >> np.uint64(32 - _SYMBOL_BITS))
+        low = ((low << np.uint64(_SYMBOL_BITS)) | s[at + k]) & np.uint64(0xFFFFFFFF)
+    return high, low.astype(np.uint32)
 
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
 
+def phrase_strings(high: np.ndarray, low: np.ndarray) -> list[str]:
+    """What the automaton looks for: one character for each word."""
+    out = np.empty((len(high), PHRASE), np.uint32)
+    low = low.astype(np.uint64)
+    for k in range(PHRASE - 1, -1, -1):
+        out[:, k] = (low & np.uint64((1 << _SYMBOL_BITS) - 1)) + np.uint64(1)
+        low = (low >> np.uint64(_SYMBOL_BITS)) | ((high << np.uint64(32 - _SYMBOL_BITS)) & np.uint64(0xFFFFFFFF))
+        high = high >> np.uint64(_SYMBOL_BITS)
+    whole = out.tobytes().decode("utf-32-le")
+    return [whole[k : k + PHRASE] for k in range(0, len(whole), PHRASE)]
 
-def word_ids(words: list[str], cache: WordIds) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
+def _zip(*columns: np.ndarray) -> bytes:
+    import zstandard
 
-def rolled(ids: np.ndarray, n: int, which: int) -> np.ndarray:
-    """Hash of the n words from each position on."""
-    m = len(ids) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = ids[:m].copy()
-    for k in range(1, n):
-        out *= _FACTORS[which]
-        out += ids[k : k + m]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
-def anchors(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the anchors of all windows, each once, hash of the phrase at each position) of documents that stand one
-    after the other; ends: where each ends. Windows across two documents do not count."""
-    h = rolled(ids, PHRASE, 2)
-    if len(ids) < WINDOW:
-        return np.zeros(0, np.int32), h
-    value, at, width = h, np.arange(len(h), dtype=np.int32), 1
-    need = WINDOW - PHRASE + 1
-    while width < need:
-        step = min(width, need - width)
-        left, right = value[: len(value) - step], value[step:]
-        less = right < left
-        at, value = np.where(less, at[step:], at[: len(at) - step]), np.where(less, right, left)
-        width += step
-    starts = np.arange(len(at))
-    inside = starts + WINDOW <= ends[np.searchsorted(ends, starts, side="right")]
-    at = at[inside]
-    return at[np.flatnonzero(np.diff(at, prepend=-1))], h
-
-
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, positions of its keys)."""
-    shard = (keys >> np.uint64(20)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(shard[part[0]]), part
-
-
-def _chunks(pdf: pd.DataFrame, cache: WordIds) -> Iterator[tuple[int, list[list[str]], np.ndarray, np.ndarray]]:
-    """(row of the first document, words of each, their ids in one line, ends of the documents on it)."""
-    first, words, ids, n = 0, [], [], 0
-    for k, text in enumerate(pdf["text"], 1):
-        words.append(_WORDS(text) if isinstance(text, str) else [])
-        ids.append(word_ids(words[-1], cache))
-        n += len(words[-1])
-        if n >= CHUNK_WORDS or k == len(pdf):
-            yield first, words, np.concatenate(ids), np.cumsum([len(x) for x in ids])
-            first, words, ids, n = k, [], [], 0
-
-
-def _phrases_of(blocks: int, shards: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordIds()
-        for pdf in batches:
-            block, found = [], []
-            blocks_of = pdf["block"].to_numpy(np.int32)
-            for first, _, ids, ends in _chunks(pdf, cache):
-                at, h = anchors(ids, ends)
-                found.append(h[at])
-                block.append(blocks_of[first + np.searchsorted(ends, at, side="right")])
+def _unzip(data: bytes, n: int, *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return [*out, np.frombuffer(raw, np.uint8, -1, at)]
+
+
+class Documents(NamedTuple):
+    """Rows of one block: ids (null as LAST), whether the id is null, how many rows each stands for, texts."""
+
+    ids: np.ndarray
+    null: np.ndarray
+    copies: np.ndarray
+    data: np.ndarray
+    offsets: np.ndarray
+
+    def packed(self) -> bytes:
+        return _zip(self.ids, self.copies, np.diff(self.offsets), self.null, self.data)
+
+    def of(self, rows: np.ndarray) -> Documents:
+        size = np.diff(self.offsets)[rows]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = np.concatenate([self.data[self.offsets[k] : self.offsets[k + 1]] for k in rows.tolist()] or [self.data[:0]])
+        return Documents(self.ids[rows], self.null[rows], self.copies[rows], data, offsets)
+
+
+def _documents(n: pd.Series, data: pd.Series) -> Documents:
+    parts = [_unzip(x, k, np.int64, np.int64, np.int64, np.bool_) for k, x in zip(n.tolist(), data, strict=True)]
+    ids, copies, size, null, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Documents(ids, null, copies, texts, np.concatenate([[0], np.cumsum(size)]))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, null, copies, text) packed by block."""
+    for batch in batches:
+        block, ids, null, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        every = Documents(ids, null, copies, *text_bytes(batch.column(4)))
+        order = np.argsort(block, kind="stable")
+        parts = [x for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(x)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[[x[0] for x in parts]]), pa.array([len(x) for x in parts], pa.int64()), pa.array([every.of(x).packed() for x in parts], pa.binary())], ["block", "n", "data"]
+        )
+
+
+def _phrases_of(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors of rows (block, text), packed by shard of the phrase."""
+        for batch in batches:
+            blocks, found = batch.column(0).to_numpy().astype(np.int32), []
+            for words in lines(*text_bytes(batch.column(1))):
+                at = anchors(words.ids, words.cuts[1:])
+                found.append((*phrase_codes(words.ids, at), blocks[words.first + np.searchsorted(words.cuts[1:], at, side="right")]))
             if not found:
                 continue
-            block, found = np.concatenate(block), np.concatenate(found)
+            high, low, block = (np.concatenate(x) for x in zip(*found, strict=True))
             # a phrase that a block holds twice goes on as two rows of it, not more
-            order = np.lexsort((block, found))
-            block, found = block[order], found[order]
-            third = np.zeros(len(found), bool)
-            third[2:] = (found[2:] == found[:-2]) & (block[2:] == block[:-2])
-            block, found = block[~third], found[~third]
-            rows = [(s, found[i].tobytes(), block[i].tobytes()) for s, i in _by_shard(found, shards)]
-            yield pd.DataFrame(rows, columns=["shard", "h", "block"])
+            order = np.lexsort((block, low, high))
+            high, low, block = high[order], low[order], block[order]
+            third = np.zeros(len(high), bool)
+            third[2:] = (high[2:] == high[:-2]) & (low[2:] == low[:-2]) & (block[2:] == block[:-2])
+            high, low, block = high[~third], low[~third], block[~third]
+            rows = [(s, len(i), high[i].tobytes() + low[i].tobytes() + block[i].tobytes()) for s, i in by_shard(mixed(high ^ low), shards)]
+            shard, n, data = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "data"])
 
     return run
 
 
-def _joined(column: pd.Series, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=kind)
+def _columns(n: pd.Series, data: pd.Series, *kinds) -> list[np.ndarray]:
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for k, x in zip(n.tolist(), data, strict=True):
+        at = 0
+        for part, kind in zip(parts, kinds, strict=True):
+            part.append(np.frombuffer(x, kind, k, at))
+            at += k * np.dtype(kind).itemsize
+    return [np.concatenate(p) if p else np.zeros(0, kind) for p, kind in zip(parts, kinds, strict=True)]
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: the phrases that occur twice, by block."""
-    h, block = _joined(pdf["h"], np.uint64), _joined(pdf["block"], np.int32)
-    order = np.lexsort((h, block))
-    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    order = order[count[back[order]] > 1]
-    h, block = h[order], block[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1])
-    h, block = h[new], block[new]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    return pd.DataFrame([(int(b[0]), x.tobytes()) for b, x in zip(np.split(block, cuts), np.split(h, cuts), strict=True) if len(b)], columns=["block", "h"])
+def _starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Whether each place differs from the one before it in any of the keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
-def symbols(ids: np.ndarray) -> str:
-    """One character for each word, out of 2^20."""
-    return ((ids >> np.uint64(44)).astype(np.uint32) + np.uint32(0x10000)).tobytes().decode("utf-32-le")
+def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one shard: the phrases that occur twice, by block."""
+    high, low, block = _columns(pdf["n"], pdf["data"], np.uint64, np.uint32, np.int32)
+    order = np.lexsort((block, low, high))
+    high, low, block = high[order], low[order], block[order]
+    phrase = np.cumsum(_starts_of(high, low)) - 1
+    keep = (np.bincount(phrase)[phrase] > 1) & _starts_of(phrase, block)
+    order = np.flatnonzero(keep)[np.argsort(block[keep], kind="stable")]
+    parts = [x for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(x)]
+    return pd.DataFrame([(int(block[x[0]]), len(x), high[x].tobytes() + low[x].tobytes()) for x in parts], columns=["block", "n", "data"])
 
 
-def automaton(phrases: set[str]):
+def automaton(phrases: list[str]):
     import ahocorasick
 
     made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -180,140 +210,181 @@ def automaton(phrases: set[str]):
     return made
 
 
-def located(text: str, made, n_windows: int) -> np.ndarray:
-    """Starts of the windows that hold a phrase of the automaton."""
-    ends = np.fromiter((e for e, _ in made.iter(text)), dtype=np.int64)
-    if not len(ends):
-        return ends
-    open_ = np.zeros(n_windows + 1, dtype=np.int64)
-    np.add.at(open_, np.clip(ends - WINDOW + 1, 0, n_windows), 1)
-    np.add.at(open_, np.clip(ends - PHRASE + 2, 0, n_windows), -1)
-    return np.flatnonzero(np.cumsum(open_[:-1]) > 0)
-
-
-def _kept(words: list[str], starts: np.ndarray) -> tuple[int, str]:
-    """(number of words that windows at `starts` cover, digest of the others)."""
-    if not len(starts):
-        return 0, hashlib.sha256(" ".join(words).encode()).hexdigest()
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    edge[starts] += 1
-    np.add.at(edge, starts + WINDOW, -1)
-    keep = np.cumsum(edge[:-1]) == 0
-    return int(len(words) - keep.sum()), hashlib.sha256(" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).encode()).hexdigest()
-
-
-_LOCATED = "kind string, block long, shard long, doc_id long, text string, n_words long, sha string, data binary, more binary"
-_COLUMNS = ["kind", "block", "shard", "doc_id", "text", "n_words", "sha", "data", "more"]
+def located(words: Line, made) -> np.ndarray:
+    """Positions of the windows that hold a phrase of the automaton; all documents of the line stream through it."""
+    n, cuts = len(words.ids), words.cuts
+    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    place = np.arange(n) + owner
+    text = np.full(n + len(cuts) - 1, _END, np.uint32)
+    text[place] = symbols(words.ids) + np.uint64(1)
+    back = np.zeros(len(text), np.int64)
+    back[place] = np.arange(n)
+    hits = back[np.fromiter((e for e, _ in made.iter(text.tobytes().decode("utf-32-le"))), dtype=np.int64)]
+    of = owner[hits]
+    low, high = np.maximum(cuts[of], hits - WINDOW + 1), np.minimum(hits - PHRASE + 1, cuts[of + 1] - WINDOW)
+    low, high = low[high >= low], high[high >= low]
+    open_ = np.bincount(low, minlength=n + 1) - np.bincount(high + 1, minlength=n + 1)
+    return np.flatnonzero(np.cumsum(open_[:n]) > 0)
+
+
+def kept(words: Line, gone: np.ndarray) -> list[tuple[int, int, str]]:
+    """(words, words that are gone, digest of the others joined by a space) of each document of the line."""
+    left = np.flatnonzero(~gone)
+    size = words.ends[left] - words.starts[left] + 1
+    upto = np.concatenate([[0], np.cumsum(size)])
+    source = np.repeat(words.starts[left] - upto[:-1], size) + np.arange(upto[-1])
+    out = words.data[np.minimum(source, max(0, len(words.data) - 1))]
+    out[upto[1:] - 1] = 0x20
+    out, bounds = memoryview(out), upto[np.searchsorted(left, words.cuts)]
+    n = np.diff(words.cuts)
+    away = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.cuts])
+    return [(k, g, hashlib.sha256(out[a : max(a, b - 1)]).hexdigest()) for k, g, a, b in zip(n.tolist(), away.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+_LOCATED = "kind string, block long, shard long, n long, data binary, doc_id long, copies long, n_words long, sha string"
+_KINDS = {"block": "Int64", "shard": "Int64", "n": "Int64", "doc_id": "Int64", "copies": "Int64", "n_words": "Int64"}
 
 
 def _locate(shards: int):
     """Step 2 of one block, for cogroup."""
 
     def run(docs: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
-        """Of one block: documents without a located window are done; the others wait, and their windows go to shards."""
-        cache = WordIds()
-        repeated = np.sort(_joined(phrases["h"], np.uint64)) if len(phrases) else np.zeros(0, np.uint64)
-        read, strings, wanted = [], [], set()
-        for _, words, ids, ends in _chunks(docs, cache):
-            at, h = anchors(ids, ends)
-            found = h[at]
-            if len(repeated):
-                at = at[repeated[np.minimum(np.searchsorted(repeated, found), len(repeated) - 1)] == found]
-            else:
-                at = at[:0]
-            line = symbols(ids)
-            wanted.update(line[k : k + PHRASE] for k in at.tolist())
-            begins = ends - [len(w) for w in words]
-            hit = np.zeros(len(words), bool)
-            hit[np.searchsorted(ends, at, side="right")] = True
-            for w, a, b, one in zip(words, begins.tolist(), ends.tolist(), hit.tolist(), strict=True):
-                read.append((w, ids[a:b]))
-                strings.append(line[a:b] if one else None)
-        made = automaton(wanted) if wanted else None
-        rows, win = [], []
-        for doc_id, text, (words, ids), string in zip(docs["doc_id"].tolist(), docs["text"], read, strings, strict=True):
-            starts = located(string, made, len(ids) - WINDOW + 1) if string else ()
-            if not len(starts):
-                rows.append(("done", None, None, doc_id, None, len(words), _kept(words, starts)[1], None, None))
-                continue
-            rows.append(("wait", int(docs["block"].iloc[0]), None, doc_id, text, len(words), None, starts.astype(np.int32).tobytes(), None))
-            win.append((rolled(ids, WINDOW, 0)[starts], rolled(ids, WINDOW, 1)[starts], np.full(len(starts), doc_id, np.int64), starts))
+        """Documents without a located window are done; the others wait, and the first places of their windows go to shards."""
+        if not len(docs):
+            return pd.DataFrame(columns=[x.split()[0] for x in _LOCATED.split(", ")]).astype(_KINDS)
+        block, every = int(docs["block"].iloc[0]), _documents(docs["n"], docs["data"])
+        strings = phrase_strings(*_columns(phrases["n"], phrases["data"], np.uint64, np.uint32))
+        made = automaton(strings) if strings else None
+        rows, win, waits = [], [], []
+        for words in lines(every.data, every.offsets):
+            at = located(words, made) if made else np.zeros(0, np.int64)
+            of = np.searchsorted(words.cuts, at, side="right") - 1
+            if len(at):
+                a, b = (rolled(words.ids, WINDOW, k)[at] for k in (0, 1))
+                win.append((a, (b >> np.uint64(32)).astype(np.uint32), words.first + of, (at - words.cuts[of]).astype(np.int32)))
+            wait = np.unique(of)
+            waits.append(words.first + wait)
+            hit = {*waits[-1].tolist()}
+            for k, (n, _, sha) in enumerate(kept(words, np.zeros(len(words.ids), bool)), words.first):
+                if k not in hit:
+                    rows.append(("done", block, None, None, None, None if every.null[k] else int(every.ids[k]), int(every.copies[k]), n, sha))
         if win:
-            a, b, d, s = (np.concatenate(x) for x in zip(*win, strict=True))
-            order = np.lexsort((s, d, b, a))
-            a, b, d, s = a[order], b[order], d[order], s[order]
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b, d, s = a[first], b[first], d[first], s[first].astype(np.int32)
-            block = int(docs["block"].iloc[0])
-            for shard, i in _by_shard(a, shards):
-                rows.append(("window", block, shard, None, None, None, None, np.stack([a[i], b[i]]).tobytes(), d[i].tobytes() + s[i].tobytes()))
-        kinds = ["object", "Int64", "Int64", "Int64", "object", "Int64", "object", "object", "object"]
-        return pd.DataFrame({c: pd.array(list(x), dtype=k) for c, x, k in zip(_COLUMNS, zip(*rows, strict=True), kinds, strict=True)})
+            a, b, row, start = (np.concatenate(x) for x in zip(*win, strict=True))
+            doc = every.ids[row]
+            order = np.lexsort((start, doc, b, a))
+            new = _starts_of(a[order], b[order])
+            which, first = np.cumsum(new) - 1, order[new]
+            # windows are numbered by their first place; a place that is not the first of its block has number -1
+            number = np.empty(len(first), np.int32)
+            number[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+            least = (doc[order] == doc[first][which]) & (start[order] == start[first][which])
+            numbers = np.empty(len(a), np.int32)
+            numbers[order] = np.where(least, number[which], -1)
+            first = np.sort(first)
+            for shard, i in by_shard(a[first], shards):
+                j = first[i]
+                places = _zip(doc[j], start[j], np.diff(i, prepend=0).astype(np.int32))
+                rows.append(("window", block, shard, len(j), a[j].tobytes() + b[j].tobytes() + places, None, None, None, None))
+            waiting = np.concatenate(waits)
+            per_row = np.bincount(np.searchsorted(waiting, row), minlength=len(waiting))
+            marks = _zip(per_row.astype(np.int64)), _zip(start, numbers)
+            sizes = np.array([len(marks[0]), len(marks[1])], np.int64).tobytes()
+            rows.append(("wait", block, None, len(waiting), sizes + marks[0] + marks[1] + every.of(waiting).packed(), None, None, None, None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in _LOCATED.split(", ")]).astype(_KINDS)
 
     return run
 
 
 def _first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: the first place of each window, told to its block."""
-    keys = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in pdf["data"]]
-    docs = [np.frombuffer(x, np.int64, k.shape[1]) for x, k in zip(pdf["more"], keys, strict=True)]
-    starts = [np.frombuffer(x, np.int32, k.shape[1], 8 * k.shape[1]) for x, k in zip(pdf["more"], keys, strict=True)]
-    block = np.repeat(pdf["block"].to_numpy(np.int64), [k.shape[1] for k in keys])
-    (a, b), d, s = np.concatenate(keys, axis=1), np.concatenate(docs), np.concatenate(starts)
-    order = np.lexsort((s, d, b, a))
-    a, b, d, s, block = a[order], b[order], d[order], s[order], block[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    d, s, block = d[first], s[first], block[first]
-    order = np.argsort(block, kind="stable")
-    cuts = np.flatnonzero(np.diff(block[order])) + 1
-    return pd.DataFrame([(int(block[i[0]]), d[i].tobytes(), s[i].astype(np.int32).tobytes()) for i in np.split(order, cuts)], columns=["block", "doc", "start"])
-
-
-_DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed binary"
+    """Of one shard: the numbers of the windows that are first of all, by block."""
+    a, b, doc, start, number = [], [], [], [], []
+    for n, data in zip(pdf["n"].tolist(), pdf["data"], strict=True):
+        a.append(np.frombuffer(data, np.uint64, n))
+        b.append(np.frombuffer(data, np.uint32, n, 8 * n))
+        d, s, k, _ = _unzip(data[12 * n :], n, np.int64, np.int32, np.int32)
+        doc.append(d)
+        start.append(s)
+        number.append(np.cumsum(k, dtype=np.int32))
+    block = np.repeat(pdf["block"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
+    a, b, doc, start, number = (np.concatenate(x) for x in (a, b, doc, start, number))
+    order = np.lexsort((start, doc, b, a))
+    new = _starts_of(a[order], b[order])
+    first = order[new][np.cumsum(new) - 1]
+    order = order[(doc[order] == doc[first]) & (start[order] == start[first])]
+    order = order[np.lexsort((number[order], block[order]))]
+    parts = [x for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(x)]
+    return pd.DataFrame([(int(block[x[0]]), len(x), _zip(np.diff(number[x], prepend=0).astype(np.int32))) for x in parts], columns=["block", "n", "data"])
+
+
+_DONE = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string, removed binary"
 
 
 def _finish(docs: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
     """Of one block: located windows that are nowhere first cover their words."""
-    doc, start = _joined(firsts["doc"], np.int64), _joined(firsts["start"], np.int32)
-    order = np.argsort(doc, kind="stable")
-    doc, start = doc[order], start[order]
     rows = []
-    for doc_id, text, data in zip(docs["doc_id"], docs["text"], docs["data"], strict=True):
-        lo, hi = np.searchsorted(doc, doc_id, "left"), np.searchsorted(doc, doc_id, "right")
-        starts = np.setdiff1d(np.frombuffer(data, np.int32), start[lo:hi])
-        words = _WORDS(text)
-        n, sha = _kept(words, starts.astype(np.int64))
-        rows.append((doc_id, len(words), n, sha, starts.tobytes()))
-    return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
+    first = [np.cumsum(_unzip(x, k, np.int32)[0]) for k, x in zip(firsts["n"].tolist(), firsts["data"], strict=True)]
+    first = np.sort(np.concatenate(first)) if first else np.zeros(0, np.int64)
+    for n, data in zip(docs["n"].tolist(), docs["data"], strict=True):
+        cut, end = np.cumsum(np.frombuffer(data, np.int64, 2)) + 16
+        per_row = _unzip(data[16:cut], n, np.int64)[0]
+        starts, numbers, _ = _unzip(data[cut:end], int(per_row.sum()), np.int32, np.int32)
+        covers = numbers < 0
+        if len(first):
+            at = np.minimum(np.searchsorted(first, numbers), len(first) - 1)
+            covers |= first[at] != numbers
+        else:
+            covers[:] = True
+        every = _documents(pd.Series([n]), pd.Series([data[end:]]))
+        upto = np.concatenate([[0], np.cumsum(per_row)])
+        for words in lines(every.data, every.offsets):
+            lo, hi = upto[words.first], upto[words.first + len(words.cuts) - 1]
+            own = np.repeat(words.cuts[:-1], per_row[words.first : words.first + len(words.cuts) - 1])
+            at = (own + starts[lo:hi])[covers[lo:hi]]
+            edge = np.bincount(at, minlength=len(words.ids) + 1) - np.bincount(at + WINDOW, minlength=len(words.ids) + 1)
+            gone = np.cumsum(edge[: len(words.ids)]) > 0
+            for k, (m, g, sha) in enumerate(kept(words, gone), words.first):
+                mine = starts[upto[k] : upto[k + 1]][covers[upto[k] : upto[k + 1]]]
+                rows.append((None if every.null[k] else int(every.ids[k]), int(every.copies[k]), m, g, sha, mine.tobytes()))
+    names = [x.split()[0] for x in _DONE.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "copies": "Int64", "n_words": "Int64", "n_removed": "Int64"})
+
+
+def _counted(docs: DataFrame, repeats: int) -> DataFrame:
+    """docs (doc_id, text, digest) with copies; rows that are equal in all of it and more than `repeats` become one."""
+    many = staged(docs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > repeats).select("digest"), "many")
+    one = F.lit(1).cast("long").alias("copies")
+    if at_most(many, 0):
+        return docs.select("*", one)
+    same = join_counted(docs, many, ["digest"], "left_semi").groupBy("doc_id", "text", "digest").agg(F.count("*").alias("copies"))
+    return join_counted(docs, many, ["digest"], "left_anti").select("*", one).unionByName(staged(same, "same"))
+
+
+def repeated_passages(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed, one row for each row of docs (doc_id, text).
 
     A word is removed when a window covers it whose words also start earlier: in a document of smaller doc_id, or earlier in
     the same one. kept_sha256 is the digest of the kept words, joined by a space; removed holds the starts of the windows
     that cover (int32, little end first; null if none). Null and blank texts have no words. Rows of equal doc_id count as
-    one document: at equal starts neither is earlier. A null doc_id comes after all others. Empty in, empty out; other
-    columns are ignored.
+    one document: a window is earlier in one of them if it starts at a smaller place, and at equal starts neither is
+    earlier. A null doc_id comes after all others. Empty in, empty out; other columns are ignored.
     """
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_CHARS))
-    shards = max(LEAST_BLOCKS, -(-total // (30 * SHARD_ROWS)))
-    block = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("block")), F.lit(blocks)).cast("long")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, shards = (max(LEAST_BLOCKS, -(-total // size)) for size in (BLOCK_BYTES, SHARD_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _counted(rows.withColumn("digest", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")), repeats)
+    dealt = rows.withColumn("block", F.pmod("digest", F.lit(blocks)))
+
+    phrases = dealt.select("block", "text").mapInArrow(_phrases_of(shards), "shard long, n long, data binary")
+    repeated = phrases.groupBy("shard").applyInPandas(_repeated, "block long, n long, data binary")
     # ids with nulls would become doubles on the way to Python
-    by_block = dealt.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "block")
-
-    phrases = dealt.select("block", "text").mapInPandas(_phrases_of(blocks, shards), "shard long, h binary, block binary")
-    repeated = staged(phrases.groupBy("shard").applyInPandas(_repeated, "block long, h binary"), "phrases")
-    found = staged(by_block.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(_locate(shards), _LOCATED), "located")
-    firsts = found.where("kind = 'window'").select("shard", "block", "data", "more").groupBy("shard").applyInPandas(_first, "block long, doc binary, start binary")
-    waiting = found.where("kind = 'wait'").select("block", "doc_id", "text", "data")
+    packed = dealt.select("block", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.col("doc_id").isNull().alias("null"), "copies", "text").mapInArrow(_packed, "block long, n long, data binary")
+    found = staged(packed.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(_locate(shards), _LOCATED), "located")
+    firsts = found.where("kind = 'window'").select("shard", "block", "n", "data").groupBy("shard").applyInPandas(_first, "block long, n long, data binary")
+    waiting = found.where("kind = 'wait'").select("block", "n", "data")
     finished = waiting.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(_finish, _DONE)
-    done = found.where("kind = 'done'").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("removed"))
-    return done.unionByName(finished).withColumn("doc_id", F.nullif("doc_id", F.lit(int(LAST))))
+    done = found.where("kind = 'done'").select("doc_id", "copies", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("removed"))
+    every = done.unionByName(finished)
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
