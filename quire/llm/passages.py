@@ -13,8 +13,8 @@ the positions stand for all. A word goes as a symbol of 12 bits, so a phrase is
 
 Nothing is dropped or sampled. What goes over the network per window is one row for each block, so a passage that stands
 in a third of all documents, or a phrase repeated without end, weighs no more than others. No step holds more than a
-block or a shard, both of bounded size. Texts go packed and compressed, once to their block, and once more if a window of
-theirs was located.
+block or a shard, both of bounded size. Texts go over the network once, packed and compressed, to their block; the last
+step reads that exchange again, runs the automaton again and numbers the windows alike.
 """
 
 from __future__ import annotations
@@ -241,56 +241,61 @@ def kept(words: Line, gone: np.ndarray) -> list[tuple[int, int, str]]:
     return [(k, g, hashlib.sha256(out[a : max(a, b - 1)]).hexdigest()) for k, g, a, b in zip(n.tolist(), away.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-_LOCATED = "kind string, block long, shard long, n long, data binary, doc_id long, copies long, n_words long, sha string"
-_KINDS = {"block": "Int64", "shard": "Int64", "n": "Int64", "doc_id": "Int64", "copies": "Int64", "n_words": "Int64"}
+class Candidates(NamedTuple):
+    """Located windows of a block in the order of its documents and their starts."""
+
+    row: np.ndarray  # the document
+    start: np.ndarray  # the first word in it
+    number: np.ndarray  # of the window, at its first places in the block; -1 elsewhere
+    first: np.ndarray  # by number: the place (in this order) of the window's first one
+    a: np.ndarray  # 96 bits of the window's hash
+    b: np.ndarray
+
+
+def _read(docs: pd.DataFrame, phrases: pd.DataFrame) -> tuple[Documents, list[Line], Candidates]:
+    """Step 2 of one block. Whatever order its rows come in, the same numbers name the same windows."""
+    import xxhash
+
+    every = _documents(docs["n"], docs["data"])
+    raw = memoryview(every.data)
+    digest = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(every.offsets[:-1].tolist(), every.offsets[1:].tolist(), strict=True)], np.uint64)
+    every = every.of(np.lexsort((digest, every.null, every.ids)))
+    strings = phrase_strings(*_columns(phrases["n"], phrases["data"], np.uint64, np.uint32))
+    made = automaton(strings) if strings else None
+    read, found = list(lines(every.data, every.offsets)), []
+    for words in read:
+        at = located(words, made) if made else np.zeros(0, np.int64)
+        of = np.searchsorted(words.cuts, at, side="right") - 1
+        a, b = (rolled(words.ids, WINDOW, k)[at] if len(at) else np.zeros(0, np.uint64) for k in (0, 1))
+        found.append((words.first + of, (at - words.cuts[of]).astype(np.int32), a, (b >> np.uint64(32)).astype(np.uint32)))
+    row, start, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = every.ids[row]
+    order = np.lexsort((start, doc, b, a))
+    new = _starts_of(a[order], b[order])
+    which, first = np.cumsum(new) - 1, order[new]
+    number = np.empty(len(first), np.int32)
+    number[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+    numbers = np.empty(len(a), np.int32)
+    numbers[order] = np.where((doc[order] == doc[first][which]) & (start[order] == start[first][which]), number[which], -1)
+    return every, read, Candidates(row, start, numbers, np.sort(first), a, b)
+
+
+_PACKED = "block long, n long, data binary"
 
 
-def _locate(shards: int):
-    """Step 2 of one block, for cogroup."""
+def _windows(shards: int):
+    """For cogroup: the first places of the located windows of one block, packed by shard."""
 
     def run(docs: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
-        """Documents without a located window are done; the others wait, and the first places of their windows go to shards."""
-        if not len(docs):
-            return pd.DataFrame(columns=[x.split()[0] for x in _LOCATED.split(", ")]).astype(_KINDS)
-        block, every = int(docs["block"].iloc[0]), _documents(docs["n"], docs["data"])
-        strings = phrase_strings(*_columns(phrases["n"], phrases["data"], np.uint64, np.uint32))
-        made = automaton(strings) if strings else None
-        rows, win, waits = [], [], []
-        for words in lines(every.data, every.offsets):
-            at = located(words, made) if made else np.zeros(0, np.int64)
-            of = np.searchsorted(words.cuts, at, side="right") - 1
-            if len(at):
-                a, b = (rolled(words.ids, WINDOW, k)[at] for k in (0, 1))
-                win.append((a, (b >> np.uint64(32)).astype(np.uint32), words.first + of, (at - words.cuts[of]).astype(np.int32)))
-            wait = np.unique(of)
-            waits.append(words.first + wait)
-            hit = {*waits[-1].tolist()}
-            for k, (n, _, sha) in enumerate(kept(words, np.zeros(len(words.ids), bool)), words.first):
-                if k not in hit:
-                    rows.append(("done", block, None, None, None, None if every.null[k] else int(every.ids[k]), int(every.copies[k]), n, sha))
-        if win:
-            a, b, row, start = (np.concatenate(x) for x in zip(*win, strict=True))
-            doc = every.ids[row]
-            order = np.lexsort((start, doc, b, a))
-            new = _starts_of(a[order], b[order])
-            which, first = np.cumsum(new) - 1, order[new]
-            # windows are numbered by their first place; a place that is not the first of its block has number -1
-            number = np.empty(len(first), np.int32)
-            number[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
-            least = (doc[order] == doc[first][which]) & (start[order] == start[first][which])
-            numbers = np.empty(len(a), np.int32)
-            numbers[order] = np.where(least, number[which], -1)
-            first = np.sort(first)
-            for shard, i in by_shard(a[first], shards):
+        rows = []
+        if len(docs) and len(phrases):
+            every, _, found = _read(docs, phrases)
+            first = found.first
+            for shard, i in by_shard(found.a[first], shards):
                 j = first[i]
-                places = _zip(doc[j], start[j], np.diff(i, prepend=0).astype(np.int32))
-                rows.append(("window", block, shard, len(j), a[j].tobytes() + b[j].tobytes() + places, None, None, None, None))
-            waiting = np.concatenate(waits)
-            per_row = np.bincount(np.searchsorted(waiting, row), minlength=len(waiting))
-            marks = _zip(per_row.astype(np.int64)), _zip(start, numbers)
-            sizes = np.array([len(marks[0]), len(marks[1])], np.int64).tobytes()
-            rows.append(("wait", block, None, len(waiting), sizes + marks[0] + marks[1] + every.of(waiting).packed(), None, None, None, None))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in _LOCATED.split(", ")]).astype(_KINDS)
+                places = _zip(every.ids[found.row[j]], found.start[j], np.diff(i, prepend=0).astype(np.int32))
+                rows.append((shard, int(docs["block"].iloc[0]), len(j), found.a[j].tobytes() + found.b[j].tobytes() + places))
+        return pd.DataFrame(rows, columns=["shard", "block", "n", "data"])
 
     return run
 
@@ -319,33 +324,25 @@ def _first(pdf: pd.DataFrame) -> pd.DataFrame:
 _DONE = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string, removed binary"
 
 
-def _finish(docs: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: located windows that are nowhere first cover their words."""
-    rows = []
-    first = [np.cumsum(_unzip(x, k, np.int32)[0]) for k, x in zip(firsts["n"].tolist(), firsts["data"], strict=True)]
-    first = np.sort(np.concatenate(first)) if first else np.zeros(0, np.int64)
-    for n, data in zip(docs["n"].tolist(), docs["data"], strict=True):
-        cut, end = np.cumsum(np.frombuffer(data, np.int64, 2)) + 16
-        per_row = _unzip(data[16:cut], n, np.int64)[0]
-        starts, numbers, _ = _unzip(data[cut:end], int(per_row.sum()), np.int32, np.int32)
-        covers = numbers < 0
-        if len(first):
-            at = np.minimum(np.searchsorted(first, numbers), len(first) - 1)
-            covers |= first[at] != numbers
-        else:
-            covers[:] = True
-        every = _documents(pd.Series([n]), pd.Series([data[end:]]))
-        upto = np.concatenate([[0], np.cumsum(per_row)])
-        for words in lines(every.data, every.offsets):
-            lo, hi = upto[words.first], upto[words.first + len(words.cuts) - 1]
-            own = np.repeat(words.cuts[:-1], per_row[words.first : words.first + len(words.cuts) - 1])
-            at = (own + starts[lo:hi])[covers[lo:hi]]
-            edge = np.bincount(at, minlength=len(words.ids) + 1) - np.bincount(at + WINDOW, minlength=len(words.ids) + 1)
-            gone = np.cumsum(edge[: len(words.ids)]) > 0
+def _finish(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """Of one block, told its phrases and which of its windows are first of all: all other located windows cover."""
+    names, rows = [x.split()[0] for x in _DONE.split(", ")], []
+    if len(docs):
+        every, read, found = _read(docs, told[~told["is_first"]])
+        firsts = told[told["is_first"]]
+        is_first = np.zeros(len(found.first) + 1, bool)  # the last place stands for number -1
+        for n, data in zip(firsts["n"].tolist(), firsts["data"], strict=True):
+            is_first[np.cumsum(_unzip(data, n, np.int32)[0])] = True
+        covers = ~is_first[found.number]
+        row, start = found.row[covers], found.start[covers]
+        upto = np.searchsorted(row, np.arange(len(every.ids) + 1))
+        for words in read:
+            n, lo, hi = len(words.ids), upto[words.first], upto[words.first + len(words.cuts) - 1]
+            at = words.cuts[row[lo:hi] - words.first] + start[lo:hi]
+            gone = np.cumsum(np.bincount(at, minlength=n + 1)[:n] - np.bincount(at + WINDOW, minlength=n + 1)[:n]) > 0
             for k, (m, g, sha) in enumerate(kept(words, gone), words.first):
-                mine = starts[upto[k] : upto[k + 1]][covers[upto[k] : upto[k + 1]]]
-                rows.append((None if every.null[k] else int(every.ids[k]), int(every.copies[k]), m, g, sha, mine.tobytes()))
-    names = [x.split()[0] for x in _DONE.split(", ")]
+                mine = start[upto[k] : upto[k + 1]].tobytes()
+                rows.append((None if every.null[k] else int(every.ids[k]), int(every.copies[k]), m, g, sha, mine or None))
     return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "copies": "Int64", "n_words": "Int64", "n_removed": "Int64"})
 
 
@@ -375,15 +372,14 @@ def repeated_passages(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod("digest", F.lit(blocks)))
 
     phrases = dealt.select("block", "text").mapInArrow(_phrases_of(shards), "shard long, n long, data binary")
-    repeated = phrases.groupBy("shard").applyInPandas(_repeated, "block long, n long, data binary")
+    repeated = phrases.groupBy("shard").applyInPandas(_repeated, _PACKED)
     # ids with nulls would become doubles on the way to Python
-    packed = dealt.select("block", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.col("doc_id").isNull().alias("null"), "copies", "text").mapInArrow(_packed, "block long, n long, data binary")
-    found = staged(packed.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(_locate(shards), _LOCATED), "located")
-    firsts = found.where("kind = 'window'").select("shard", "block", "n", "data").groupBy("shard").applyInPandas(_first, "block long, n long, data binary")
-    waiting = found.where("kind = 'wait'").select("block", "n", "data")
-    finished = waiting.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(_finish, _DONE)
-    done = found.where("kind = 'done'").select("doc_id", "copies", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("removed"))
-    every = done.unionByName(finished)
+    packed = dealt.select("block", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.col("doc_id").isNull().alias("null"), "copies", "text").mapInArrow(_packed, _PACKED)
+    windows = packed.groupBy("block").cogroup(repeated.groupBy("block")).applyInPandas(_windows(shards), "shard long, block long, n long, data binary")
+    firsts = windows.groupBy("shard").applyInPandas(_first, _PACKED)
+    # blocks are read again with what they are told: cheaper than to send their texts and windows a second time
+    told = repeated.withColumn("is_first", F.lit(False)).unionByName(firsts.withColumn("is_first", F.lit(True)))
+    every = packed.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_finish, _DONE)
     return every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
