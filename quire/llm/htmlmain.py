@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +28,12 @@ SEED = 11
 def features(blocks) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
-    for k, (text, names, marks, linked) in enumerate(blocks):
+    for k, (text, own, names, marks, linked) in enumerate(blocks):
         words = text.count(" ") + 1
         end = text[-1]
-        own = names[-1] if names else ""
         fs = ["bias", f"own={own}", f"links={int(linked * 4 + 0.5)}", f"words={min(words, 4) if words < 5 else 5 + min(4, words // 12)}"]
-        fs += [f"in={x}" for x in {*names}]
-        fs += [f"mark={x}" for x in {*marks}]
+        fs += [f"in={x}" for x in sorted(names)]
+        fs += [f"mark={x}" for x in sorted(marks)]
         fs.append("stop" if end in ".!?…\"'”»)" else "nostop")
         if "©" in text[:3] or "(c) " in text[:6].lower():
             fs.append("copyright")
@@ -251,7 +250,7 @@ def model() -> Field:
 
 
 def main_text(field: Field, page: str | None) -> str:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", lambda mark: f"mark={mark}" in field.index)
     if not blocks:
         return ""
     return "\n".join(b[0] for b, y in zip(blocks, field.decode(features(blocks)), strict=True) if y)
@@ -265,13 +264,13 @@ def extract_main(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """
     field = field or model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [main_text(field, h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([main_text(field, x.as_py()) for x in batch.column(2)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["page_id", "url", "text"])
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.select("page_id", "url", "html").mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
