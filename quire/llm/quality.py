@@ -48,6 +48,11 @@ def _beginning(n: int):
     return lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*"))
 
 
+def _share(share: float) -> int:
+    """The digests of 63 bits up to this one are a share of all."""
+    return 2**63 - 1 if share >= 1 else int(share * 2**62) * 2
+
+
 def mined_terms(docs: DataFrame, labels: DataFrame | None, sample: int = LABELLED, most: int = TERMS) -> list[str]:
     """Words and beginnings of words (4 or 5 letters and *) that mark documents labelled toxic.
 
@@ -58,7 +63,8 @@ def mined_terms(docs: DataFrame, labels: DataFrame | None, sample: int = LABELLE
         return []
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)).limit(2 * sample)
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    known = known.where(drawn <= _share(share)).orderBy(drawn, "doc_id", "toxic").limit(2 * sample)
     texts = docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic") > 0).toDF("text", "toxic")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
     begins = [F.transform(F.filter(words, _longer(n + 1)), _beginning(n)) for n in BEGINNINGS]
@@ -204,8 +210,8 @@ def _values(at: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, bits: int = BITS) -> dict:
     """The model: share of good documents, accuracies of the labellers, weights of the scorer.
 
-    Vote patterns are counted over all of docs (doc_id, text). About `sample` documents, chosen by a digest of doc_id,
-    train the scorer; only their hashed features reach the driver. labels (doc_id, toxic) add terms of abuse to one labeller.
+    Vote patterns are counted over all of docs (doc_id, text). About `sample` documents, the least by a digest
+    of doc_id and text, train the scorer; only their hashed features reach the driver. labels (doc_id, toxic) add terms of abuse to one labeller.
     An empty table gives a model that keeps everything.
     """
     terms, names = mined_terms(docs, labels), list(LABELLERS)
@@ -222,16 +228,18 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         for pdf in batches:
             read = [reader.read(t) for t in pdf["text"]]
             packed = [features(*r, bits)[0].astype(np.int32).tobytes() for r in read]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": [",".join(map(str, votes(s))) for s, _ in read], "at": packed})
+            yield pd.DataFrame({"drawn": pdf["drawn"], "votes": [",".join(map(str, votes(s))) for s, _ in read], "at": packed})
 
     counted = docs.select("text").mapInPandas(count, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in counted], dtype=np.int64).reshape(-1, len(names))
     counts = np.array([r["n"] for r in counted], dtype=float)
     post, good, chance = accuracies(patterns, counts)
     share = min(1.0, sample / max(1.0, counts.sum()))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)).limit(2 * sample)
-    rows = chosen.mapInPandas(sampled, "doc_id long, votes string, at binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["at"])))
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    chosen = docs.select(drawn.alias("drawn"), "text").where(F.col("drawn") <= _share(share))
+    rows = chosen.mapInPandas(sampled, "drawn long, votes string, at binary").orderBy("drawn", "at").limit(2 * sample).collect()
+    if counted and not rows:
+        raise ValueError("no document was drawn to train on")
     by_pattern = dict(zip((r["votes"] for r in counted), post.tolist(), strict=True))
     target = np.array([by_pattern[r["votes"]] for r in rows])
     slots = [np.frombuffer(r["at"], np.int32) for r in rows]
