@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, lower_ascii, table
+from .common import join_counted, lower_ascii, staged, table
 
 #: Fixed values: (verdict, host, path) of the rules of the query.
 RULES = [
@@ -87,12 +87,14 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
         .select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "good")
     )
+    # each level is read several times
+    hosts = staged(hosts, "hosts")
     add = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    domains = hosts.groupBy("domain", "suffix").agg(*add)
-    suffixes = domains.groupBy("suffix").agg(*add)
+    domains = staged(hosts.groupBy("domain", "suffix").agg(*add), "domains")
+    suffixes = staged(domains.groupBy("suffix").agg(*add), "suffixes")
     whole = suffixes.agg(*add).select(((F.coalesce("good", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("up"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole)), ["suffix"], "up").select("suffix", F.col("mean").alias("up"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), ["domain"], "up").select("domain", F.col("mean").alias("up"))
+    suffixes = staged(_shrunk(suffixes.crossJoin(F.broadcast(whole)), ["suffix"], "up").select("suffix", F.col("mean").alias("up")), "of-suffix")
+    domains = staged(_shrunk(domains.join(suffixes, "suffix"), ["domain"], "up").select("domain", F.col("mean").alias("up")), "of-domain")
     return _shrunk(hosts.join(domains, "domain"), ["host"], "up")
 
 
