@@ -509,3 +509,16 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + {N - 1}], ' ') g FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - {N - 2}))) i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) n FROM s GROUP BY rid),
+pairs AS (SELECT a.rid x, b.rid y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= {T} * (nx.n + ny.n - c)),
+reach AS (SELECT rid v, rid r FROM d UNION SELECT v, y FROM reach JOIN links ON r = x)
+SELECT any_value(a.doc_id) doc_id, coalesce(any_value(n), 0)::BIGINT n_shingles, min(b.doc_id) component_id
+FROM reach JOIN d a ON a.rid = v JOIN d b ON b.rid = r LEFT JOIN n ON n.rid = v GROUP BY v
+"""

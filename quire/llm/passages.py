@@ -385,3 +385,19 @@ def repeated_passages(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+win AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], chr(10)) win FROM (SELECT *, unnest(range(1, greatest(1, len(w) - {WINDOW - 2}))) i FROM d)),
+late AS (SELECT rid, i FROM (SELECT rid, i, rank() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, i) nth FROM win) WHERE nth > 1),
+words AS (SELECT rid, doc_id, unnest(w) word, generate_subscripts(w, 1) p FROM d),
+marked AS (
+  SELECT w.*, coalesce(max(l.i) OVER (PARTITION BY w.rid ORDER BY p) > p - {WINDOW}, false) gone FROM words w LEFT JOIN late l ON w.rid = l.rid AND w.p = l.i),
+kept AS (
+  SELECT rid, count(*) n_words, count(*) FILTER (gone) n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) txt
+  FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT n_words, coalesce(n_removed, 0)::BIGINT n_removed, sha256(coalesce(txt, '')) kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

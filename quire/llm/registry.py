@@ -6,8 +6,8 @@ from .chat import OP5_SQL, op5_rotate_perspectives
 from .decontam import op1_find_leaks
 from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
-from .ngramjoin import op4_jaccard_components
-from .passages import op9_repeated_passages
+from .ngramjoin import OP4_SQL, op4_jaccard_components
+from .passages import OP9_SQL, op9_repeated_passages
 from .pii import OP3_SQL, op3_find_pii
 from .quality import op6_judge_quality
 from .urlrep import OP8_SQL, op8_url_reputation
@@ -29,7 +29,9 @@ QUERIES = {
 ORACLE = {
     "op2_mix_sources": OP2_SQL,
     "op3_find_pii": OP3_SQL,
+    "op4_jaccard_components": OP4_SQL,
     "op5_rotate_perspectives": OP5_SQL,
     "op7_top_k": OP7_SQL,
     "op8_url_reputation": OP8_SQL,
+    "op9_repeated_passages": OP9_SQL,
 }
