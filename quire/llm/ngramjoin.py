@@ -374,9 +374,10 @@ def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
 
     Classes of open keys lie in blocks of at most CELL_SETS, of one component where that is large, else of a label. Of each
     key, the blocks outside its largest component meet all its blocks but those of their own component, those whose sizes
-    allow no link and those of their own cell. Only the classes of the key meet, not whole blocks.
+    allow no link and those of their own cell. Crowds share many classes, so their blocks meet as a whole, once for all
+    crowds; of a pair of groups only its own classes meet.
     """
-    of_key = open_.join(placed.select("v", "group"), "group").select("key", "v")
+    of_key = open_.join(placed.select("v", "group"), "group").select("key", "crowd", "v")
     here = staged(placed.join(of_key.select("v").distinct(), "v", "left_semi"), "here")
     blocks = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES))
     large = here.groupBy("comp").agg(F.count("*").alias("k"), blocks.alias("of_comp")).where(F.col("k") >= CELL_SETS // 2).drop("k")
@@ -385,18 +386,27 @@ def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
     here = here.join(rest, "label", "left")
     pure = F.when(F.col("of_comp").isNotNull(), F.col("comp"))
     block = F.when(pure.isNotNull(), _dealt("comp", F.col("of_comp"))).otherwise(_dealt("label", F.col("of_label")))
-    of_key = staged(of_key.join(here.select("v", "n", "cell", block.alias("block"), pure.alias("pure")), "v"), "of-key")
+    here = staged(here.select("v", "n", "cell", block.alias("block"), pure.alias("pure")), "blocks")
+    of_key = staged(of_key.join(here, "v"), "of-key")
 
     ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "n") for name, f in (("low", F.min), ("high", F.max))]
-    by_block = staged(of_key.groupBy("key", "block", "pure").agg(F.count("*").alias("k"), *ends), "by-block")
+    by_block = staged(of_key.groupBy("key", "crowd", "block", "pure").agg(F.count("*").alias("k"), *ends), "by-block")
     home = by_block.where("pure is not null").groupBy("key", "pure").agg(F.sum("k").alias("k")).groupBy("key").agg(F.max_by("pure", "k").alias("home"))
     outside = by_block.join(home, "key", "left").where("pure is null or pure <> home").drop("home", "k")
-    x, y = (d.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n"))) for d, side in ((outside, "x"), (by_block, "y")))
+    x, y = (d.select("key", *(["crowd"] if side == "x" else []), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n"))) for d, side in ((outside, "x"), (by_block, "y")))
     meet = x.join(y, "key").where("pure_x is null or pure_y is null or pure_x <> pure_y").where("low_cell_x <> high_cell_x or low_cell_y <> high_cell_y or low_cell_x <> low_cell_y")
     meet = meet.where(f"100 * high_n_x >= {T} * low_n_y and 100 * high_n_y >= {T} * low_n_x")
-    meet = meet.select("key", F.least("block_x", "block_y").alias("x"), F.greatest("block_x", "block_y").alias("y")).distinct().withColumn("meet", F.xxhash64("x", "y"))
-    sides = meet.selectExpr("key", "meet as at", "0 as side", "x as block").unionByName(meet.where("x <> y").selectExpr("key", "meet as at", "1 as side", "y as block"))
-    return staged(of_key.join(sides, ["key", "block"]).select(F.col("at").alias("cell"), "side", "v", "n").distinct(), "needed")
+    meet = meet.select("key", "crowd", F.least("block_x", "block_y").alias("x"), F.greatest("block_x", "block_y").alias("y")).withColumn("meet", F.xxhash64("x", "y"))
+    meet = staged(meet.distinct(), "meet")
+
+    def sides(meet: DataFrame, *keep: str) -> DataFrame:
+        first = meet.select(*keep, F.col("meet").alias("at"), F.lit(0).alias("side"), F.col("x").alias("block"))
+        return first.unionByName(meet.where("x <> y").select(*keep, F.col("meet").alias("at"), F.lit(1).alias("side"), F.col("y").alias("block"))).distinct()
+
+    in_crowds = here.join(sides(meet.where("crowd")), "block")
+    in_pairs = of_key.where("not crowd").join(sides(meet.where("not crowd"), "key"), ["key", "block"])
+    needed = in_crowds.select("at", "side", "v", "n").unionByName(in_pairs.select("at", "side", "v", "n"))
+    return staged(needed.withColumnRenamed("at", "cell").distinct(), "needed")
 
 
 def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HOT) -> DataFrame:
@@ -459,7 +469,7 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     found = components(links)
 
     keys = crowds.select(F.xxhash64(F.lit("crowd"), "shingle").alias("key"), "group").unionByName(alone.select(F.xxhash64(F.lit("group"), "group").alias("key"), "group"))
-    keys = keys.unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group")))
+    keys = keys.withColumn("crowd", F.lit(True)).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), F.lit(False).alias("crowd")))
     placed = staged(in_cell.select("v", "group", "label", "cell", "n").join(found.withColumnRenamed("label", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "placed")
     open_ = open_keys(keys, placed)
     if not at_most(open_, 0):
