@@ -169,8 +169,11 @@ def lowered(html: Column, expr: str) -> Column | None:
         col = F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\b{m[1]}=["']?{re.escape(m[2])}["'\s/>])[^>]*\bcontent=["']([^"']*)["']""", 1)
     else:
         return None
-    for step in x.steps:
-        col = steps.column(step, col)
+    try:
+        for step in x.steps:
+            col = steps.column(step, col)
+    except ValueError:  # a step without a native form
+        return None
     return col
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 MAX_DEPTH = 200
 
 
@@ -40,15 +42,15 @@ def follow_next(spark: SparkSession, starts: DataFrame, nexts: DataFrame, max_de
     """(start, depth, url): the pages that follow each start, itself first, by next links; ends without a next link or at
     max_depth, so a cycle cannot run on.
 
-    starts: (start); nexts: (url, next_url) with one row for a url.
+    starts: (start); nexts: (url, next_url) with one row for a url. Links are doubled in length each round, so a walk of n
+    pages takes log2(n) rounds, each cut from the one before.
     """
-    starts.createOrReplaceTempView("__quire_starts")
-    nexts.createOrReplaceTempView("__quire_nexts")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(start, depth, url) AS (
-              SELECT start, 0, start FROM __quire_starts
-              UNION ALL
-              SELECT w.start, w.depth + 1, n.next_url FROM walk w JOIN __quire_nexts n ON w.url = n.url
-              WHERE n.next_url IS NOT NULL AND w.depth < {int(max_depth)})
-            SELECT start, depth, url FROM walk"""
-    )
+    walk = starts.select("start", F.lit(0).alias("depth"), F.col("start").alias("url"))
+    jump = nexts.where(F.col("next_url").isNotNull()).select("url", F.col("next_url").alias("to"))
+    length = 1
+    while length <= max_depth and not jump.isEmpty():
+        on = walk.where(F.col("depth") + length <= max_depth).join(jump, "url").select("start", (F.col("depth") + length).alias("depth"), F.col("to").alias("url"))
+        walk, length = cut(walk.unionByName(on)), 2 * length
+        if length <= max_depth:
+            jump = cut(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("__far")), "to").select("url", F.col("__far").alias("to")))
+    return walk

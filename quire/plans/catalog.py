@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lang
 from ..functions import text as T
-from ..operators import assemble, content, extract, search, toc
+from ..operators import assemble, content, extract, projections, search, toc
 from ..session import table
 from ..sources import rules as R
 from ..streaming import jobs
@@ -176,12 +176,12 @@ def book_id(spark, d):
     return table(spark, d, "pages").select("page_id", T.book_id(F.col("url"), "/(\\d+)@js:r").alias("book_id"))
 
 
-@query("SELECT doc_id, translate(left(text, 80), '.:/', '。：／') AS name FROM documents")
+@query("SELECT doc_id, md5(translate(text, '.:/', '。：／')) AS name FROM documents")
 def sanitize_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.safe_file_name(F.left("text", F.lit(80))).alias("name"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.safe_file_name(F.col("text"))).alias("name"))
 
 
-@query("SELECT doc_id, lpad(doc_id::VARCHAR, length((count(*) OVER ())::VARCHAR)::INT, '0') AS name FROM documents WHERE length(doc_id::VARCHAR) <= (SELECT length(count(*)::VARCHAR) FROM documents)")
+@query("SELECT doc_id, lpad(doc_id::VARCHAR, greatest(length(doc_id::VARCHAR), length((count(*) OVER ())::VARCHAR))::INT, '0') AS name FROM documents")
 def pad_index(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     total = docs.agg(F.count("*").alias("total"))  # one row
@@ -247,15 +247,58 @@ def fail_fast(spark, d):
     return jobs.with_skipped(events, "user_id", "event_id", F.col("event_type") == "error").select("event_id", "skipped")
 
 
-_ADMIT = "SELECT event_id job, ts started, ts + INTERVAL 1 MINUTE * (1 + event_id % 50) ended FROM events"
+@query("""WITH RECURSIVE r AS (SELECT user_id pool, event_id job, ts started, ts + INTERVAL 1 HOUR * (1 + event_id % 50) ended, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events),
+w(pool, n, job, active, ends) AS (
+  SELECT pool, n, job, 0::BIGINT, [ended] FROM r WHERE n = 1
+  UNION ALL SELECT pool, n, job, len(going)::BIGINT, CASE WHEN len(going) < 3 THEN list_append(going, ended) ELSE going END
+  FROM (SELECT r.*, list_filter(w.ends, lambda e: e > r.started) going FROM w JOIN r ON r.pool = w.pool AND r.n = w.n + 1))
+SELECT job, active, active < 3 admitted FROM w""")
+def admission(spark, d):
+    ended = F.expr("ts + make_dt_interval(0, 1 + cast(event_id % 50 as int), 0, 0)").alias("ended")
+    made = table(spark, d, "events").select("user_id", F.col("event_id").alias("job"), F.col("ts").alias("started"), ended)
+    return jobs.admitted(made, 3, "user_id").select("job", "active", "admitted")
 
 
-@query(f"""WITH r AS ({_ADMIT}), s AS (SELECT job, started t, 1 step, job o FROM r UNION ALL SELECT job, ended, -1, NULL FROM r),
-c AS (SELECT *, coalesce(sum(step) OVER (ORDER BY t, step, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT active FROM s)
-SELECT job, active, active < 3 admitted FROM c WHERE step = 1""")
-def admission(spark, d):
-    made = table(spark, d, "events").select(F.col("event_id").alias("job"), F.col("ts").alias("started"), F.expr("ts + make_dt_interval(0, 0, 1 + cast(event_id % 50 as int), 0)").alias("ended"))
-    return jobs.admitted(made, 3).select("job", "active", "admitted")
+_NAV = """SELECT page_id, url base, (generate_subscripts(a, 1) - 1)::INT pos, unnest(a) a FROM (
+  SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>(<a href="[^"]*">[^<]*)</a>', 1) a FROM pages)"""
+_FULL = "CASE WHEN starts_with(href, '/') THEN regexp_extract(base, '^(.*?://[^/]*)', 1) || href ELSE href END"
+
+
+def _decoded(col: str) -> str:
+    return f"replace(replace(replace(replace({col}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, pos, trim({_decoded("regexp_extract(a, '>(.*)$', 1)")}) title, {_FULL} url FROM (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) href FROM ({_NAV}))""")
+def toc_entries(spark, d):
+    return projections.toc_items(table(spark, d, "pages"), "li > a", "nav")
+
+
+@query(f"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT pos, book_name, url, book_name author, '' category, '' latest_chapter, '' last_update_time, '' status, '' word_count
+FROM (SELECT page_id, pos, trim({_decoded("regexp_extract(a, '>(.*)$', 1)")}) book_name, {_FULL} url FROM (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) href FROM ({_NAV})))
+WHERE book_name <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3""")
+def search_results(spark, d):
+    return projections.search_rows(table(spark, d, "pages"), {"result": "nav li", "book_name": "a@href", "author": "a"}, limit=3)
+
+
+_LANG = "regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)"
+
+
+@query(f"""SELECT page_id, {_decoded("regexp_extract(html, '(?is)<title[^>]*>[[:space:]]*(.*?)[[:space:]]*</title>', 1)")} book_name, {_LANG} author,
+  regexp_replace({_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '[[:space:]]', '', 'g') intro FROM pages WHERE book_name <> '' AND author <> ''""")
+def book_detail(spark, d):
+    kept, _ = projections.book_details(table(spark, d, "pages"), {"book_name": "title", "author": "html@lang", "intro": "title"})
+    return kept.select("page_id", "book_name", "author", "intro")
+
+
+@query("SELECT page_id, 'no author' reason FROM pages")
+def book_rejected(spark, d):
+    return projections.book_details(table(spark, d, "pages"), {"book_name": "title"})[1]
+
+
+@query("SELECT page_id, 'empty table of contents' reason FROM pages WHERE NOT regexp_matches(html, '(?s)<li>.*</li>') OR html IS NULL")
+def empty_contents(spark, d):
+    pages = table(spark, d, "pages")
+    return projections.without_entries(pages, projections.toc_items(pages, "li"), "page_id")
 
 
 @query("""SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, count(*) n_chapters FROM conversations GROUP BY conv_id""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,18 @@ def local_session(cpus: int | str = "*", app: str = "quire", partitions: int = 8
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder, so that its plan starts there. Without a folder that the cluster names, a local
+    session takes a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,11 +5,11 @@ An event: job_id, seq, kind (total, done, failed, phase), current, phase, n.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PHASES = ["fetching", "downloading", "merging", "done", "failed"]
@@ -41,28 +41,46 @@ def active_jobs(states: DataFrame) -> DataFrame:
 
 def with_skipped(events: DataFrame, job: str, order: str, failed: Column) -> DataFrame:
     """events with `skipped`: those of a job after its first failure, which never start."""
-    before = W.partitionBy(job).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("skipped", F.coalesce(F.sum(failed.cast("int")).over(before), F.lit(0)) > 0)
+    first = events.where(failed).groupBy(F.col(job).alias("__job")).agg(F.min(order).alias("__first"))
+    marked = events.join(first, events[job] == F.col("__job"), "left")
+    return marked.withColumn("skipped", F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__job", "__first")
 
 
-def admitted(requests: DataFrame, most: int) -> DataFrame:
-    """requests (job, started, ended) with `active` (jobs under way when one starts, those that started with it and have a
-    lesser name included) and `admitted` (active < most).
+def admitted(requests: DataFrame, most: int, pool: str | None = None) -> DataFrame:
+    """requests (job, started, ended, pool) with `active` (admitted jobs under way when one asks) and `admitted` (active <
+    most).
 
-    Starts and ends are summed in order of time by hours: a window within the hour on top of the sum of the hours before,
-    so no task holds all requests. Jobs that were turned away count as under way for as long as they asked.
+    A job that is turned away is never registered, so it counts for nobody; a job that ended is gone at that time, and a null
+    end never comes. Requests of equal time go by job. Each decision depends on those before it, so the requests of a pool
+    are one sequence, read in order with a heap of at most `most` ends; pools (all one without a column) go side by side.
     """
-    start = requests.select("job", F.col("started").alias("at"), F.lit(1).alias("step"), F.col("job").alias("__of"))
-    end = requests.where("ended is not null").select("job", F.col("ended").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast(requests.schema["job"].dataType).alias("__of"))
-    steps = start.unionByName(end).withColumn("__hour", F.date_trunc("hour", "at"))
-    hours = steps.groupBy("__hour").agg(F.sum("step").alias("n"))
-    hours = hours.select("__hour", F.coalesce(F.sum("n").over(W.orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    inside = W.partitionBy("__hour").orderBy("at", "step", "__of").rowsBetween(W.unboundedPreceding, -1)
-    counted = steps.withColumn("__inside", F.coalesce(F.sum("step").over(inside), F.lit(0))).join(hours, "__hour")
-    found = counted.where("step = 1").select("job", F.col("at").alias("started"), (F.col("__ahead") + F.col("__inside")).alias("active"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["started", "job"])
+        ends: list = []
+        counts = []
+        for started, ended in zip(pdf["started"], pdf["ended"].fillna(pd.Timestamp.max), strict=True):
+            while ends and ends[0] <= started:
+                heapq.heappop(ends)
+            counts.append(len(ends))
+            if len(ends) < most:
+                heapq.heappush(ends, ended)
+        return pdf[["job", "started"]].assign(active=counts)
+
+    kind = requests.schema["job"].dataType.simpleString(), requests.schema["started"].dataType.simpleString()
+    pooled = requests.select("job", "started", F.col("ended").cast(requests.schema["started"].dataType).alias("ended"), (F.col(pool) if pool else F.lit(0)).alias("__pool"))
+    found = pooled.groupBy("__pool").applyInPandas(decide, f"job {kind[0]}, started {kind[1]}, active long")
     return found.withColumn("admitted", F.col("active") < most)
 
 
+def snapshot(states: DataFrame, job: str, wanted: list | None = None) -> DataFrame:
+    """The last state of each job (or of those that are wanted), as one that subscribes late is sent first; a job that ended
+    is told so. Unknown jobs have no row."""
+    rows = states if wanted is None else states.where(F.col(job).isin(wanted))
+    last = rows.groupBy(job).agg(F.max_by(F.struct(*[c for c in states.columns if c != job]), "seq").alias("s"))
+    return last.select(job, "s.*").withColumn("terminal", is_terminal(F.col("phase")))
+
+
 def fold(state: dict | None, events: pd.DataFrame) -> dict:
     """State of one job after some more events."""
     s = state or {"total": 0, "done": 0, "failed": 0, "current": "", "phase": PHASES[0], "seq": -1}

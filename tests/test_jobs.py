@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pandas as pd
@@ -26,6 +27,50 @@ def test_next_pages_end_in_a_cycle(spark):
     assert toc.follow_next(spark, starts, nexts, max_depth=3).count() == 4
 
 
+def test_next_pages_of_a_long_chain(spark):
+    nexts = spark.createDataFrame([(k, k + 1) for k in range(150)] + [(150, None)], "url int, next_url int")
+    starts = spark.createDataFrame([(0,), (100,)], "start int")
+    got = {(r["start"], r["depth"], r["url"]) for r in toc.follow_next(spark, starts, nexts).collect()}
+    assert got == {(0, k, k) for k in range(151)} | {(100, k, 100 + k) for k in range(51)}
+    assert toc.follow_next(spark, starts, nexts, max_depth=0).count() == 2
+
+
+def test_rejected_jobs_hold_no_place(spark):
+    hour = lambda h: datetime.datetime(2024, 1, 1, h)
+    rows = [(1, hour(0), hour(9)), (2, hour(1), hour(9)), (3, hour(2), hour(4)), (4, hour(3), None)]
+    df = spark.createDataFrame(rows, "job int, started timestamp, ended timestamp")
+    assert {r["job"]: (r["active"], r["admitted"]) for r in jobs.admitted(df, 1).collect()} == {1: (0, True), 2: (1, False), 3: (1, False), 4: (1, False)}
+    assert {r["job"]: (r["active"], r["admitted"]) for r in jobs.admitted(df, 2).collect()} == {1: (0, True), 2: (1, True), 3: (2, False), 4: (2, False)}
+
+
+def test_snapshot_of_late_readers(spark):
+    df = spark.createDataFrame([("a", 1, "downloading"), ("a", 2, "done"), ("b", 1, "fetching")], "job string, seq int, phase string")
+    assert sorted(map(tuple, jobs.snapshot(df, "job").collect())) == [("a", 2, "done", True), ("b", 1, "fetching", False)]
+    assert jobs.snapshot(df, "job", ["x"]).count() == 0
+
+
+def test_projections(spark):
+    from quire.operators import extract
+    from quire.operators import projections as P
+
+    html = """<table><tr><td><a href="/b/1">One</a><td>Ann</tr><tr><td><a>  </a></tr><tr><td><a href="b/2">Two</a><td>Bob</tr><tr><td><a href=x>Three</a></tr></table>
+      <div id=list><a href=c1>C 1</a><a>C 2</a></div><select><option value="/p1"><option value="/p2"></select><a id=next href="n2">next</a>"""
+    pages = spark.createDataFrame([(1, "http://h/d/i", html), (2, "http://h/", None)], "page_id int, url string, html string")
+    got = [(r["book_name"], r["url"], r["author"]) for r in P.search_rows(pages, {"result": "tr", "book_name": "a@href", "author": "td:nth-child(2)"}, limit=2).collect()]
+    assert got == [("One", "http://h/b/1", "Ann"), ("Two", "http://h/d/b/2", "Bob")]
+    assert [tuple(r) for r in P.toc_items(pages, "a", "#list").collect()] == [(1, 0, "C 1", "http://h/d/c1"), (1, 1, "C 2", "")]
+    assert [tuple(r) for r in P.toc_pages(pages, "option").collect()] == [(1, "list", 0, "http://h/p1"), (1, "list", 1, "http://h/p2")]
+    assert [tuple(r) for r in P.toc_pages(pages, "#next").collect()] == [(1, "next", 0, "http://h/d/n2")]
+    assert [r["page_id"] for r in P.without_entries(pages, P.toc_items(pages, "a"), "page_id").collect()] == [2]
+    book = '<meta name="n" content="N"><meta name="a" content="作者：A"><meta name="i" content=" x y "><meta name="t" content="更新时间：now">'
+    pages = spark.createDataFrame([(1, "u", book), (2, "u", '<meta name="n" content="N">'), (3, "u", None)], "page_id int, url string, html string")
+    rule = {"book_name": 'meta[name="n"]', "author": 'meta[name="a"]', "intro": 'meta[name="i"]', "last_update_time": 'meta[name="t"]'}
+    kept, rejected = P.book_details(pages, rule)
+    assert [(r["book_name"], r["author"], r["intro"], r["last_update_time"]) for r in kept.collect()] == [("N", "A", "xy", "now")]
+    assert sorted(map(tuple, rejected.collect())) == [(2, "no author"), (3, "no book name")]
+    assert extract.lowered(F.col("html"), "title@js:r=r.replace(/b+/,'c')") is None
+
+
 def test_fold_stops_at_a_terminal_phase():
     events = pd.DataFrame([("total", 1, "", "", 2), ("done", 2, "c1", "", 0), ("phase", 3, "", "done", 0), ("failed", 4, "c2", "", 0)], columns=["kind", "seq", "current", "phase", "n"])
     assert jobs.fold(None, events) == {"total": 2, "done": 1, "failed": 0, "current": "c1", "phase": "done", "seq": 3}
