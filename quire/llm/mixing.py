@@ -75,36 +75,20 @@ def drawn_blocks(targets: DataFrame, block: Column, seed: str = SEED) -> DataFra
 
 
 def shard_quotas(quotas: DataFrame, n_shards: int, seed: str = SEED) -> DataFrame:
-    """(shard, rank, n): how many blocks of each source a shard gets; quotas: (rank, n).
+    """(shard, rank, n): how many blocks of each source a shard gets, if any; quotas: (rank, n).
 
-    The splitting tree, level by level. A node's left half gets its share of the node's blocks as a sample without
-    replacement: source by source, block by block, a block goes left with the chance (wanted / remaining).
+    The splitting tree, level by level. A node's left half gets its share of the node's blocks, those of the least digests:
+    a sample without replacement, so its counts by source are multivariate hypergeometric.
     """
-    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("n").cast("long").alias("n")))).alias("q"))
-    nodes = nodes.select(F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"), "q")
+    at = quotas.where("n > 0").select("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("i"), F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"))
     for _ in range(math.ceil(math.log2(max(1, n_shards)))):
-        nodes = nodes.withColumn("mid", F.expr("cast((lo + hi) div 2 as int)")).withColumn(
-            "left",
-            F.expr(f"""
-            aggregate(q,
-              named_struct('want', (aggregate(q, 0L, (s, x) -> s + x.n) * (mid - lo)) div (hi - lo), 'rest', aggregate(q, 0L, (s, x) -> s + x.n),
-                           'got', cast(array() as array<struct<rank:int,n:bigint>>)),
-              (s, x) -> transform(array(
-                aggregate(if(x.n = 0, cast(array() as array<bigint>), sequence(1L, x.n)), named_struct('want', s.want, 'rest', s.rest, 'k', 0L),
-                  (t, i) -> if(pmod(xxhash64('{seed}', lo, hi, x.rank, i), 1000000007L) * t.rest < t.want * 1000000007L,
-                               named_struct('want', t.want - 1, 'rest', t.rest - 1, 'k', t.k + 1),
-                               named_struct('want', t.want, 'rest', t.rest - 1, 'k', t.k)))),
-                t -> named_struct('want', t.want, 'rest', t.rest, 'got', concat(s.got, array(named_struct('rank', x.rank, 'n', t.k)))))[0],
-              s -> s.got)"""),
-        )
-        halves = F.when(F.col("hi") - F.col("lo") <= 1, F.array(F.struct("lo", "hi", "q"))).otherwise(
-            F.array(
-                F.struct("lo", F.col("mid").alias("hi"), F.col("left").alias("q")),
-                F.struct(F.col("mid").alias("lo"), "hi", F.expr("transform(q, (x, i) -> named_struct('rank', x.rank, 'n', x.n - left[i].n))").alias("q")),
-            )
-        )
-        nodes = nodes.select(F.inline(halves))
-    return nodes.select(F.col("lo").alias("shard"), F.inline("q"))
+        node = W.partitionBy("lo", "hi")
+        place = F.row_number().over(node.orderBy(_digest(seed, F.col("lo"), F.col("hi"), F.col("rank"), F.col("i")), "rank", "i"))
+        at = at.withColumns({"place": place, "all": F.count("*").over(node), "mid": F.expr("cast((lo + hi) div 2 as int)")})
+        left = F.col("place") <= F.expr("(all * (mid - lo)) div (hi - lo)")
+        inner = F.col("hi") - F.col("lo") > 1
+        at = at.select("rank", "i", F.when(inner & ~left, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(inner & left, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+    return at.groupBy(F.col("lo").alias("shard"), "rank").agg(F.count("*").alias("n"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_TIMES, n_blocks: int = N_BLOCKS, n_shards: int = N_SHARDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
@@ -180,16 +164,29 @@ def mixed_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken, one row for each row of docs."""
+    """doc_id, size, source_size, target, taken, n_pieces, shards (where its pieces go: numbers in order, joined by commas;
+    empty without pieces), one row for each row of docs."""
     documents, pieces = mix_sources(docs, **how)
-    taken = pieces.groupBy("rank", "row").agg(F.sum("n_words").alias("taken"))
-    return documents.join(taken, ["rank", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    shards = F.concat_ws(",", F.array_sort(F.collect_set("shard")).cast("array<string>"))
+    taken = pieces.groupBy("rank", "row").agg(F.sum("n_words").alias("taken"), F.count("*").alias("n_pieces"), shards.alias("shards"))
+    made = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_pieces")]
+    return documents.join(taken, ["rank", "row"], "left").select("doc_id", "size", "source_size", "target", *made, F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+def _sql_level(k: int) -> str:
+    """One level of the tree: node (lo, hi) of each block after k + 1 cuts."""
+    return f"""tree{k + 1} AS (
+  SELECT rank, i, CASE WHEN hi - lo > 1 AND place > own * (mid - lo) // (hi - lo) THEN mid ELSE lo END lo,
+         CASE WHEN hi - lo > 1 AND place <= own * (mid - lo) // (hi - lo) THEN mid ELSE hi END hi
+  FROM (SELECT *, (lo + hi) // 2 mid, count(*) OVER (PARTITION BY lo, hi) own,
+               row_number() OVER (PARTITION BY lo, hi ORDER BY md5('{SEED}|' || lo || '|' || hi || '|' || rank || '|' || i), rank, i) place FROM tree{k}))"""
+
+
+_LEVELS = math.ceil(math.log2(N_SHARDS))
 OP2_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-')) mixed FROM documents),
@@ -208,14 +205,21 @@ blocks AS (
       SELECT *, floor(target + 0.5)::BIGINT - copy * source_size rest FROM (
         SELECT *, unnest([0, 1, 2]) copy FROM tgt WHERE source_size > 0)) WHERE rest > 0)),
 drawn AS (
-  SELECT rank, block, least(words, rest - coalesce(sum(words) OVER (PARTITION BY rank, copy ORDER BY mixed, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) taken FROM blocks),
+  SELECT *, row_number() OVER (PARTITION BY rank ORDER BY copy, mixed, block) nth FROM (
+    SELECT rank, block, copy, mixed, least(words, rest - coalesce(sum(words) OVER (PARTITION BY rank, copy ORDER BY mixed, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) taken FROM blocks)
+  WHERE taken > 0),
+tree0 AS (SELECT rank, nth i, 0 lo, {N_SHARDS} hi FROM drawn),
+{", ".join(map(_sql_level, range(_LEVELS)))},
+runs AS (SELECT rank, lo shard, n, sum(n) OVER (PARTITION BY rank ORDER BY lo) past FROM (SELECT rank, lo, count(*) n FROM tree{_LEVELS} GROUP BY rank, lo)),
+dealt AS (SELECT d.rank, block, taken, shard FROM drawn d JOIN runs r ON d.rank = r.rank AND nth > past - n AND nth <= past),
 lines AS (
   SELECT s.*, t.source_size, t.target, t.rank, t.bw, row_number() OVER () rid,
          coalesce(sum(size) OVER (PARTITION BY rank ORDER BY mixed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT beg
   FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
 pieces AS (
-  SELECT rid, sum(greatest(0, least(beg + size, d.block * bw + taken) - greatest(beg, d.block * bw)))::BIGINT taken
-  FROM (SELECT *, unnest(range(beg // bw, (beg + size - 1) // bw + 1)) block FROM lines WHERE size > 0) p
-  JOIN (SELECT * FROM drawn WHERE taken > 0) d ON p.rank = d.rank AND p.block = d.block GROUP BY rid)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT taken FROM lines LEFT JOIN pieces USING (rid)
+  SELECT rid, sum(n_words)::BIGINT taken, count(*) n_pieces, array_to_string(list_sort(list(DISTINCT shard)), ',') shards
+  FROM (SELECT rid, shard, least(beg + size, d.block * bw + taken) - greatest(beg, d.block * bw) n_words
+        FROM (SELECT *, unnest(range(beg // bw, (beg + size - 1) // bw + 1)) block FROM lines WHERE size > 0) p
+        JOIN dealt d ON p.rank = d.rank AND p.block = d.block) WHERE n_words > 0 GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT taken, coalesce(n_pieces, 0)::BIGINT n_pieces, coalesce(shards, '') shards FROM lines LEFT JOIN pieces USING (rid)
 """
