@@ -204,3 +204,8 @@ def is_last_page(next_url: Column, next_text: Column, link_pattern: str = "") ->
 
 def json_state(**columns: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(k) for k, c in columns.items())))
+
+
+def job_id() -> Column:
+    """16 random hexadecimal digits, new for each row; write them before they are used twice."""
+    return F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(16))

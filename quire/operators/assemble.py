@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 from html import escape
 
@@ -13,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The words of a header.
 NO_INTRO = "暂无"
+HEADER = ("书名：", "\n作者：", "\n简介：", "\n")
 
 
 def header(book_name: Column, author: Column, intro: Column) -> Column:
     shown = F.when(F.coalesce(intro, F.lit("")) == "", F.lit(NO_INTRO)).otherwise(T.strip_tags(intro))
-    return F.concat(F.lit("书名："), book_name, F.lit("\n作者："), author, F.lit("\n简介："), shown, F.lit("\n"))
+    return F.concat(F.lit(HEADER[0]), book_name, F.lit(HEADER[1]), author, F.lit(HEADER[2]), shown, F.lit(HEADER[3]))
 
 
 def ordered_text(chapters: DataFrame, book: list[str], index: str, content: str) -> DataFrame:
@@ -69,7 +70,8 @@ def epub_bytes(book_name: str, author: str, intro: str, chapters: list[tuple[str
 
 
 def epub_books(chapters: DataFrame, book: str = "book") -> DataFrame:
-    """(book, data): chapters (book, book_name, author, intro, index, title, content as XHTML) as one EPUB file a book.
+    """(book, data): chapters (book, book_name, author, intro, index, title, content as XHTML, cover as JPEG if there is one) as
+    one EPUB file a book.
 
     A task holds one book at a time.
     """
@@ -77,11 +79,12 @@ def epub_books(chapters: DataFrame, book: str = "book") -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index", kind="stable")
         top = pdf.iloc[0]
-        data = epub_bytes(top["book_name"] or "", top["author"] or "", top["intro"] or "", list(zip(pdf["title"], pdf["content"], strict=True)))
+        cover = top["cover"] if covered else None
+        data = epub_bytes(top["book_name"] or "", top["author"] or "", top["intro"] or "", list(zip(pdf["title"], pdf["content"], strict=True)), cover)
         return pd.DataFrame({book: [top[book]], "data": [data]})
 
-    kind = chapters.schema[book].dataType.simpleString()
-    return chapters.select(book, "book_name", "author", "intro", "index", "title", "content").groupBy(book).applyInPandas(run, f"{book} {kind}, data binary")
+    kind, covered = chapters.schema[book].dataType.simpleString(), "cover" in chapters.columns
+    return chapters.select(book, "book_name", "author", "intro", "index", "title", "content", *(["cover"] if covered else [])).groupBy(book).applyInPandas(run, f"{book} {kind}, data binary")
 
 
 def chapter_file(index: Column, total: Column, title: Column, extension: str) -> Column:
@@ -98,12 +101,11 @@ def file_order(name: Column) -> Column:
 
 
 def write_texts(books: DataFrame, folder: str, encoding: str = "UTF-8") -> None:
-    """books (name, text), one file each, written by the tasks to a folder that all of them share."""
+    """books (name, text), one whole file each, written by the tasks to a folder that all of them share."""
+    from .finish import write_file
 
     def run(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
         for r in rows:
-            with open(os.path.join(folder, r["name"]), "wb") as f:
-                f.write(encoded(r["text"], encoding))
+            write_file(folder, r["name"], encoded(r["text"], encoding))
 
     books.select(T.safe_file_name(F.col("name")).alias("name"), "text").foreachPartition(run)

@@ -63,17 +63,22 @@ def clean(content: Column, title: Column, rule: ChapterRule) -> tuple[Column, Co
 
 def split_paragraphs(content: Column, pattern: str) -> Column:
     """Each non-empty part between matches in <p>; the whole in one if the pattern is empty or unusable."""
-    usable = T.usable_pattern(pattern)
-    if usable is None:
+    if T.usable_pattern(pattern) is None:
         return F.concat(F.lit("<p>"), content, F.lit("</p>"))
-    parts = F.filter(F.split(content, usable, -1), lambda p: p != "")
-    return F.concat_ws("", F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))))
+    return F.concat_ws("", F.transform(parts(content, pattern), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))))
+
+
+def parts(content: Column, pattern: str) -> Column:
+    """array<string>: the non-empty parts between matches of a usable pattern; without one, the whole."""
+    usable = T.usable_pattern(pattern)
+    return F.array(content) if usable is None else F.filter(F.split(content, usable, -1), lambda p: p != "")
 
 
 def paragraphs(content: Column, rule: ChapterRule) -> Column:
     """Content without attributes and ASCII white space, in <p> elements."""
-    bare = _by_batch(extract.clear_attributes)(content)
-    return _by_batch(extract.paragraphs_closed)(bare) if rule.paragraph_tag_closed else split_paragraphs(bare, rule.paragraph_tag)
+    if rule.paragraph_tag_closed:
+        return _by_batch(lambda html: extract.paragraphs_closed(extract.clear_attributes(html)))(content)
+    return split_paragraphs(_by_batch(extract.clear_attributes)(content), rule.paragraph_tag)
 
 
 def render_text(title: Column, content: Column) -> Column:

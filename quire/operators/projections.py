@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dom, steps
+from ..functions import text as T
+from ..session import cut
+from .content import inner_html, join_pages
 from .extract import _rooted, extract, extract_all, extract_fields, extract_href, extract_inner, join_url
+from .toc import follow_next
 
 SEARCH_FIELDS = ["author", "category", "latest_chapter", "last_update_time", "status", "word_count"]
 DETAIL_FIELDS = ["book_name", "author", "intro", "cover_url", "category", "latest_chapter", "latest_chapter_url", "last_update_time", "status"]
@@ -44,7 +48,8 @@ def _rows(pages: DataFrame, key: str, columns: str, of_page: Callable[[dom.Eleme
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    based = pages.select(key, F.col("url").alias("base"), "html") if "base_uri" not in pages.columns else pages.select(key, F.coalesce("base_uri", "url").alias("base"), "html")
+    base = F.coalesce("base_uri", "url") if "base_uri" in pages.columns else F.col("url")
+    based = pages.select(key, base.alias("base"), "html")
     return based.mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {columns}")
 
 
@@ -124,3 +129,30 @@ def toc_pages(pages: DataFrame, next_page: str, key: str = "page_id") -> DataFra
 def without_entries(books: DataFrame, entries: DataFrame, book: str) -> DataFrame:
     """(book, reason): books whose table of contents is empty, which cannot go on."""
     return books.select(book).join(entries.select(book).distinct(), book, "left_anti").withColumn("reason", F.lit("empty table of contents"))
+
+
+def next_links(pages: DataFrame, next_page: str, key: str = "url") -> DataFrame:
+    """(key, next_url, next_text): where a page of a chapter goes on: the href of the first link that matches, in full, and the
+    texts of all that match, one after another; both empty without a match."""
+
+    def of_page(root: dom.Element, base: str) -> list[tuple]:
+        found = _select(root, next_page)
+        href = found[0].attrs.get("href", "") if found else ""
+        return [(join_url(href, base) if href else "", "".join(e.text() for e in found))]
+
+    return _rows(pages, key, "next_url string, next_text string", of_page)
+
+
+def chapter_walk(spark: SparkSession, starts: DataFrame, pages: DataFrame, content_expr: str, next_page: str, tag_filter: str = "", link_pattern: str = "") -> tuple[DataFrame, DataFrame]:
+    """(chapters, rejected): chapters (start, content, n_pages) whose first pages are starts (start), from captured pages (url,
+    html, unique by url); rejected (start, reason) if a page that belongs to a chapter was not captured or has no content."""
+    links = next_links(pages, next_page)
+    ends = T.is_last_page(F.col("next_url"), F.col("next_text"), link_pattern)
+    goes_on = links.select("url", F.when(~ends, F.col("next_url")).alias("next_url"))
+    walk = follow_next(spark, starts, goes_on)
+    own = pages.select("url", inner_html(F.col("html"), content_expr, tag_filter).alias("content")).join(links, "url")
+    read = cut(walk.join(own, "url", "left"))
+    lost = read.where(F.coalesce("content", F.lit("")) == "").groupBy("start").agg(F.min_by("url", "depth").alias("url"))
+    rejected = lost.select("start", F.concat(F.lit("no content: "), "url").alias("reason"))
+    whole = read.join(lost.select("start"), "start", "left_anti")
+    return join_pages(whole, ["start"], "depth", "content", "next_url", "next_text", link_pattern), rejected

@@ -6,11 +6,12 @@ before the per-keyword sums, which are pre-aggregated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 THRESHOLD = 0.25
 
@@ -29,6 +30,21 @@ def scored(candidates: DataFrame, keywords: list[str], name: str, author: str) -
     )
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[Column], index: str = "rank") -> DataFrame:
+    """rows with 1, 2, .. in order for each value of `by` (never null), whatever the size of a group.
+
+    Rows are dealt by ranges of (by, order), so a great group is sorted by many tasks; a row's number is its place in its
+    range and the rows of its group in the ranges before, of which there is one count a range and group.
+    """
+    at = cut(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    ranges = at.groupBy(*by, part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select(*by, "__part", "__first", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    numbered = at.withColumn("__part", part).join(F.broadcast(ranges), [*by, "__part"])  # ranges and groups, not rows
+    return numbered.withColumn(index, (F.col("__at") - F.col("__first") + F.col("__ahead") + 1).cast("int")).drop("__at", "__part", "__first", "__ahead")
+
+
 def ranked_search(candidates: DataFrame, keywords: list[str], name: str, author: str, tiebreak: list[str], filtered: bool = True, limit: int = 0) -> DataFrame:
     """candidates with keyword, similarity, by_author and rank, best first per keyword.
 
@@ -49,9 +65,12 @@ def ranked_search(candidates: DataFrame, keywords: list[str], name: str, author:
     least = F.when(hit & F.lit(filtered), F.lit(THRESHOLD)).otherwise(F.lit(0.0))
     kept = rows.withColumn("similarity", similarity).where(F.col("similarity") > least)
     second = F.when(F.col("by_author"), F.col(name)).otherwise(F.col(author))
-    order = W.partitionBy("keyword").orderBy(F.col("similarity").desc(), second.asc(), *tiebreak)
-    out = kept.withColumn("rank", F.row_number().over(order)).drop("sim_name", "sim_author", "name_hit", "author_hit")
-    return out.where(F.col("rank") <= limit) if limit else out
+    kept = kept.withColumn("__second", second).drop("sim_name", "sim_author", "name_hit", "author_hit")
+    order = [F.col("similarity").desc(), F.col("__second").asc(), *map(F.col, tiebreak)]
+    if not limit:
+        return ranked(kept, ["keyword"], order).drop("__second")
+    best = kept.withColumn("rank", F.row_number().over(W.partitionBy("keyword").orderBy(*order)))  # each task keeps its best
+    return best.where(F.col("rank") <= limit).drop("__second")
 
 
 def limit_per_source(rows: DataFrame, source: list[str], order: list[str], n: int) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lang
 from ..functions import text as T
-from ..operators import assemble, content, extract, projections, search, toc
+from ..operators import assemble, content, extract, finish, projections, search, toc
 from ..session import table
 from ..sources import rules as R
 from ..streaming import jobs
@@ -131,7 +132,7 @@ def empty_tags(spark, d):
 
 @query("SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT pos, unnest(ps) paragraph FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') ps FROM documents)")
 def paragraph_split(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "\n", -1), lambda x: x != "")).alias("pos", "paragraph"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(content.parts(F.col("text"), "\\n")).alias("pos", "paragraph"))
 
 
 @query("""SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\n'), lambda x: x <> ''), lambda x: '<p>' || x || '</p>'), ''), '') html FROM documents""")
@@ -301,6 +302,18 @@ def empty_contents(spark, d):
     return projections.without_entries(pages, projections.toc_items(pages, "li"), "page_id")
 
 
+@query("""SELECT conv_id, 'Conversation ' || conv_id || '(' || n || ').txt' AS name, octet_length(encode(t))::BIGINT n_bytes, md5(t) digest FROM (
+  SELECT conv_id, count(*) n, '书名：Conversation ' || conv_id || chr(10) || '作者：' || count(*) || chr(10) || '简介：暂无' || chr(10) ||
+    string_agg('# ' || coalesce(role, '') || chr(10) || coalesce(text, ''), '' ORDER BY turn) t FROM conversations GROUP BY conv_id)""")
+def finished_texts(spark, d):
+    """Every conversation as a finished text: header and turns in order; name, size and digest of each."""
+    turns = table(spark, d, "conversations")
+    books = turns.groupBy("conv_id").agg(F.count("*").cast("string").alias("author")).withColumns({"book_name": F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")), "intro": F.lit("")})
+    said = F.concat(F.lit("# "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    made = finish.encoded_texts(finish.finished_texts(books, turns.select("conv_id", F.col("turn").alias("index"), said.alias("content")), "conv_id"))
+    return made.select("conv_id", "name", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
 @query("""SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, count(*) n_chapters FROM conversations GROUP BY conv_id""")
 def assemble_text(spark, d):
     return assemble.ordered_text(table(spark, d, "conversations"), ["conv_id"], "turn", "text")
@@ -340,6 +353,23 @@ def suggest(spark, d):
     return search.suggestions(table(spark, d, "part"), "p_name", "b")
 
 
+@query("""SELECT user_id, event_type, least(n - 1, coalesce(hit, 2), 2)::INT attempt, coalesce(hit <= 2, false) ok, CASE WHEN coalesce(hit <= 2, false) THEN NULL ELSE 'status ' || event_type END AS error,
+  (least(n - 1, coalesce(hit, 2), 2) * (least(n - 1, coalesce(hit, 2), 2) + 1) // 2 * 500)::BIGINT waited_ms
+FROM (SELECT user_id, event_type, count(*) n, min(attempt) FILTER (ok) hit FROM (SELECT user_id, event_type, value > 60 ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 attempt FROM events) GROUP BY ALL)""")
+def retried(spark, d):
+    """Events of one kind as attempts of a fetch, two repeats at the most."""
+    nth = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("event_id")) - 1
+    tries = table(spark, d, "events").select("user_id", "event_type", nth.alias("attempt"), (F.col("value") > 60).alias("ok"))
+    return jobs.after_retries(tries.withColumn("error", F.when(~F.col("ok"), F.concat(F.lit("status "), "event_type"))), ["user_id", "event_type"], 2, 500)
+
+
+@query(f"""SELECT page_id, CASE WHEN len(a) = 0 THEN '' WHEN starts_with(regexp_extract(a[1], 'href="([^"]*)"', 1), '/') THEN regexp_extract(url, '^(.*?://[^/]*)', 1) || regexp_extract(a[1], 'href="([^"]*)"', 1) ELSE regexp_extract(a[1], 'href="([^"]*)"', 1) END next_url,
+  {_decoded("array_to_string(list_transform(a, lambda x: regexp_extract(x, '>(.*)$', 1)), '')")} next_text
+FROM (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>(<a href="[^"]*">[^<]*)</a>', 1) a FROM pages)""")
+def next_links(spark, d):
+    return projections.next_links(table(spark, d, "pages"), "nav li > a", "page_id")
+
+
 @query()
 def page_fields(spark, d):
     """Title, language, first heading and footer of every page, one tree a page."""
@@ -372,17 +402,19 @@ def epub_files(spark, d):
     return assemble.epub_books(turns).select("book", F.length("data").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn = 3 THEN '' ELSE 'c_' || turn || '.html' END nxt, text FROM conversations),
-e AS (SELECT *, coalesce(sum((nxt = '')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ended FROM t)
+@query("""WITH t AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL ends, text FROM conversations),
+e AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ended FROM t)
 SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content, count(*) n_pages FROM e WHERE ended = 0 GROUP BY conv_id""")
 def chapter_pages(spark, d):
-    nxt = F.when(F.col("turn") == 3, "").otherwise(F.concat(F.lit("c_"), F.col("turn").cast("string"), F.lit(".html")))
+    """Turns as pages of a chapter; the last has no next link."""
+    following = F.lead("turn").over(W.partitionBy("conv_id").orderBy("turn"))
+    nxt = F.concat(F.lit("c_"), following.cast("string"), F.lit(".html"))
     return content.join_pages(table(spark, d, "conversations").withColumn("nxt", nxt).withColumn("label", F.lit("next")), ["conv_id"], "turn", "text", "nxt", "label")
 
 
-@query("""SELECT r.id, r.name, coalesce(delay, -1)::BIGINT delay, coalesce(code, -1)::BIGINT code FROM (SELECT s_suppkey id, s_name AS name FROM supplier WHERE s_suppkey % 10 <> 0) r
-LEFT JOIN (SELECT c_custkey id, c_nationkey * 10 delay, 200 code FROM customer WHERE c_custkey % 3 = 0) p USING (id)""")
+@query("""SELECT r.id, r.name, coalesce(delay, -1)::BIGINT delay, coalesce(code, -1)::BIGINT code FROM (SELECT s_suppkey id, s_name AS name FROM supplier WHERE s_acctbal >= 0) r
+LEFT JOIN (SELECT c_custkey * 2 id, c_nationkey * 10 delay, 200 code FROM customer) p USING (id)""")
 def source_status(spark, d):
-    rules = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("url"), F.lit("").alias("comment"), (F.col("s_suppkey") % 10 == 0).alias("disabled"))
-    probes = table(spark, d, "customer").where(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") * 10).alias("delay"), F.lit(200).alias("code"))
+    rules = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("url"), F.lit("").alias("comment"), (F.col("s_acctbal") < 0).alias("disabled"))
+    probes = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("id"), (F.col("c_nationkey") * 10).alias("delay"), F.lit(200).alias("code"))
     return R.source_status(rules, probes).select("id", "name", "delay", "code")

@@ -119,3 +119,12 @@ def event_payload(states: DataFrame) -> DataFrame:
     """(job, type, payload): the message of each state, `done` and `error` for terminal ones."""
     kind = F.when(F.col("phase") == "done", "done").when(F.col("phase") == "failed", "error").otherwise("progress")
     return states.select("job", kind.alias("type"), F.to_json(F.struct(kind.alias("type"), F.col("done").alias("index"), "total", "failed", "current", "phase")).alias("payload"))
+
+
+def after_retries(attempts: DataFrame, keys: list[str], retries: int, interval_ms: int) -> DataFrame:
+    """(keys..., attempt, ok, error, waited_ms): the outcome of fetches whose attempts (keys..., attempt from 0, ok, error) were
+    recorded: the first success within `retries` repeats, or the last failure within them. The pause before repeat n is n intervals."""
+    tried = attempts.where(F.col("attempt") <= max(0, retries))
+    row = F.struct("attempt", "ok", "error")
+    best = tried.groupBy(*keys).agg(F.coalesce(F.min_by(row, F.when(F.col("ok"), F.col("attempt"))), F.max_by(row, "attempt")).alias("r"))
+    return best.select(*keys, "r.attempt", F.coalesce("r.ok", F.lit(False)).alias("ok"), "r.error").withColumn("waited_ms", (F.expr("cast(attempt as bigint) * (attempt + 1) div 2") * interval_ms).cast("long"))
