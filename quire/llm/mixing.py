@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-The words of a source lie on a line, its documents in the order of a seeded digest. The line is cut into blocks of equal
+The words of a source lie on a line, its documents in the order of a seeded digest of id and text. The line is cut into blocks of equal
 length. The target of a source fixes exactly how many words and so how many blocks it gives (all blocks once for each
 whole pass, and as many of a permuted list as the rest needs, the last one cut short). A tree splits these quotas among
 the output shards: a node deals the shards of its left half a sample without replacement of its blocks, and the counts by
@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     Null and blank texts have size 0 and give no piece; a null source is a source of its own, the last. Repeated rows are
     documents of their own. Without any word all targets are 0. Empty in, empty out; other columns are ignored.
     """
-    sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _digest(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias("mixed")), "sizes")
+    sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _digest(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))).alias("mixed")), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(by_source, weights, share, most), "targets")
     total = targets.agg(F.greatest(F.lit(1), F.ceil(F.sum("source_size") / n_blocks)).cast("long").alias("block_words"))
@@ -189,7 +189,7 @@ def _sql_level(k: int) -> str:
 _LEVELS = math.ceil(math.log2(N_SHARDS))
 OP2_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-')) mixed FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-') || '|' || md5(coalesce(text, ''))) mixed FROM documents),
 src AS (SELECT source, sum(size)::BIGINT source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) rank FROM src),
 weighed AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] weight FROM ranked),
