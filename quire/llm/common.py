@@ -62,12 +62,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether df has no more than so many rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
-    """big with small: small is broadcast only when counted to at most `rows` (narrow) rows; beyond that Spark joins by
-    shuffle, and adaptive execution splits hot keys of big."""
-    return big.join(F.broadcast(small) if at_most(small, rows) else small, on, how)
+def at_most(df: DataFrame, rows: int, values: Column | None = None) -> bool:
+    """Whether df has no more than so many rows, and no more than so many values (sum of `values`) where rows hold arrays.
+    Reads no more rows than it must."""
+    counted = df.select((F.lit(0) if values is None else values).alias("v")).limit(rows + 1)
+    found = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    return found["n"] <= rows and found["v"] <= rows
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000, values: Column | None = None) -> DataFrame:
+    """big with small: small is broadcast only when counted to at most `rows` (narrow) rows and array values; beyond that
+    Spark joins by shuffle, and adaptive execution splits hot keys of big."""
+    return big.join(F.broadcast(small) if at_most(small, rows, values) else small, on, how)

@@ -24,7 +24,7 @@ SPAN = 10
 MASKS = ("1111111111", "1101101101", "0110011110", "1011110011")
 LEAST = 13
 SLACK = 0.2
-#: Rows of benchmark hashes that are broadcast at most (16 bytes each).
+#: Rows of benchmark hashes that are broadcast at most (16 bytes each); so many rows and array values of placements and items.
 BROADCAST = 1_000_000
 
 
@@ -82,9 +82,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, slack:
 def _confirmed(docs: DataFrame, by_doc: DataFrame, items: DataFrame, least: int, slack: float) -> DataFrame:
     # rows without a doc_id are searched as well
     by_doc = by_doc.withColumnRenamed("doc_id", "hit_id")
-    found = docs.select("doc_id", "text").join(F.broadcast(by_doc) if at_most(by_doc, 100_000) else by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    found = docs.select("doc_id", "text").join(F.broadcast(by_doc) if at_most(by_doc, BROADCAST, F.size("shifts")) else by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
     found = found.select("doc_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("d"), "item_id", F.explode("shifts").alias("shift"))
-    found = join_counted(found, items.withColumnRenamed("h", "i"), ["item_id"], rows=50_000)
+    found = join_counted(found, items.withColumnRenamed("h", "i"), ["item_id"], rows=BROADCAST, values=F.size("i"))
     # equal[k]: whether token k of the item stands at its place in the document; null beyond the document's ends
     equal = F.transform(
         F.sequence(F.lit(0), F.size("i") - 1),
