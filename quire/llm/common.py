@@ -56,10 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost nothing.
+    The folder goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    made = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def at_most(df: DataFrame, rows: int, values: Column | None = None) -> bool:
