@@ -10,6 +10,7 @@ from .ngramjoin import OP4_SQL, op4_jaccard_components
 from .passages import OP9_SQL, op9_repeated_passages
 from .pii import OP3_SQL, op3_find_pii
 from .quality import op6_judge_quality
+from .tokencount import op13_count_tokens
 from .urlrep import OP8_SQL, op8_url_reputation
 from .vectors import OP7_SQL, op7_top_k
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_extract_main": op10_extract_main,
+    "op13_count_tokens": op13_count_tokens,
 }
 
 ORACLE = {
