@@ -13,6 +13,7 @@ from .quality import op6_judge_quality
 from .tokencount import op13_count_tokens
 from .urlrep import OP8_SQL, op8_url_reputation
 from .vectors import OP7_SQL, op7_top_k
+from .whiten import op11_whiten
 
 QUERIES = {
     "op1_find_leaks": op1_find_leaks,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_extract_main": op10_extract_main,
+    "op11_whiten": op11_whiten,
     "op13_count_tokens": op13_count_tokens,
 }
 
