@@ -55,14 +55,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(made)
+    files.deleteOnExit(made)
+    return folder
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost nothing.
     The folder goes when the driver's JVM ends."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark)
     df.write.parquet(f"{folder}/{name}")
-    made = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

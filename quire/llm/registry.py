@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_rotate_perspectives
 from .decontam import op1_find_leaks
+from .followup import OP12_SQL, op12_missing_follow_ups
 from .htmlmain import op10_extract_main
 from .mixing import OP2_SQL, op2_mix_sources
 from .ngramjoin import OP4_SQL, op4_jaccard_components
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_extract_main": op10_extract_main,
     "op11_whiten": op11_whiten,
+    "op12_missing_follow_ups": op12_missing_follow_ups,
     "op13_count_tokens": op13_count_tokens,
 }
 
@@ -38,4 +40,5 @@ ORACLE = {
     "op7_top_k": OP7_SQL,
     "op8_url_reputation": OP8_SQL,
     "op9_repeated_passages": OP9_SQL,
+    "op12_missing_follow_ups": OP12_SQL,
 }
