@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def local_session(cpus: int | str = "*", app: str = "quire", partitions: int = 8) -> SparkSession:
