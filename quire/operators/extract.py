@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,11 @@ def _rooted(css: str) -> str:
 
 def extract(root: dom.Element, expr: str, base: str = "") -> str | None:
     """First match: its text or attribute, then the steps; None without a match or for an unusable selector."""
-    x = steps.parse(expr)
+    return extract_parsed(root, steps.parse(expr), base)
+
+
+def extract_parsed(root: dom.Element, x: steps.Extractor, base: str = "") -> str | None:
+    """extract() with an expression that was taken apart."""
     try:
         e = dom.select_first(root, _rooted(x.css)) if x.css else None
     except dom.SelectorError:
@@ -197,10 +202,10 @@ def list_rows(pages: DataFrame, key: str, rows: str, fields: dict[str, str], nee
     all). A field ending in @href is a link in full; others are text."""
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, pos int, " + ", ".join(f"{f} string" for f in fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, base, html in zip(pdf[key], pdf["url"], pdf["html"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, out = [], [], []
+            for k, (base, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 root = dom.parse(html or "")
                 try:
                     found = dom.select(root, _rooted(steps.parse(rows).css))
@@ -210,12 +215,14 @@ def list_rows(pages: DataFrame, key: str, rows: str, fields: dict[str, str], nee
                 for e in found:
                     made = {f: (extract_href(e, x, base or "") if "@href" in x else extract(e, x, base or "") or "") if x else e.text().strip() for f, x in fields.items()}
                     if made[needed] and (not limit or n < limit):
-                        out.append((k, n, *made.values()))
+                        at.append(k)
+                        pos.append(n)
+                        out.append(made)
                         n += 1
-            if out:
-                yield pd.DataFrame(out, columns=[key, "pos", *fields])
+            columns = [pa.array([r[f] for r in out], pa.string()) for f in fields]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *columns], [key, "pos", *fields])
 
-    return pages.select(key, "url", "html").mapInPandas(run, schema)
+    return pages.select(key, "url", "html").mapInArrow(run, schema)
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -8,27 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import dom, steps
 from ..functions import text as T
 from ..session import cut
 from .content import inner_html, join_pages
-from .extract import _rooted, extract, extract_all, extract_fields, extract_href, extract_inner, join_url
-from .toc import follow_next
+from .extract import _rooted, extract, extract_all, extract_fields, extract_parsed, extract_href, extract_inner, join_url
+from .toc import walk_links
 
 SEARCH_FIELDS = ["author", "category", "latest_chapter", "last_update_time", "status", "word_count"]
 DETAIL_FIELDS = ["book_name", "author", "intro", "cover_url", "category", "latest_chapter", "latest_chapter_url", "last_update_time", "status"]
-#: Labels that stand before an author or a time.
-AUTHOR_LABELS, TIME_LABELS = ["作者："], ["更新时间：", "最后更新："]
 
 
 def extract_text(e: dom.Element, expr: str) -> str:
     """Text of the first match within e, whatever attribute the expression names; a meta tag gives its content."""
     x = steps.parse(expr)
-    return extract(e, expr if x.css.startswith("meta[") else x.css + expr[len(expr.split("@js:")[0]) :]) or ""
+    if x.css.startswith("meta["):
+        return extract(e, expr) or ""
+    return extract_parsed(e, steps.Extractor(x.css, None, x.steps)) or ""
 
 
 def _select(root: dom.Element, expr: str) -> list[dom.Element]:
@@ -40,17 +42,22 @@ def _select(root: dom.Element, expr: str) -> list[dom.Element]:
 
 def _rows(pages: DataFrame, key: str, columns: str, of_page: Callable[[dom.Element, str], list[tuple]]) -> DataFrame:
     """(key, columns...): the rows that of_page makes of each page's tree and base."""
-    names = [key, *(c.split()[0] for c in columns.split(", "))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(k, *row) for k, base, html in zip(pdf[key], pdf["base"], pdf["html"], strict=True) for row in of_page(dom.parse(html or ""), base or "")]
-            if out:
-                yield pd.DataFrame(out, columns=names)
+    made_schema = StructType.fromDDL(columns)
+    arrow = to_arrow_schema(made_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (base, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for row in of_page(dom.parse(html or ""), base or ""):
+                    at.append(k)
+                    rows.append(row)
+            made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], [key, *made_schema.names])
 
     base = F.coalesce("base_uri", "url") if "base_uri" in pages.columns else F.col("url")
     based = pages.select(key, base.alias("base"), "html")
-    return based.mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {columns}")
+    return based.mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, {columns}")
 
 
 def search_rows(pages: DataFrame, rule: dict[str, str], key: str = "page_id", limit: int = 0) -> DataFrame:
@@ -89,10 +96,10 @@ def book_details(pages: DataFrame, rule: dict[str, str], key: str = "page_id", b
     """
     made = extract_fields(pages.select(key, base, "html"), {f: rule.get(f, "") for f in DETAIL_FIELDS}, "html", base)
     unlabelled = F.col("author")
-    for label in AUTHOR_LABELS:
+    for label in T.LABELS[:1]:
         unlabelled = F.replace(unlabelled, F.lit(label), F.lit(""))
     time = F.col("last_update_time")
-    for label in TIME_LABELS:
+    for label in T.LABELS[1:]:
         time = F.replace(time, F.lit(label), F.lit(""))
     whole = (F.col("book_name") != "") & (F.col("author") != "")
     rejected = made.where(~whole).select(key, F.when(F.col("book_name") == "", "no book name").otherwise("no author").alias("reason"))
@@ -145,14 +152,16 @@ def next_links(pages: DataFrame, next_page: str, key: str = "url") -> DataFrame:
 
 def chapter_walk(spark: SparkSession, starts: DataFrame, pages: DataFrame, content_expr: str, next_page: str, tag_filter: str = "", link_pattern: str = "") -> tuple[DataFrame, DataFrame]:
     """(chapters, rejected): chapters (start, content, n_pages) whose first pages are starts (start), from captured pages (url,
-    html, unique by url); rejected (start, reason) if a page that belongs to a chapter was not captured or has no content."""
+    html, unique by url); rejected (start, reason) if a page that belongs to a chapter was not captured or has no content, or if the pages go round."""
     links = next_links(pages, next_page)
     ends = T.is_last_page(F.col("next_url"), F.col("next_text"), link_pattern)
     goes_on = links.select("url", F.when(~ends, F.col("next_url")).alias("next_url"))
-    walk = follow_next(spark, starts, goes_on)
+    walk, rounds = walk_links(spark, starts, goes_on)
     own = pages.select("url", inner_html(F.col("html"), content_expr, tag_filter).alias("content")).join(links, "url")
     read = cut(walk.join(own, "url", "left"))
     lost = read.where(F.coalesce("content", F.lit("")) == "").groupBy("start").agg(F.min_by("url", "depth").alias("url"))
     rejected = lost.select("start", F.concat(F.lit("no content: "), "url").alias("reason"))
-    whole = read.join(lost.select("start"), "start", "left_anti")
+    round_ = rounds.join(lost.select("start"), "start", "left_anti")
+    rejected = rejected.unionByName(round_.select("start", F.concat(F.lit("the pages go round: "), "url").alias("reason")))
+    whole = read.join(rejected.select("start"), "start", "left_anti")
     return join_pages(whole, ["start"], "depth", "content", "next_url", "next_text", link_pattern), rejected

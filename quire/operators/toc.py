@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-MAX_DEPTH = 200
-
 
 def page_order(rows: DataFrame, descending: bool, pos: str = "pos") -> DataFrame:
     """rows with `pos` turned round within each page if entries are listed last first; pages keep their order."""
@@ -38,19 +36,32 @@ def first_by_url(rows: DataFrame, by: list[str], url: str, order: list[str]) ->
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by, url).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def follow_next(spark: SparkSession, starts: DataFrame, nexts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(start, depth, url): the pages that follow each start, itself first, by next links; ends without a next link or at
-    max_depth, so a cycle cannot run on.
+def walk_links(spark: SparkSession, starts: DataFrame, nexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(walk, rounds): walk (start, depth, url) has the pages that follow each start, itself first, by next links, however many
+    there are; rounds (start, url) names the walks that come back to a page they have already taken: they end before it.
 
-    starts: (start); nexts: (url, next_url) with one row for a url. Links are doubled in length each round, so a walk of n
-    pages takes log2(n) rounds, each cut from the one before.
+    starts: (start); nexts: (url, next_url) with one row for a url. Links are doubled in length each round, so walks of n
+    pages take log2(n) rounds, each cut from the one before.
     """
-    walk = starts.select("start", F.lit(0).alias("depth"), F.col("start").alias("url"))
+    walk = cut(starts.select("start", F.lit(0).alias("depth"), F.col("start").alias("url")))
     jump = nexts.where(F.col("next_url").isNotNull()).select("url", F.col("next_url").alias("to"))
-    length = 1
-    while length <= max_depth and not jump.isEmpty():
-        on = walk.where(F.col("depth") + length <= max_depth).join(jump, "url").select("start", (F.col("depth") + length).alias("depth"), F.col("to").alias("url"))
-        walk, length = cut(walk.unionByName(on)), 2 * length
-        if length <= max_depth:
-            jump = cut(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("__far")), "to").select("url", F.col("__far").alias("to")))
-    return walk
+    ended, rounds, length = walk.limit(0), walk.select("start", "url").limit(0), 1
+    while True:
+        on = cut(walk.join(jump, "url").select("start", (F.col("depth") + length).alias("depth"), F.col("to").alias("url")))
+        if on.isEmpty():
+            return ended.unionByName(walk), rounds
+        both = walk.unionByName(on)
+        again = both.groupBy("start", "url").agg(F.get(F.sort_array(F.collect_list("depth")), F.lit(1)).alias("at")).where("at IS NOT NULL")
+        closed = cut(again.groupBy("start").agg(F.min("at").alias("at"), F.min_by("url", "at").alias("__url")))
+        rounds = cut(rounds.unionByName(closed.select("start", F.col("__url").alias("url"))))
+        ended = cut(ended.unionByName(both.join(closed, "start").where("depth < at").select("start", "depth", "url")))
+        walk = cut(both.join(closed.select("start"), "start", "left_anti"))
+        jump = cut(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("__far")), "to").select("url", F.col("__far").alias("to")))
+        length *= 2
+
+
+def follow_next(spark: SparkSession, starts: DataFrame, nexts: DataFrame, max_depth: int = 0) -> DataFrame:
+    """(start, depth, url): the walks of walk_links(); a walk that goes round ends before its first repeated page, and max_depth,
+    if there is one, is the last depth that is given."""
+    walk, _ = walk_links(spark, starts, nexts)
+    return walk.where(F.col("depth") <= max_depth) if max_depth else walk

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lang
 from ..functions import text as T
-from ..operators import assemble, content, extract, finish, projections, search, toc
+from ..operators import assemble, content, extract, finish, projections, search, sites, toc
 from ..session import table
 from ..sources import rules as R
 from ..streaming import jobs
@@ -418,3 +420,129 @@ def source_status(spark, d):
     rules = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("url"), F.lit("").alias("comment"), (F.col("s_acctbal") < 0).alias("disabled"))
     probes = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("id"), (F.col("c_nationkey") * 10).alias("delay"), F.lit(200).alias("code"))
     return R.source_status(rules, probes).select("id", "name", "delay", "code")
+
+
+#: Rules of five sources over the given pages, each with its own way to find things; they name no base, so links are completed
+#: with the page's own address.
+SITE_RULES = [
+    {"url": "http://", "search": {"result": "nav li", "bookName": "a@href", "author": "a"}, "book": {"bookName": "title", "author": "html@lang"}, "toc": {"list": "nav", "item": "li > a", "isDesc": True}},
+    {"url": "https://m.", "book": {"bookName": "h1", "author": "html@lang@js:r=\"lang \"+r"}, "toc": {"item": "nav a"}},
+    {"url": "https://blog.", "search": {"disabled": True, "result": "nav li", "bookName": "a"}, "book": {"bookName": "title"}},
+    {"url": "https://", "search": {"result": "nav li", "bookName": "a@href", "author": "a@href"}, "toc": {"item": "figure a"}},
+    {"url": "https://www.", "search": {"result": "body", "bookName": "title"}},
+]
+
+
+def _site_rules(spark: SparkSession) -> DataFrame:
+    rules = [(json.dumps({"name": str(k), **r}),) for k, r in enumerate(SITE_RULES, 1)]
+    parsed = spark.createDataFrame([(k, *r) for k, r in enumerate(rules, 1)], "id int, rule string")
+    return parsed.select("id", F.from_json("rule", R.RULE).alias("r")).select("id", "r.*")
+
+
+_BY_RULE = "CASE WHEN starts_with(url, 'http://') THEN 1 WHEN starts_with(url, 'https://m.') THEN 2 WHEN starts_with(url, 'https://blog.') THEN 3 WHEN starts_with(url, 'https://') THEN 4 END"
+_TITLE = f"""{_decoded("regexp_extract(html, '(?is)<title[^>]*>[[:space:]]*(.*?)[[:space:]]*</title>', 1)")}"""
+_HEAD = f"""{_decoded("regexp_extract(html, '(?s)<h1>[[:space:]]*(.*?)[[:space:]]*</h1>', 1)")}"""
+_LINKS = f"""SELECT page_id, {_BY_RULE.replace("url", "base")} rule_id, pos, trim({_decoded("regexp_extract(a, '>(.*)$', 1)")}) title, href, {_FULL} url FROM (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) href FROM ({_NAV}))"""
+
+
+@query(f"""SELECT page_id, rule_id::INT rule_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT pos, title book_name, url, CASE rule_id WHEN 1 THEN title ELSE url END author,
+  '' category, '' latest_chapter, '' last_update_time, '' status, '' word_count FROM ({_LINKS}) WHERE rule_id IN (1, 4) AND title <> ''""")
+def sites_search(spark, d):
+    return sites.search_of(sites.read_sites(table(spark, d, "pages"), _site_rules(spark), parts=("search",)))
+
+
+@query(f"""SELECT page_id, rule_id::INT rule_id, book_name, author FROM (SELECT page_id, {_BY_RULE} rule_id, CASE {_BY_RULE} WHEN 1 THEN {_TITLE} ELSE {_HEAD} END book_name,
+  CASE {_BY_RULE} WHEN 1 THEN {_LANG} ELSE 'lang ' || {_LANG} END author FROM pages) WHERE rule_id IN (1, 2) AND book_name <> '' AND author <> ''""")
+def sites_books(spark, d):
+    read = sites.read_sites(table(spark, d, "pages"), _site_rules(spark), parts=("book",))
+    return sites.books_of(read).select("page_id", "rule_id", "book_name", "author")
+
+
+@query(f"SELECT page_id, rule_id::INT rule_id, (CASE rule_id WHEN 1 THEN -pos ELSE pos END)::INT pos, title, url FROM ({_LINKS}) WHERE rule_id IN (1, 2)")
+def sites_toc(spark, d):
+    return sites.toc_of(sites.read_sites(table(spark, d, "pages"), _site_rules(spark), parts=("toc",)))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_BY_RULE}::INT rule_id, html, {_TITLE} title, {_HEAD} head, {_LANG} lang FROM pages),
+l AS (SELECT page_id, count(*) n, count(*) FILTER (title <> '') named FROM ({_LINKS}) GROUP BY page_id)
+SELECT page_id, rule_id, part, reason FROM (
+  SELECT page_id, NULL::INT rule_id, 'rule' part, 'no source' reason FROM p WHERE rule_id IS NULL
+  UNION ALL SELECT page_id, rule_id, 'search', 'the source is not searched' FROM p WHERE rule_id = 3
+  UNION ALL SELECT page_id, rule_id, 'search', 'no results' FROM p LEFT JOIN l USING (page_id) WHERE rule_id IN (1, 4) AND coalesce(named, 0) = 0
+  UNION ALL SELECT page_id, rule_id, 'book', 'no book name' FROM p WHERE rule_id IN (1, 2, 3) AND CASE rule_id WHEN 2 THEN head ELSE title END = ''
+  UNION ALL SELECT page_id, rule_id, 'book', 'no author' FROM p WHERE rule_id IN (1, 3) AND title <> '' AND CASE rule_id WHEN 3 THEN '' ELSE lang END = ''
+  UNION ALL SELECT page_id, rule_id, 'toc', 'empty table of contents' FROM p LEFT JOIN l USING (page_id) WHERE rule_id = 4 OR rule_id IN (1, 2) AND coalesce(n, 0) = 0)""")
+def sites_rejected(spark, d):
+    return sites.rejected_of(sites.read_sites(table(spark, d, "pages"), _site_rules(spark)))
+
+
+#: Two sources whose pages follow one another: by a link on each page, or by a list on the first; seven pages a book.
+BOOK_RULES = [
+    {"url": "https://chain.x/", "book": {"url": "/b(\\d+)"}, "toc": {"url": "https://chain.x/p%s", "baseUri": "https://chain.x/", "item": "nav a", "nextPage": "a#next"},
+     "chapter": {"content": "h1", "nextPage": "a#next", "nextPageInJs": "script#go@js:match1(\"to='([^']*)'\")"}},
+    {"url": "https://list.x/", "book": {"url": "/b(\\d+)"}, "toc": {"url": "https://list.x/p%s", "baseUri": "https://list.x/", "item": "nav a", "nextPage": "option"}, "chapter": {"content": "h1", "nextPage": "b"}},
+]
+
+
+def _book_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(books, pages, rules): the given pages as those of two sources, seven in a row a book; one in eleven is missing, and the
+    last page of one book in three leads back to its first."""
+    rules = [(k, json.dumps({"name": str(k), **r})) for k, r in enumerate(BOOK_RULES, 1)]
+    known = spark.createDataFrame(rules, "id int, rule string").select("id", F.from_json("rule", R.RULE).alias("r")).select("id", "r.*")
+    given = table(spark, d, "pages").select("page_id", "html", F.expr("page_id div 7 * 7").alias("book"))
+    site = F.when(F.col("book") % 2 == 0, "https://chain.x/").otherwise("https://list.x/")
+    last = F.greatest(F.max("page_id").over(W.partitionBy("book")), F.lit(0))
+    to = F.when(F.col("page_id") < F.col("last"), F.concat(F.lit("p"), F.col("page_id") + 1)).when(F.col("book") % 3 == 1, F.concat(F.lit("p"), F.col("book")))
+    link = F.coalesce(F.concat(F.lit('<a id="next" href="'), to, F.lit('">on</a><script id="go">to=\'https://chain.x/'), to, F.lit("';</script>")), F.lit(""))
+    options = F.concat_ws("", F.transform(F.sequence(F.col("book"), F.col("last")), lambda k: F.concat(F.lit('<option value="/p'), k, F.lit('">'))))
+    more = F.when(F.col("book") % 2 == 0, link).otherwise(F.when(F.col("page_id") == F.col("book"), F.concat(F.lit("<select>"), options, F.lit("</select>"))).otherwise(""))
+    nav = F.regexp_extract("html", "(?s)(<nav>.*?</nav>)", 1)
+    head = F.regexp_extract("html", "(?s)(<h1>[^<]*</h1>)", 1)
+    made = given.withColumn("last", last).select("page_id", "book", F.concat(site, F.lit("p"), "page_id").alias("url"), F.concat(nav, head, more).alias("html"))
+    books = made.where("page_id = book").select("book", F.concat(site, F.lit("b"), "book").alias("url"))
+    return books, made.where("page_id % 11 <> 5").select("url", "html"), known
+
+
+_BOOKS = f"""g AS (SELECT page_id, page_id // 7 * 7 book, html, page_id % 11 <> 5 there, max(page_id) OVER (PARTITION BY page_id // 7) last_ FROM pages),
+s AS (SELECT *, CASE WHEN book % 2 = 0 THEN 'https://chain.x/' ELSE 'https://list.x/' END site FROM g),
+gap AS (SELECT book, min(page_id) FILTER (NOT there) lost, bool_or(page_id = book AND there) headed FROM s GROUP BY book),
+bad AS (SELECT s.book, s.site || 'p' || CASE WHEN NOT headed OR s.book % 2 = 0 AND lost IS NOT NULL THEN coalesce(lost, s.book) ELSE s.book END url,
+    CASE WHEN NOT headed OR lost IS NOT NULL AND s.book % 2 = 0 THEN 'not captured' ELSE 'the pages go round' END reason
+  FROM s JOIN gap USING (book) WHERE s.page_id = s.book AND (NOT headed OR s.book % 2 = 0 AND (lost IS NOT NULL OR s.book % 3 = 1))),
+e AS (SELECT s.book, s.page_id, n.pos, n.title, CASE WHEN starts_with(n.href, '/') THEN rtrim(s.site, '/') || n.href ELSE n.href END url
+  FROM s JOIN ({_LINKS}) n USING (page_id) WHERE there AND s.book NOT IN (SELECT book FROM bad))"""
+
+
+@query(f"""WITH {_BOOKS}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY book, title ORDER BY page_id DESC, pos DESC) = 1)
+SELECT book, row_number() OVER (PARTITION BY book ORDER BY page_id, pos)::INT AS index, title, url FROM k""")
+def book_tocs(spark, d):
+    return sites.tables_of_contents(*_book_pages(spark, d))[0]
+
+
+@query(f"""WITH {_BOOKS} SELECT book, url, reason, true whole FROM bad
+UNION ALL SELECT book, site || 'p' || page_id, 'not captured', false FROM s WHERE NOT there AND book NOT IN (SELECT book FROM bad)
+UNION ALL SELECT book, site || 'p' || book, 'empty table of contents', true FROM s WHERE page_id = book AND book NOT IN (SELECT book FROM bad) AND book NOT IN (SELECT book FROM e)""")
+def book_tocs_rejected(spark, d):
+    return sites.tables_of_contents(*_book_pages(spark, d))[1]
+
+
+_TALES = f"""{_BOOKS}, h AS (SELECT *, regexp_extract(html, '(?s)<h1>([^<]*)</h1>', 1) head FROM s),
+first_bad AS (SELECT book, min(page_id) p FROM h WHERE (page_id = book OR book % 2 = 0) AND (NOT there OR head = '') GROUP BY book),
+round_ AS (SELECT DISTINCT book FROM s WHERE book % 2 = 0 AND book % 3 = 1 AND book NOT IN (SELECT book FROM first_bad))"""
+
+
+def _tales(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    books, pages, rules = _book_pages(spark, d)
+    return sites.walk_chapters(spark, books.select(F.regexp_replace("url", "/b(?=[0-9]+$)", "/p").alias("start")), pages, rules)
+
+
+@query(f"""WITH {_TALES} SELECT site || 'p' || book AS start, string_agg(head, '' ORDER BY page_id) AS content, count(*) n_pages FROM h
+WHERE (page_id = book OR book % 2 = 0) AND book NOT IN (SELECT book FROM first_bad UNION ALL SELECT book FROM round_) GROUP BY book, site""")
+def book_chapters(spark, d):
+    return _tales(spark, d)[0]
+
+
+@query(f"""WITH {_TALES} SELECT site || 'p' || book AS start, site || 'p' || page_id url, CASE WHEN there THEN 'no content' ELSE 'not captured' END reason FROM h JOIN first_bad USING (book) WHERE page_id = p
+UNION ALL SELECT DISTINCT site || 'p' || book, site || 'p' || book, 'the pages go round' FROM s JOIN round_ USING (book)""")
+def book_chapters_rejected(spark, d):
+    return _tales(spark, d)[1]
