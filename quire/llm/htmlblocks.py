@@ -119,24 +119,29 @@ def leaf_blocks(page: str, known: Callable[[str], bool] | None = None) -> list[B
     top: _Open | None = None
     opened: Counter[str] = Counter()
     linked, at, n = 0, 0, len(page)
+    shared: frozenset[str] | None = None  # marks of all that the block's text stands in, inline elements too
     last_quote = {q: page.rfind(q) for q in "\"'"}
     last_end = page.rfind(">")
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shared
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, top.own if top else "", top.names if top else _NONE, top.marks if top else _NONE, min(1.0, linked / len(text))))
+                out.append(Block(text, top.own if top else "", top.names if top else _NONE, shared or _NONE, min(1.0, linked / len(text))))
             parts.clear()
-        linked = 0
+        linked, shared = 0, None
 
     def text(chunk: str) -> None:
-        nonlocal linked
+        nonlocal linked, shared
         if top and top.name == "head" and chunk.strip():
             pop()
         if chunk and not (top and top.hidden):
+            chunk = html.unescape(chunk)
             parts.append(chunk)
+            if chunk.strip():
+                own = top.marks if top else _NONE
+                shared = own if shared is None else shared & own
             if top and top.anchors:
                 linked += len(chunk)
 

@@ -9,6 +9,7 @@ whose label it knows. The model is a few hundred weights, so it is trained on th
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,24 +21,33 @@ from pyspark.sql import functions as F
 from .common import table
 from .htmlblocks import leaf_blocks
 
-TRAIN_PAGES = 400
-EPOCHS = 8
+TRAIN_PAGES = 700
+EPOCHS = 5
 SEED = 11
 
 
+#: Words of headings over comments.
+SAYS_COMMENTS = set("comment comments reply replies response responses discussion kommentare kommentar commentaires commentaire comentarios comentario".split())
+_WORD = re.compile(r"[a-z]+")
+
+
 def features(blocks) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
-    for k, (text, own, names, marks, linked) in enumerate(blocks):
+    for text, own, names, marks, linked in blocks:
         words = text.count(" ") + 1
         end = text[-1]
         fs = ["bias", f"own={own}", f"links={int(linked * 4 + 0.5)}", f"words={min(words, 4) if words < 5 else 5 + min(4, words // 12)}"]
         fs += [f"in={x}" for x in sorted(names)]
         fs += [f"mark={x}" for x in sorted(marks)]
+        fs += [f"part={part}" for part in sorted({_PART_OF[x] for x in marks if x in _PART_OF})]
         fs.append("stop" if end in ".!?…\"'”»)" else "nostop")
         if "©" in text[:3] or "(c) " in text[:6].lower():
             fs.append("copyright")
-        fs.append(f"at={'first' if k == 0 else 'last' if k == len(blocks) - 1 else 'inner'}")
+        if words < 5 and any(x in SAYS_COMMENTS for x in _WORD.findall(text.lower())):
+            fs.append("says=comments")
+        elif names.isdisjoint(_PARTS) and marks.isdisjoint(_PART_MARKS):
+            fs.append("plain")
         out.append(fs)
     return out
 
@@ -130,6 +140,9 @@ MARKS = {
     "share": "share social sharing follow buttons tools meta byline tags",
     "article": "article content post entry main story body text prose article-body markdown copy chapter lead",
 }
+_PARTS = set("nav header footer aside form".split())
+_PART_OF = {m: part for part, names in MARKS.items() for m in names.split()}
+_PART_MARKS = {m for m, part in _PART_OF.items() if part != "article"}
 _TAGS = {"menu": "nav div ul", "header": "header div", "footer": "footer div", "sidebar": "aside div section", "notice": "div section aside", "advert": "div aside section ins", "form": "form", "comments": "section div aside article ul", "share": "div ul"}
 
 
@@ -195,19 +208,37 @@ def written_page(r: random.Random) -> tuple[str, list[int]]:
             labels.append(0)
             inside = sentences(r.randint(1, 3)) if part != "footer" else "&copy; www." + word() + ".example &middot; " + sentences(1)
         marked = attrs(part)
-        if not marked and tag in ("div", "ul", "section", "article", "ins"):
+        if part in ("menu", "share") and r.random() < 0.25:
+            marked = ""  # a list of links needs no mark to be known
+        elif not marked and tag in ("div", "ul", "section", "article", "ins"):
             marked = f' class="{r.choice(MARKS[part].split())}"'
         return f"<{tag}{marked}>{inside}</{tag}>"
 
-    top = [other(x) for x in ("menu", "header", "notice", "advert", "menu", "form") if r.random() < (0.6 if x == "menu" else 0.35)]
-    body = []
-    if r.random() < 0.85:
-        body.append(leaf("h1", phrase(r.randint(2, 9)), 1))
+    alone = r.random() < 0.25  # nothing before the article
+    top = [] if alone else [other(x) for x in ("menu", "header", "notice", "advert", "menu", "form") if r.random() < (0.6 if x == "menu" else 0.35)]
+    body: list[str] = []
+    style = r.choice(["usual"] * 6 + ["bare", "bare", "bare", "divs", "divs", "short", "links"])
+
+    def bare() -> str:
+        """Text that stands in the element itself, its lines parted by br."""
+        labels.append(1)
+        return r.choice(["<br>", "<br><br>", "<br/>"]).join(sentences(r.randint(1, 5)) for _ in range(r.randint(1, 5)))
+
+    if r.random() < (0.4 if style in ("bare", "short", "divs") else 0.85):
+        body.append(leaf("h1", phrase(r.randint(1, 9)), 1))
     if r.random() < 0.15:
         body.append(other("share"))
-    for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9, 14])):
+    if style == "bare":
+        body.append(bare())
+    elif style == "short":
+        body.append(leaf(r.choice(["p", "p", "div"]), phrase(r.randint(4, 25)) + ".", 1))
+    for _ in range(0 if style == "short" else r.choice([0, 1, 2, 3, 4, 6, 9, 14])):
         x = r.random()
-        if x < 0.08:
+        if style == "divs" and x > 0.3:
+            body.append(leaf("div", sentences(r.randint(1, 6)), 1))
+        elif style == "bare" and x > 0.5 and not body[-1].endswith((".", "?", "!", odd or ".")):
+            body.append(bare())
+        elif x < 0.08:
             body.append(leaf(r.choice(["h2", "h3"]), phrase(r.randint(1, 6)), 1))
         elif x < 0.13:
             body.append("<ul>" + "".join(leaf("li", sentences(1), 1) for _ in range(r.randint(1, 4))) + "</ul>")
@@ -221,12 +252,21 @@ def written_page(r: random.Random) -> tuple[str, list[int]]:
             body.append(leaf("p", phrase(r.randint(1, 4)) + ".", 1))
         else:
             body.append(leaf("p", sentences(r.randint(1, 8)), 1))
+    if style == "links":
+        body.append(leaf("h2", phrase(r.randint(1, 2)), 1) if r.random() < 0.6 else leaf("p", sentences(1), 1))
+        body.append("<ul>" + "".join(leaf("li", f"<a href='/s'>{phrase(r.randint(1, 9))}</a>", 1) for _ in range(r.randint(1, 6))) + "</ul>")
     if r.random() < 0.3:
+        if r.random() < 0.6:  # a heading of the comments that stands before them
+            body.append(leaf(r.choice(["h2", "h3", "p", "div"]), r.choice([f"{r.randint(1, 90)} comments", "Comments", "1 comment", "Replies", "Kommentare", "Comentarios", "Commentaires"]), 0))
         body.append(other("comments"))
-    kind = r.choice(["article", "article", "article", "main", "div", "section"])
-    marked = attrs("article") if kind in ("article", "main") else f' class="{r.choice(MARKS["article"].split())}"'
-    body_html = f"<{kind}{marked}>{''.join(body)}</{kind}>"
-    if r.random() < 0.3:
+    kind = r.choice(["article", "article", "article", "main", "div", "div", "section", "", "", "td"])
+    marked = attrs("article") if kind in ("article", "main") or r.random() < 0.2 else "" if r.random() < 0.4 else f' class="{r.choice(MARKS["article"].split())}"'
+    if r.random() < 0.08:  # a mark of other parts can stand on an article
+        marked = f' class="{r.choice("top site header meta wide message warning partner legal toc".split())} {r.choice(MARKS["article"].split())}"'
+    body_html = f"<{kind}{marked}>{''.join(body)}</{kind}>" if kind else "".join(body)
+    if kind == "td":
+        body_html = f"<table><tr>{body_html}</tr></table>"
+    if kind and r.random() < 0.3:
         body_html = f"<main>{body_html}</main>" if kind != "main" else f"<div id='page'>{body_html}</div>"
     tail = [other(x) for x in ("sidebar", "comments", "advert", "form", "notice", "footer") if r.random() < (0.7 if x == "footer" else 0.3)]
     head = f"<!DOCTYPE html><html><head><title>{phrase(4)}</title><script>var t='</p>';</script></head><body>"
@@ -239,7 +279,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[list, list[int]]]:
     while len(out) < n:
         page, labels = written_page(r)
         blocks = leaf_blocks(page)
-        if len(blocks) == len(labels):
+        if blocks and len(blocks) == len(labels):
             out.append((blocks, labels))
     return out
 

@@ -487,3 +487,45 @@ def test_quality_on_held_out_documents(spark):
     late = [k for k in range(400, 600)]
     assert sum(got[k] for k in late if good[k]) >= 0.98 * sum(good[k] for k in late)
     assert sum(not got[k] for k in late if not good[k]) >= 0.9 * sum(not good[k] for k in late)
+
+
+SAID = "The committee met on Monday and after a long debate it agreed that the old bridge should be built again next year."
+TWO = f"{SAID} {SAID}"
+#: Pages of other hands than the writer of training pages, and their main text.
+LAYOUTS = {
+    "text with br in an article": (f"<article>{TWO} {SAID}<br><br>{SAID}</article>", f"{TWO} {TWO}"),
+    "text in main": (f"<main>{TWO} {SAID}</main>", f"{TWO} {SAID}"),
+    "text in a div": (f"<div class=content>{TWO} {TWO} {TWO}</div>", f"{TWO} {TWO} {TWO}"),
+    "text in the body": (f"<body>{TWO}</body>", TWO),
+    "no tags": (TWO, TWO),
+    "one sentence": (f"<div class=content><p>{SAID}</p></div>", SAID),
+    "one short sentence": ("<article><p>Bridge built.</p></article>", "Bridge built."),
+    "a paragraph alone": (f"<p>{SAID}</p>", SAID),
+    "divs for paragraphs": (f"<div class=content><h1>Bridge</h1><div>{TWO}</div></div>", f"Bridge\n{TWO}"),
+    "divs without marks": (f"<div><div><div>{SAID}</div><div>{SAID}</div></div></div>", f"{SAID}\n{SAID}"),
+    "linked sources": (f"<article><h1>Bridge</h1><p>{TWO}</p><h2>Sources</h2><ul><li><a href=/a>City records of the bridge</a></li><li><a href=/b>The Daily News</a></li></ul></article>", f"Bridge\n{TWO}\nSources\nCity records of the bridge\nThe Daily News"),
+    "comments in main": (f"<main><h1>Bridge</h1><p>{TWO}</p><h2>2 comments</h2><div class=comments><div class=comment><p>Nice one.</p></div><div class=comment><p>I do not agree with this at all.</p></div></div></main>", f"Bridge\n{TWO}"),
+    "a comment in a list": (f"<main><h1>Bridge</h1><p>{TWO}</p><p>2 comments</p><ul class=comments><li>Nice one.</li></ul></main>", f"Bridge\n{TWO}"),
+    "menu and footer": (f"<nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><div class=content>{TWO}</div><footer>&copy; 2024 x</footer>", TWO),
+    "text between marked divs": (f"<div class=nav><a href=/>Home</a> <a href=/n>News</a></div>{TWO}<div class=footer>Contact us</div>", TWO),
+    "advert inside": (f"<article><p>{SAID}</p><div class=ad>Buy now the best things.</div><p>{SAID}</p></article><aside><h4>More</h4><ul><li><a href=/a>Another story of the town</a></ul></aside>", f"{SAID}\n{SAID}"),
+    "advert in a line of its own": (f"<article><p>{SAID}</p><ins class=adsbox>Buy now the best things.</ins><p>{SAID}</p></article>", f"{SAID}\n{SAID}"),
+    "a reference around a tag": ("<article><p>AT&am<b>p;</b>T is a phone company, and AT&amp;T is old.</p></article>", "AT&amp;T is a phone company, and AT&T is old."),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_main_text_of_layouts(name):
+    page, want = LAYOUTS[name]
+    assert htmlmain.main_text(htmlmain.model(), page) == want
+
+
+def test_main_text_of_given_pages(spark):
+    """All blocks of the article of each given page, and nothing else, by a search for the element itself."""
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    html = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in htmlmain.op10_extract_main(spark, sf).collect():
+        article = re.search(r"(?s)<article>(.*?)</article>", html[r["page_id"]])
+        assert r["text"] == ("\n".join(b.text for b in htmlblocks.leaf_blocks(article[1])) if article else "")
