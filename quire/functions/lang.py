@@ -7,6 +7,9 @@ text as it is.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +44,59 @@ def direction_column(source: Column, target: str) -> Column:
     return out
 
 
+class Phrases:
+    """Longest matches of phrases, then characters, in one pass: a tree of the phrases, walked from each place that no match
+    before it covers."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]], characters: tuple[str, str] = ("", "")):
+        self.characters = str.maketrans(*characters)
+        self.tree: dict = {}
+        for a, b in pairs:
+            node = self.tree
+            for c in a:
+                node = node.setdefault(c, {})
+            if a:
+                node.setdefault("", b)  # of equal phrases the first counts
+
+    def convert(self, text: str) -> str:
+        out, at, tree = [], 0, self.tree
+        while at < len(text):
+            node, k, best, end = tree.get(text[at]), at + 1, None, at + 1
+            while node is not None:
+                if "" in node:
+                    best, end = node[""], k
+                node = node.get(text[k]) if k < len(text) else None
+                k += 1
+            out.append(text[at].translate(self.characters) if best is None else best)
+            at = end
+        return "".join(out)
+
+
+def phrases_of(how: str) -> Phrases:
+    """The table of a conversion. To Taiwan's usage from simplified characters, phrases are matched as they stand there."""
+    if how == "s2tw":
+        back = str.maketrans(TRADITIONAL, SIMPLIFIED)
+        return Phrases([*((a.translate(back), b) for a, b in PHRASES), *PHRASES], (SIMPLIFIED, TRADITIONAL))
+    if how == "t2tw":
+        return Phrases(PHRASES)
+    forth = str.maketrans(TRADITIONAL, SIMPLIFIED)
+    return Phrases([(b, a.translate(forth)) for a, b in PHRASES], (TRADITIONAL, SIMPLIFIED))
+
+
 def convert(col: Column, how: str | None) -> Column:
-    """A text in the other script; punctuation stays."""
-    if how in ("s2t", "s2tw"):
-        col = F.translate(col, SIMPLIFIED, TRADITIONAL)
-    if how in ("s2tw", "t2tw"):
-        for a, b in PHRASES:
-            col = F.replace(col, F.lit(a), F.lit(b))
-    if how == "t2s":
-        for a, b in PHRASES:
-            col = F.replace(col, F.lit(b), F.lit(a))
-        col = F.translate(col, TRADITIONAL, SIMPLIFIED)
-    return col
+    """A text in the other script; punctuation stays. Characters alone are native; with phrases, each place of a text is converted
+    once, by the longest phrase that begins there, so what one phrase gives never becomes part of another."""
+    if how == "s2t":
+        return F.translate(col, SIMPLIFIED, TRADITIONAL)
+    if how not in ("s2tw", "t2tw", "t2s"):
+        return col
+    table = phrases_of(how)
+
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else table.convert(t))
+
+    return run(col)
 
 
 def convert_fields(df: DataFrame, fields: list[str], how: str | None) -> DataFrame:

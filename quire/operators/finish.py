@@ -1,41 +1,25 @@
 """From rendered chapters to artefacts: a cache of chapter files, its scan in order, and one finished file for each book.
 
-Files go to a folder that driver and executors share. A task writes each file under a name of its own and then renames it,
-so a task that is run again, or twice, leaves whole files only. A task holds one file at a time.
+Files go through sources.filesink: a job's files appear when it commits, also if a task is run again or twice, and a job that
+fails leaves none. A task holds one file at a time.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
+from ..sources import filesink
 from . import assemble
 
 #: Formats of finished books, and the extension of a chapter in the cache of each.
 CACHED_AS = {"txt": "txt", "epub": "html"}
 
 
-def write_file(folder: str, name: str, data: bytes) -> None:
-    """One whole file in place of an old one of that name."""
-    os.makedirs(folder, exist_ok=True)
-    made = os.path.join(folder, f".{uuid.uuid4().hex}")
-    try:
-        with open(made, "wb") as f:
-            f.write(data)
-        os.replace(made, os.path.join(folder, name))
-    except OSError:
-        if os.path.exists(made):
-            os.remove(made)
-        raise
-
-
 def finished_name(book_name: Column, author: Column, extension: str) -> Column:
     return F.concat(F.coalesce(book_name, F.lit("")), F.lit("("), F.coalesce(author, F.lit("")), F.lit(f").{extension}"))
 
@@ -47,13 +31,8 @@ def chapter_files(chapters: DataFrame, extension: str = "txt") -> DataFrame:
 
 
 def write_cache(files: DataFrame, cache: str) -> None:
-    """files (folder, name, content) below the folder `cache`, in UTF-8."""
-
-    def run(rows) -> None:
-        for r in rows:
-            write_file(os.path.join(cache, r["folder"]), r["name"], r["content"].encode())
-
-    files.select("folder", "name", "content").foreachPartition(run)
+    """files (folder, name, content) below the folder `cache`, a path or URI, in UTF-8; all of them or, if the job fails, none."""
+    filesink.write_files(files, cache, data=F.encode("content", "UTF-8"))
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -104,15 +83,12 @@ def finish_books(spark: SparkSession, books: DataFrame, cache: str, out: str, ex
         whole = chapters.join(known.select("folder", "book_name", "author", "intro", *cover), "folder")
         made = assemble.epub_books(whole, "folder").join(known.select("folder", name.alias("name")), "folder").select("folder", "name", "data")
 
-    def run(batches):
-        for pdf in batches:
-            for file_name, data in zip(pdf["name"], pdf["data"], strict=True):
-                write_file(out, file_name.replace("/", "／"), data)
-            yield pdf[["folder", "name"]]
-
-    done = cut(made.mapInPandas(run, "folder string, name string"))  # files are written once, here
+    filesink.write_files(made.withColumn("name", F.replace("name", F.lit("/"), F.lit("／"))), out, folder=F.lit(""))
+    done = known.select("folder", name.alias("name"))
+    done = cut(done if extension == "txt" else done.join(chapters.select("folder").distinct(), "folder", "left_semi"))
     if not keep_cache:
-        done.select("folder").foreachPartition(lambda rows: [shutil.rmtree(os.path.join(cache, r["folder"]), ignore_errors=True) for r in rows] and None)
+        at = filesink.qualified(spark, cache)
+        done.select("folder").foreachPartition(lambda rows: [filesink.delete_folder(at, r["folder"]) for r in rows] and None)
     return done
 
 

@@ -87,6 +87,29 @@ def suggestions(names: DataFrame, column: str, prefix: str, n: int = 10) -> Data
     return names.where(F.col(column).startswith(prefix)).select(column).distinct().orderBy(column).limit(n)
 
 
+def suggestion_index(names: DataFrame, column: str, longest: int = 8, n: int = 10) -> DataFrame:
+    """(prefix, rank, column): for each prefix of up to `longest` characters that some name has, its first n names. Names are taken
+    once each; a row for each name and length is ranked within its prefix, where every task keeps its best n only."""
+    known = names.where(F.col(column).isNotNull()).select(column).distinct()
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length(column)))
+    keyed = known.where(F.char_length(column) > 0).select(F.explode(lengths).alias("__k"), column).select(F.expr(f"left(`{column}`, __k)").alias("prefix"), column)
+    return keyed.withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy(column))).where(F.col("rank") <= n).select("prefix", "rank", column)
+
+
+def suggestions_for(requests: DataFrame, prefix: str, names: DataFrame, column: str, longest: int = 8, n: int = 10) -> DataFrame:
+    """(requests..., rank, column): the first n names for the prefix of each request, by suggestions(); requests without any have no
+    row. Prefixes meet the index by an equal join; those longer than `longest` meet the names that share their beginning."""
+    index = suggestion_index(names, column, longest, n)
+    asked = requests.where(F.trim(prefix) != "")
+    size = F.char_length(prefix)
+    short = asked.where(size <= longest).join(index.withColumnRenamed("prefix", "__p"), F.col(prefix) == F.col("__p")).drop("__p")
+    known = names.where(F.char_length(column) > longest).select(column).distinct().withColumn("__p", F.expr(f"left(`{column}`, {longest})"))
+    far = asked.where(size > longest).select(prefix).distinct().withColumn("__p", F.expr(f"left(`{prefix}`, {longest})"))
+    met = far.join(known, "__p").where(F.col(column).startswith(F.col(prefix)))
+    best = met.withColumn("rank", F.row_number().over(W.partitionBy(prefix).orderBy(column))).where(F.col("rank") <= n).select(prefix, "rank", column)
+    return short.unionByName(asked.where(size > longest).join(best, prefix))
+
+
 def suggestions_from_json(payloads: DataFrame, column: str, n: int = 10) -> DataFrame:
     """Column `suggestions`: the first n of g[].q; malformed payloads have none."""
     parsed = F.from_json(F.col(column), "g array<struct<q string>>")

@@ -546,3 +546,12 @@ def book_chapters(spark, d):
 UNION ALL SELECT DISTINCT site || 'p' || book, site || 'p' || book, 'the pages go round' FROM s JOIN round_ USING (book)""")
 def book_chapters_rejected(spark, d):
     return _tales(spark, d)[1]
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT DISTINCT left(p_name, 2) prefix FROM part UNION SELECT DISTINCT left(p_name, 9) FROM part)
+SELECT prefix, rank::INT rank, p_name FROM (SELECT prefix, p_name, row_number() OVER (PARTITION BY prefix ORDER BY p_name) rank FROM q JOIN n ON starts_with(p_name, prefix)) WHERE rank <= 10""")
+def suggest_all(spark, d):
+    """The first ten names for every prefix of two letters, and of nine, that a name has."""
+    parts = table(spark, d, "part")
+    asked = parts.select(F.expr("left(p_name, 2)").alias("prefix")).union(parts.select(F.expr("left(p_name, 9)"))).distinct()
+    return search.suggestions_for(asked, "prefix", parts, "p_name")
