@@ -101,11 +101,8 @@ def file_order(name: Column) -> Column:
 
 
 def write_texts(books: DataFrame, folder: str, encoding: str = "UTF-8") -> None:
-    """books (name, text), one whole file each, written by the tasks to a folder that all of them share."""
-    from .finish import write_file
+    """books (name, text), one whole file each, in a folder (a path or URI) that all tasks share; all of them or none."""
+    from ..sources.filesink import write_files
+    from .finish import encoded_texts
 
-    def run(rows) -> None:
-        for r in rows:
-            write_file(folder, r["name"], encoded(r["text"], encoding))
-
-    books.select(T.safe_file_name(F.col("name")).alias("name"), "text").foreachPartition(run)
+    write_files(encoded_texts(books.select(T.safe_file_name(F.col("name")).alias("name"), "text"), encoding), folder, folder=F.lit(""))

@@ -17,7 +17,7 @@ from ..streaming import jobs
 
 KEYWORDS = ["steel", "Brand#12", "blue", "promo copper"]
 RULES = [("http://", "plain"), ("https://m.", "mobile"), ("https://blog.", "blog"), ("https://", "other"), ("https://www.", "never reached")]
-FORMS = ["{key: %s, type: articlename}", "{ 'q' : \"%s\", page:1, bad, a:b:c}", "{}", "searchkey:%s"]
+FORMS = ["{key: %s, type: #}", "{ 'q' : \"%s\", page:1, bad, a:b:c}", "{}", "searchkey:%s"]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -155,13 +155,14 @@ def title_number(spark, d):
     return both.select("p_partkey", T.number_title(F.col("t")).alias("title"))
 
 
-@query(f"""SELECT form, (generate_subscripts(f, 1) - 1)::INT pos, unnest(f) field FROM (
-  SELECT form, list_transform(list_filter(string_split(regexp_replace(trim(form), '^\\{{|\\}}$', '', 'g'), ','), lambda e: contains(e, ':')),
-    lambda e: regexp_replace(trim(split_part(e, ':', 1)), '^["'']+|["'']+$', '', 'g') || '=' || replace(regexp_replace(trim(regexp_replace(e, '^[^:]*:', '')), '^["'']+|["'']+$', '', 'g'), '%s', 'blue steel')) f
-  FROM (SELECT unnest([{_sql_list(FORMS)}]) form))""")
+@query(f"""SELECT p_partkey, (generate_subscripts(f, 1) - 1)::INT pos, unnest(f) field FROM (
+  SELECT p_partkey, list_transform(list_filter(string_split(regexp_replace(trim(form), '^\\{{|\\}}$', '', 'g'), ','), lambda e: contains(e, ':')),
+    lambda e: regexp_replace(trim(split_part(e, ':', 1)), '^["'']+|["'']+$', '', 'g') || '=' || replace(regexp_replace(trim(regexp_replace(e, '^[^:]*:', '')), '^["'']+|["'']+$', '', 'g'), '%s', p_name)) f
+  FROM (SELECT p_partkey, p_name, replace(([{_sql_list(FORMS)}])[p_size % 4 + 1], '#', p_type) form FROM part))""")
 def form_parse(spark, d):
-    forms = spark.createDataFrame([(f,) for f in FORMS], "form string")
-    return forms.select("form", F.posexplode(T.form_fields(F.col("form"), F.lit("blue steel"))).alias("pos", "f")).select("form", "pos", F.concat("f.k", F.lit("="), "f.v").alias("field"))
+    template = F.array(*map(F.lit, FORMS))[F.col("p_size") % 4]
+    forms = table(spark, d, "part").select("p_partkey", "p_name", F.replace(template, F.lit("#"), F.col("p_type")).alias("form"))
+    return forms.select("p_partkey", F.posexplode(T.form_fields(F.col("form"), F.col("p_name"))).alias("pos", "f")).select("p_partkey", "pos", F.concat("f.k", F.lit("="), "f.v").alias("field"))
 
 
 @query("SELECT p_partkey, replace('https://x.example/s?q=%s&again=%s', '%s', p_name) url FROM part")
@@ -284,6 +285,10 @@ def search_results(spark, d):
 
 
 _LANG = "regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)"
+_BY_RULE = "CASE WHEN starts_with(url, 'http://') THEN 1 WHEN starts_with(url, 'https://m.') THEN 2 WHEN starts_with(url, 'https://blog.') THEN 3 WHEN starts_with(url, 'https://') THEN 4 END"
+_TITLE = f"""{_decoded("regexp_extract(html, '(?is)<title[^>]*>[[:space:]]*(.*?)[[:space:]]*</title>', 1)")}"""
+_HEAD = f"""{_decoded("regexp_extract(html, '(?s)<h1>[[:space:]]*(.*?)[[:space:]]*</h1>', 1)")}"""
+_LINKS = f"""SELECT page_id, {_BY_RULE.replace("url", "base")} rule_id, pos, trim({_decoded("regexp_extract(a, '>(.*)$', 1)")}) title, href, {_FULL} url FROM (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) href FROM ({_NAV}))"""
 
 
 @query(f"""SELECT page_id, {_decoded("regexp_extract(html, '(?is)<title[^>]*>[[:space:]]*(.*?)[[:space:]]*</title>', 1)")} book_name, {_LANG} author,
@@ -332,10 +337,10 @@ def last_page(spark, d):
     return table(spark, d, "pages").select("page_id", T.is_last_page(F.col("url"), F.col("html")).alias("last_page"))
 
 
-@query("""SELECT source, CASE source WHEN 'zh-TW' THEN 't2s' WHEN 'zh-Hant' THEN 't2s' END direction FROM (SELECT unnest(['zh-TW', 'zh-Hant', 'zh-CN', 'en']) source)""")
+@query("""SELECT doc_id, tag, CASE tag WHEN 'zh_TW' THEN 't2s' WHEN 'zh-Hant' THEN 't2s' END direction FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zh_TW' WHEN 1 THEN 'zh-Hant' WHEN 2 THEN 'zh-CN' ELSE lang END tag FROM documents)""")
 def language_direction(spark, d):
-    tags = spark.createDataFrame([(x,) for x in ("zh-TW", "zh-Hant", "zh-CN", "en")], "source string")
-    return tags.select("source", lang.direction_column(F.col("source"), "zh-CN").alias("direction"))
+    tag = F.when(F.col("doc_id") % 4 == 0, "zh_TW").when(F.col("doc_id") % 4 == 1, "zh-Hant").when(F.col("doc_id") % 4 == 2, "zh-CN").otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", tag.alias("tag")).withColumn("direction", lang.direction_column(F.replace("tag", F.lit("_"), F.lit("-")), "zh-CN"))
 
 
 @query(f"SELECT doc_id, md5(translate(text || '国书说', '{lang.SIMPLIFIED}', '{lang.TRADITIONAL}')) digest FROM documents")
@@ -372,14 +377,17 @@ def next_links(spark, d):
     return projections.next_links(table(spark, d, "pages"), "nav li > a", "page_id")
 
 
-@query()
+@query(f"""SELECT page_id, {_TITLE} title, {_LANG} lang, {_HEAD} heading,
+  CASE WHEN len(a) < 2 THEN '' WHEN starts_with(regexp_extract(a[2], 'href="([^"]*)"', 1), '/') THEN regexp_extract(url, '^(.*?://[^/]*)', 1) || regexp_extract(a[2], 'href="([^"]*)"', 1) ELSE regexp_extract(a[2], 'href="([^"]*)"', 1) END menu,
+  replace(trim(replace(replace({_decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")}, '&copy;', '©'), '&middot;', '·')), '©', '') footer
+FROM (SELECT *, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>(<a href="[^"]*">[^<]*)</a>', 1) a FROM pages)""")
 def page_fields(spark, d):
     """Title, language, first heading and footer of every page, one tree a page."""
     fields = {"title": "title", "lang": "html@lang", "heading": "article > h1", "menu": "nav li:nth-child(2) a@href", "footer": "footer@js:remove('©')"}
     return extract.extract_fields(table(spark, d, "pages"), fields).select("page_id", *fields)
 
 
-@query()
+@query(f"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT pos, title AS name, url link FROM ({_LINKS}) WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 30""")
 def page_rows(spark, d):
     """Entries of every page's menu as rows, links in full."""
     return extract.list_rows(table(spark, d, "pages"), "page_id", "nav li", {"name": "a", "link": "a@href"}, "name", 30)
@@ -439,12 +447,6 @@ def _site_rules(spark: SparkSession) -> DataFrame:
     return parsed.select("id", F.from_json("rule", R.RULE).alias("r")).select("id", "r.*")
 
 
-_BY_RULE = "CASE WHEN starts_with(url, 'http://') THEN 1 WHEN starts_with(url, 'https://m.') THEN 2 WHEN starts_with(url, 'https://blog.') THEN 3 WHEN starts_with(url, 'https://') THEN 4 END"
-_TITLE = f"""{_decoded("regexp_extract(html, '(?is)<title[^>]*>[[:space:]]*(.*?)[[:space:]]*</title>', 1)")}"""
-_HEAD = f"""{_decoded("regexp_extract(html, '(?s)<h1>[[:space:]]*(.*?)[[:space:]]*</h1>', 1)")}"""
-_LINKS = f"""SELECT page_id, {_BY_RULE.replace("url", "base")} rule_id, pos, trim({_decoded("regexp_extract(a, '>(.*)$', 1)")}) title, href, {_FULL} url FROM (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) href FROM ({_NAV}))"""
-
-
 @query(f"""SELECT page_id, rule_id::INT rule_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT pos, title book_name, url, CASE rule_id WHEN 1 THEN title ELSE url END author,
   '' category, '' latest_chapter, '' last_update_time, '' status, '' word_count FROM ({_LINKS}) WHERE rule_id IN (1, 4) AND title <> ''""")
 def sites_search(spark, d):
@@ -555,3 +557,10 @@ def suggest_all(spark, d):
     parts = table(spark, d, "part")
     asked = parts.select(F.expr("left(p_name, 2)").alias("prefix")).union(parts.select(F.expr("left(p_name, 9)"))).distinct()
     return search.suggestions_for(asked, "prefix", parts, "p_name")
+
+
+@query("""SELECT page_id, 'empty table of contents' reason FROM pages WHERE len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')) < 6 OR html IS NULL""")
+def short_contents(spark, d):
+    """Pages whose menu has no sixth entry, as books whose table of contents is empty."""
+    pages = table(spark, d, "pages")
+    return projections.without_entries(pages, projections.toc_items(pages, "nav li:nth-child(6) > a"), "page_id")

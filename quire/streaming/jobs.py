@@ -9,6 +9,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +56,53 @@ def admitted(requests: DataFrame, most: int, pool: str | None = None) -> DataFra
     are one sequence, read in order with a heap of at most `most` ends; pools (all one without a column) go side by side.
     """
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["started", "job"])
+    def decide(requested: pa.Table) -> pa.Table:
+        rows = requested.sort_by([("started", "ascending"), ("job", "ascending")])
+        plain = lambda c: rows[c].cast(pa.int64()) if pa.types.is_timestamp(rows[c].type) else rows[c]
         ends: list = []
         counts = []
-        for started, ended in zip(pdf["started"], pdf["ended"].fillna(pd.Timestamp.max), strict=True):
-            while ends and ends[0] <= started:
+        for started, ended in zip(plain("started").to_pylist(), plain("ended").to_pylist(), strict=True):
+            while ends and started is not None and ends[0] <= started:
                 heapq.heappop(ends)
             counts.append(len(ends))
             if len(ends) < most:
-                heapq.heappush(ends, ended)
-        return pdf[["job", "started"]].assign(active=counts)
+                heapq.heappush(ends, float("inf") if ended is None else ended)
+        return rows.select(["job", "started"]).append_column("active", pa.array(counts, pa.int64()))
 
     kind = requests.schema["job"].dataType.simpleString(), requests.schema["started"].dataType.simpleString()
     pooled = requests.select("job", "started", F.col("ended").cast(requests.schema["started"].dataType).alias("ended"), (F.col(pool) if pool else F.lit(0)).alias("__pool"))
-    found = pooled.groupBy("__pool").applyInPandas(decide, f"job {kind[0]}, started {kind[1]}, active long")
+    found = pooled.groupBy("__pool").applyInArrow(lambda t: decide(t), f"job {kind[0]}, started {kind[1]}, active long")
     return found.withColumn("admitted", F.col("active") < most)
 
 
+def admission_stream(events: DataFrame, most: int) -> DataFrame:
+    """Streaming: (pool, job, seq, active, admitted) for each request among events (pool, seq, job, kind: ask or end), decided as
+    admitted() does over all of them.
+
+    The state of a pool is its registry: the jobs that go on, `most` at the most. An end frees its job's place, also for
+    requests of the same batch that come after it; ends of jobs that were turned away or are gone change nothing. Events are
+    taken in order of seq within a batch; a job that asks again while it goes on is turned away.
+    """
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        going = list(state.get[0]) if state.exists else []
+        out = []
+        for e in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
+            if e.kind == "ask":
+                fits = len(going) < most and e.job not in going
+                out.append((key[0], e.job, int(e.seq), len(going), fits))
+                if fits:
+                    going.append(e.job)
+            elif e.kind == "end" and e.job in going:
+                going.remove(e.job)
+        state.update((going,))
+        if out:
+            yield pd.DataFrame(out, columns=["pool", "job", "seq", "active", "admitted"])
+
+    keyed = events.select(F.col("pool").cast("string"), F.col("seq").cast("long"), F.col("job").cast("string"), "kind")
+    return keyed.groupBy("pool").applyInPandasWithState(decide, "pool string, job string, seq long, active long, admitted boolean", "going array<string>", "append", "NoTimeout")
+
+
 def snapshot(states: DataFrame, job: str, wanted: list | None = None) -> DataFrame:
     """The last state of each job (or of those that are wanted), as one that subscribes late is sent first; a job that ended
     is told so. Unknown jobs have no row."""

@@ -1,4 +1,5 @@
 import datetime
+import datetime as dt
 import json
 
 import pandas as pd
@@ -102,3 +103,31 @@ def test_payloads(spark):
 def test_suggestions_from_payloads(spark):
     rows = spark.createDataFrame([('{"g":[{"q":"a"},{"q":"b"}]}',), ("broken",)], "p string")
     assert [r["suggestions"] for r in search.suggestions_from_json(rows, "p", 1).collect()] == [["a"], []]
+
+
+def test_admission_keeps_ids_beside_nulls(spark):
+    big = 9007199254740993
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(big, at, None), (None, at, at), (big + 1, None, None)], "job long, started timestamp, ended timestamp")
+    assert {r["job"]: r["active"] for r in jobs.admitted(df, 5).collect()} == {big: 0, None: 1, big + 1: 2}
+
+
+def test_admission_as_a_stream_decides_as_in_batch(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    asks = [(pool, f"{pool}{k}", 10 * k, 10 * k + r.choice([5, 25, 45, 10_000])) for pool in "ab" for k in range(40)]
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([(p, j, at(a), at(b)) for p, j, a, b in asks], "pool string, job string, started timestamp, ended timestamp")
+    want = {x["job"]: (x["active"], x["admitted"]) for x in jobs.admitted(df, 3, "pool").collect()}
+    events = sorted([(2 * a + 1, p, j, "ask") for p, j, a, _ in asks] + [(2 * b, p, j, "end") for p, j, _, b in asks])
+    folder, got = str(tmp_path), {}
+    for k in range(0, len(events), 60):  # each part is a batch of its own, on one checkpoint
+        part = [(p, s, j, kind) for s, p, j, kind in events[k : k + 60]]
+        spark.createDataFrame(part, "pool string, seq long, job string, kind string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.admission_stream(spark.readStream.schema("pool string, seq long, job string, kind string").parquet(f"{folder}/in"), 3)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    for x in spark.read.parquet(f"{folder}/out").collect():
+        got[x["job"]] = (x["active"], x["admitted"])
+    assert got == want and {v[1] for v in want.values()} == {True, False}
