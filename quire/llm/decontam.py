@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import at_most, join_counted, staged, table, words
 
 SPAN = 10
-#: The selected positions (1) of each mask. Any ten tokens with one substitution keep one mask whole.
-MASKS = ("1111111111", "1101101101", "0110011110", "1011110011")
+#: The selected positions (1) of each mask. Every pair of positions is ignored by one of them, so any ten tokens with up to two
+#: substitutions keep one mask whole: one in five, at every length from ten on.
+MASKS = ("0101110100", "0110101010", "1010011100", "1001101001", "0011010011", "1100000111")
 LEAST = 13
 SLACK = 0.2
 #: Rows of benchmark hashes that are broadcast at most (16 bytes each); so many rows and array values of placements and items.
@@ -83,26 +84,26 @@ def _confirmed(docs: DataFrame, by_doc: DataFrame, items: DataFrame, least: int,
     # rows without a doc_id are searched as well
     by_doc = by_doc.withColumnRenamed("doc_id", "hit_id")
     found = docs.select("doc_id", "text").join(F.broadcast(by_doc) if at_most(by_doc, BROADCAST, F.size("shifts")) else by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
-    found = found.select("doc_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("d"), "item_id", F.explode("shifts").alias("shift"))
+    found = found.select("doc_id", token_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("d"), "item_id", "shifts")
     found = join_counted(found, items.withColumnRenamed("h", "i"), ["item_id"], rows=BROADCAST, values=F.size("i"))
-    # equal[k]: whether token k of the item stands at its place in the document; null beyond the document's ends
-    equal = F.transform(
-        F.sequence(F.lit(0), F.size("i") - 1),
-        lambda k: F.when((k + F.col("shift") >= 0) & (k + F.col("shift") < F.size("d")), F.when(F.get("d", k + F.col("shift")) == F.get("i", k), 1).otherwise(0)),
-    )
+    found = found.withColumn("n_item", F.size("i")).withColumn("need", F.least(F.lit(least), F.col("n_item")))
+    # all placements of an item in one expression: the tokens are there once
+    best_run = _BEST_RUN.format(slack=round(slack * _ONE), one=_ONE)
+    runs = F.expr(f"transform(shifts, s -> named_struct('shift', s, 'run', transform(array({_EQUAL}), equal -> {best_run})[0]))")
+    good = "r -> r.run.n >= need and (n_item >= {span} or r.run.equal = n_item)".format(span=SPAN)
+    best = F.expr(f"array_max(transform(filter(runs, {good}), r -> named_struct('equal', r.run.equal, 'back', -r.shift, 'start', r.shift + r.run.at, 'n_tokens', r.run.n)))")
     return (
-        found.withColumn("n_item", F.size("i"))
-        .withColumn("equal", equal)
-        .withColumn("need", F.least(F.lit(least), F.col("n_item")))
-        .drop("d", "i")
-        .withColumn("run", F.expr(_BEST_RUN.format(slack=round(slack * _ONE), one=_ONE)))
-        .where((F.col("run.n") >= F.col("need")) & ((F.col("n_item") >= SPAN) | (F.col("run.equal") == F.col("n_item"))))
+        found.select("doc_id", "item_id", "n_item", "need", runs.alias("runs"))
+        .select("doc_id", "item_id", "n_item", best.alias("b"))
+        .where(F.col("b").isNotNull())
         .groupBy("doc_id", "item_id")
-        .agg(F.max_by(F.struct((F.col("shift") + F.col("run.at")).alias("start"), F.col("run.n").alias("n_tokens"), F.col("run.equal").alias("n_equal"), "n_item"), F.struct("run.equal", -F.col("shift"))).alias("best"))
+        .agg(F.max_by(F.struct(F.col("b.start").alias("start"), F.col("b.n_tokens").alias("n_tokens"), F.col("b.equal").alias("n_equal"), "n_item"), F.struct("b.equal", "b.back")).alias("best"))
         .select("doc_id", "item_id", "best.*")
     )
 
 
+#: For each token of the item, whether it stands at its place in the document; null beyond the document's ends.
+_EQUAL = "transform(sequence(0, size(i) - 1), k -> if(k + s >= 0 and k + s < size(d), if(get(d, k + s) = get(i, k), 1, 0), null))"
 _ONE = 1_000_000
 #: Of the runs with at least `need` tokens of which at most a share `slack` differ, the one with the highest score, where an
 #: equal token scores slack and another slack - 1 (in millionths, so that sums are exact); n is 0 where there is none. A run

@@ -242,8 +242,44 @@ def test_best_run_against_all_runs(spark):
             assert len(part) == run["n"] >= need and sum(part) == run["equal"] and run["equal"] * 5 - run["n"] * 4 == best
 
 
-def test_every_substitution_leaves_a_mask():
-    assert all(any(m[at] == "0" for m in decontam.MASKS) for at in range(decontam.SPAN))
+def test_every_two_substitutions_leave_a_mask():
+    assert all(any(m[a] == m[b] == "0" for m in decontam.MASKS) for a in range(decontam.SPAN) for b in range(decontam.SPAN))
+
+
+def test_leaks_at_the_whole_tolerance_for_every_length(spark):
+    """Items of 10 to 30 tokens with as many substitutions as one in five allows, against all placements tried one by one."""
+    r = random.Random(12)
+    items = [(n, " ".join(f"i{n}x{k % 7 if n % 5 == 0 else k}" for k in range(n))) for n in range(10, 31)]
+    docs = []
+    for n, text in items:
+        for _ in range(12):
+            w = text.split()
+            for at in r.sample(range(n), n // 5 + r.choice([0, 0, 0, 2])):
+                w[at] = f"other{r.randint(0, 3)}"
+            docs.append((len(docs), " ".join([f"b{k}" for k in range(r.randint(0, 9))] + w + [f"a{k}" for k in range(r.randint(0, 9))])))
+
+    def leaks(doc, item):
+        need = min(13, len(item))
+        for shift in range(1 - len(item), len(doc)):
+            equal = [int(doc[k + shift] == item[k]) for k in range(len(item)) if 0 <= k + shift < len(doc)]
+            if len(equal) >= need and best_run(equal, need) is not None:
+                return True
+        return False
+
+    want = {(d, n) for d, text in docs for n, item in items if leaks(text.split(), item.split())}
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(x["doc_id"], x["item_id"]) for x in found.collect()}
+    assert found <= want and len(want) > 150
+    for n, _ in items:
+        own = {x for x in want if x[1] == n}
+        assert len(own & found) >= 0.9 * len(own)
+    assert len(found) >= 0.99 * len(want)
+
+
+def test_long_text_of_one_word(spark):
+    docs = spark.createDataFrame([(1, "spam " * 20_000), (2, "spam " * 12)], "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame([(1, "spam " * 30)], "item_id long, text string")).collect()
+    assert [(x["doc_id"], x["start"], x["n_tokens"], x["n_equal"]) for x in found] == [(1, 0, 30, 30)]
 
 
 def test_mix_tree(spark):
