@@ -60,8 +60,18 @@ def walk_links(spark: SparkSession, starts: DataFrame, nexts: DataFrame) -> tupl
         length *= 2
 
 
-def follow_next(spark: SparkSession, starts: DataFrame, nexts: DataFrame, max_depth: int = 0) -> DataFrame:
-    """(start, depth, url): the walks of walk_links(); a walk that goes round ends before its first repeated page, and max_depth,
-    if there is one, is the last depth that is given."""
-    walk, _ = walk_links(spark, starts, nexts)
-    return walk.where(F.col("depth") <= max_depth) if max_depth else walk
+def follow_next(spark: SparkSession, starts: DataFrame, nexts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, depth, url): the walks of walk_links(): all of their pages, and walks that go round end before their first repeated
+    page. With max_depth, walks end there instead, also those that go round.
+    """
+    if max_depth is None:
+        return walk_links(spark, starts, nexts)[0]
+    walk = starts.select("start", F.lit(0).alias("depth"), F.col("start").alias("url"))
+    jump = nexts.where(F.col("next_url").isNotNull()).select("url", F.col("next_url").alias("to"))
+    length = 1
+    while length <= max_depth and not jump.isEmpty():
+        on = walk.where(F.col("depth") + length <= max_depth).join(jump, "url").select("start", (F.col("depth") + length).alias("depth"), F.col("to").alias("url"))
+        walk, length = cut(walk.unionByName(on)), 2 * length
+        if length <= max_depth:
+            jump = cut(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("__far")), "to").select("url", F.col("__far").alias("to")))
+    return walk
