@@ -6,15 +6,16 @@ their prefixes of n - ceil(T n / 100) + 1 shingles, so
 
 1. documents with equal prefix and size become one group, and only groups are joined on prefix shingles, by shards of
    the shingle's hash;
-2. a pair of groups survives if the sizes allow a link and if the shingles that the prefixes share, with all that may
-   follow them, can reach the overlap that a link needs. A prefix shingle with more than PAIRS groups makes no pairs: its
-   groups are a crowd;
+2. a pair of groups survives if one of its shared prefix shingles may be its first: what lies from its place on in both
+   sets must reach the overlap that a link needs. So must all shared prefix shingles with what may follow the prefixes. A
+   prefix shingle with more than PAIRS groups makes no pairs: its groups are a crowd. A member of a crowd stays only if some
+   member has a size that its place still allows, and the other way round, so a crowd that can't link makes no work;
 3. surviving groups and crowds expand to their distinct sets (equal sets are one class). Classes get a label, that of
    their largest crowd or of their least relative, and a cell of at most CELL_SETS sets of that label. Within its cell each
    set is verified against all others, and against a few pivots of its label, which join most of a crowd;
 4. only where a pair or a crowd still lies in several cells and in several components, the sets outside its largest
-   component are verified against all of it, block by block. So near copies of one text cost work in proportion to their
-   number, and no link between different components is left out;
+   component are verified against all of it, block by block, where sizes and places of the blocks allow a link. So near
+   copies of one text cost work in proportion to their number, and no link between different components is left out;
 5. links become components by contraction.
 
 Which shingles count as frequent changes the order only, never the result: each task reports its most frequent ones, and
@@ -42,6 +43,8 @@ PAIRS = 40
 HOT = 4_000
 CELL_SETS = 200
 CELL_SHINGLES = 500_000
+#: Bands of size for each factor of e, in which the members of a crowd are compared and blocks are dealt.
+BANDS = 10
 #: Random pivots of a label, besides its most typical set.
 PIVOTS = 5
 SHARD_ROWS = 500_000
@@ -58,6 +61,11 @@ def prefix_size(n, t: int = T):
     return n + (-t * n) // 100 + 1
 
 
+def furthest(n, at, t: int = T):
+    """The largest set with which one of n shingles can link if its first shared one lies at place `at` of its order."""
+    return (100 + t) * (n - at) // t - n
+
+
 def sets_of(words: Line, n: int = N) -> list[np.ndarray]:
     """Sorted distinct shingles of each document; fewer than n words make one."""
     every, out = rolled(words.ids, n, 0), []
@@ -142,9 +150,10 @@ def _prefixes(sent, shards: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]
                     t = np.concatenate([x[0] for x in found])
                     g = np.repeat(np.array([x[1] for x in found], np.int64), [len(x[0]) for x in found])
                     n = np.repeat(np.array([x[2] for x in found], np.uint32), [len(x[0]) for x in found])
-                    m = np.concatenate([x[3] for x in found]) if kind == _CROWD else None
+                    p = np.concatenate([x[3] for x in found]).astype(np.uint32)
+                    m = np.concatenate([x[4] for x in found]) if kind == _CROWD else None
                     for shard, i in by_shard(t if kind == _TOKENS else g.view(np.uint64), shards):
-                        rows.append((kind, shard, len(i), t[i].tobytes() + g[i].tobytes() + n[i].tobytes() + (m[i].tobytes() if kind == _CROWD else b"")))
+                        rows.append((kind, shard, len(i), t[i].tobytes() + g[i].tobytes() + n[i].tobytes() + p[i].tobytes() + (m[i].tobytes() if kind == _CROWD else b"")))
             for x in (docs, tokens, crowd, seen):
                 x.clear()
             kinds, dealt, n, data = zip(*rows, strict=True)
@@ -165,9 +174,10 @@ def _prefixes(sent, shards: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]
                         seen.add(group)
                         signed = docs[-1][-1]
                         many = np.zeros(len(first), bool) if not len(count) else (at >= 0) & (count[at] >= hot)
-                        tokens.append((first[~many], signed, len(own)))
+                        place = np.arange(len(first))
+                        tokens.append((first[~many], signed, len(own), place[~many]))
                         if many.any():
-                            crowd.append((first[many], signed, len(own), count[at[many]]))
+                            crowd.append((first[many], signed, len(own), place[many], count[at[many]]))
                         sizes += len(first)
                 if sizes > SHARD_ROWS or len(docs) > SHARD_ROWS:
                     yield packed()
@@ -206,21 +216,23 @@ def _distinct(*keys: np.ndarray) -> np.ndarray:
 
 
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: groups of shingles that too many share (kind 0: shingle, number of its groups, group), pairs of groups
-    with the number of prefix shingles that they share (kind 1: a, b, sizes of both, shared), and its documents (kind 2:
-    doc_id, key, size, both halves of the digest, group)."""
+    """Of one shard: groups of shingles that too many share (kind 0: shingle, number of its groups, group, size, furthest
+    size), pairs of groups with the number of prefix shingles that they share (kind 1: a, b, sizes of both, shared, whether
+    one of them may be the first), and its documents (kind 2: doc_id, key, size, both halves of the digest, group)."""
     docs = np.frombuffer(b"".join(pdf["data"][pdf["kind"] == _DOCS]), np.int64).reshape(-1, 6)
     rows = [_rows(_DOCS, *docs.T)]
-    t, g, _, m = _unpacked(pdf[pdf["kind"] == _CROWD], np.int64, np.int64, np.uint32, np.int64)
+    t, g, n, p, m = _unpacked(pdf[pdf["kind"] == _CROWD], np.int64, np.int64, np.uint32, np.uint32, np.int64)
     one = _distinct(t, g)
-    rows.append(_rows(_CROWD, t[one], m[one], g[one]))
-    t, g, n = _unpacked(pdf[pdf["kind"] == _TOKENS], np.int64, np.int64, np.uint32)
+    n, p = n[one].astype(np.int64), p[one].astype(np.int64)
+    rows.append(_rows(_CROWD, t[one], m[one], g[one], n, furthest(n, p)))
+    t, g, n, p = _unpacked(pdf[pdf["kind"] == _TOKENS], np.int64, np.int64, np.uint32, np.uint32)
     one = _distinct(g, t)
-    t, g, n = t[one], g[one], n[one].astype(np.int64)
+    t, g, n, p = t[one], g[one], n[one].astype(np.int64), p[one].astype(np.int64)
+    far = furthest(n, p)
     begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]]))
     size = np.diff(begin, append=len(t))
     crowded = np.repeat(size > PAIRS, size)
-    rows.append(_rows(_CROWD, t[crowded], np.repeat(size, size)[crowded], g[crowded]))
+    rows.append(_rows(_CROWD, t[crowded], np.repeat(size, size)[crowded], g[crowded], n[crowded], far[crowded]))
     left, right = [], []
     for k in range(2, PAIRS + 1):
         at = begin[size == k]
@@ -235,7 +247,9 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((g[y], g[x]))
         x, y = x[order], y[order]
         at = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (g[x][1:] != g[x][:-1]) | (g[y][1:] != g[y][:-1])]))
-        rows.append(_rows(_TOKENS, g[x[at]], g[y[at]], n[x[at]], n[y[at]], np.diff(at, append=len(x))))
+        if len(at):
+            first = np.logical_or.reduceat((n[y] <= far[x]) & (n[x] <= far[y]), at).astype(np.int64)
+            rows.append(_rows(_TOKENS, g[x[at]], g[y[at]], n[x[at]], n[y[at]], np.diff(at, append=len(x)), first))
     return pd.concat(rows)
 
 
@@ -359,8 +373,21 @@ def _verified(sets: DataFrame, shingles: int) -> DataFrame:
     return sets.withColumn("bundle", F.pmod(F.xxhash64("cell"), F.lit(bundles))).groupBy("bundle").applyInPandas(_linked, "u long, v long")
 
 
+def _band() -> Column:
+    return F.floor(F.log("n") * BANDS)
+
+
+def live(crowds: DataFrame) -> DataFrame:
+    """Of crowds (shingle, m, group, n, far), the rows that some row of their shingle may meet: its size is within reach of
+    the row, and the row's size within its own. Rows are held against bands of size, whose number no count of rows raises."""
+    bands = crowds.groupBy("shingle", _band().alias("band")).agg(F.min("n").alias("low"), F.max("far").alias("most"))
+    reach = staged(bands.groupBy("shingle").agg(F.collect_list(F.struct("low", "most")).alias("reach")), "reach")
+    met = join_counted(crowds, reach, ["shingle"], values=F.size("reach"))
+    return met.where(F.exists("reach", lambda r: (r["low"] <= F.col("far")) & (r["most"] >= F.col("n")))).drop("reach")
+
+
 def open_keys(keys: DataFrame, placed: DataFrame) -> DataFrame:
-    """Of keys (key, group), groups that may link, those that lie in several cells and in several components of
+    """Of keys (key, group, far), groups that may link, those that lie in several cells and in several components of
     placed (v, group, label, cell, comp, n)."""
     ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "comp") for name, f in (("low", F.min), ("high", F.max))]
     by_group = placed.groupBy("group").agg(*ends)
@@ -372,30 +399,33 @@ def open_keys(keys: DataFrame, placed: DataFrame) -> DataFrame:
 def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
     """cell, side, v, n: what must still be verified, side 0 of a cell against its side 1 (or against itself without one).
 
-    Classes of open keys lie in blocks of at most CELL_SETS, of one component where that is large, else of a label. Of each
-    key, the blocks outside its largest component meet all its blocks but those of their own component, those whose sizes
-    allow no link and those of their own cell. Crowds share many classes, so their blocks meet as a whole, once for all
+    Classes of open keys lie in blocks of at most CELL_SETS, of one component where that is large, else of a label and, where
+    it has several, of a band of size. Of each key, the blocks outside its largest component meet all its blocks but those of
+    their own component, those whose sizes or places in the key (far) allow no link and those of their own cell. Crowds share many classes, so their blocks meet as a whole, once for all
     crowds; of a pair of groups only its own classes meet.
     """
-    of_key = open_.join(placed.select("v", "group"), "group").select("key", "crowd", "v")
+    of_key = open_.join(placed.select("v", "group"), "group").select("key", "crowd", "v", "far")
     here = staged(placed.join(of_key.select("v").distinct(), "v", "left_semi"), "here")
     blocks = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES))
     large = here.groupBy("comp").agg(F.count("*").alias("k"), blocks.alias("of_comp")).where(F.col("k") >= CELL_SETS // 2).drop("k")
     here = here.join(large, "comp", "left")
     rest = here.where("of_comp is null").groupBy("label").agg(blocks.alias("of_label"))
-    here = here.join(rest, "label", "left")
+    here = here.join(rest, "label", "left").withColumn("band", F.when((F.col("of_label") > 1) & F.col("of_comp").isNull(), _band()).otherwise(-1))
+    here = staged(here, "banded")
+    banded = here.where("of_comp is null").groupBy("label", "band").agg(blocks.alias("of_band"))
+    here = here.join(banded, ["label", "band"], "left").withColumn("in_label", F.xxhash64("label", "band"))
     pure = F.when(F.col("of_comp").isNotNull(), F.col("comp"))
-    block = F.when(pure.isNotNull(), _dealt("comp", F.col("of_comp"))).otherwise(_dealt("label", F.col("of_label")))
+    block = F.when(pure.isNotNull(), _dealt("comp", F.col("of_comp"))).otherwise(_dealt("in_label", F.col("of_band")))
     here = staged(here.select("v", "n", "cell", block.alias("block"), pure.alias("pure")), "blocks")
     of_key = staged(of_key.join(here, "v"), "of-key")
 
     ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "n") for name, f in (("low", F.min), ("high", F.max))]
-    by_block = staged(of_key.groupBy("key", "crowd", "block", "pure").agg(F.count("*").alias("k"), *ends), "by-block")
+    by_block = staged(of_key.groupBy("key", "crowd", "block", "pure").agg(F.count("*").alias("k"), F.max("far").alias("far"), *ends), "by-block")
     home = by_block.where("pure is not null").groupBy("key", "pure").agg(F.sum("k").alias("k")).groupBy("key").agg(F.max_by("pure", "k").alias("home"))
     outside = by_block.join(home, "key", "left").where("pure is null or pure <> home").drop("home", "k")
-    x, y = (d.select("key", *(["crowd"] if side == "x" else []), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n"))) for d, side in ((outside, "x"), (by_block, "y")))
+    x, y = (d.select("key", *(["crowd"] if side == "x" else []), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n", "far"))) for d, side in ((outside, "x"), (by_block, "y")))
     meet = x.join(y, "key").where("pure_x is null or pure_y is null or pure_x <> pure_y").where("low_cell_x <> high_cell_x or low_cell_y <> high_cell_y or low_cell_x <> low_cell_y")
-    meet = meet.where(f"100 * high_n_x >= {T} * low_n_y and 100 * high_n_y >= {T} * low_n_x")
+    meet = meet.where(f"100 * high_n_x >= {T} * low_n_y and 100 * high_n_y >= {T} * low_n_x and low_n_y <= far_x and low_n_x <= far_y")
     meet = meet.select("key", "crowd", F.least("block_x", "block_y").alias("x"), F.greatest("block_x", "block_y").alias("y")).withColumn("meet", F.xxhash64("x", "y"))
     meet = staged(meet.distinct(), "meet")
 
@@ -436,19 +466,27 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     classes = doc_rows.where("n > 0").groupBy("s1", "s2", "group", "n").agg(F.min("doc_id").alias("rep"), F.min_by("key", "doc_id").alias("key"), F.count("*").alias("rows"))
     classes = staged(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
 
-    # what two groups can still share after what their prefixes share
-    pairs = joined.where(f"kind = {_TOKENS}").selectExpr("a", "b", "c as na", "d as nb", "e as c")
+    crowds = joined.where(f"kind = {_CROWD}").selectExpr("a as shingle", "b as m", "c as group", "d as n", "e as far")
+    # what two groups can still share after what their prefixes share; shingles of crowds that both hold are not counted
+    pairs = joined.where(f"kind = {_TOKENS}").selectExpr("a", "b", "c as na", "d as nb", "e as c", "f as first")
     p_a, p_b = (F.expr(f"{x} - cast(ceil({T} * {x} / 100) as bigint) + 1") for x in ("na", "nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).withColumn("reach", F.col("c") + F.greatest(F.col("na") - p_a, F.col("nb") - p_b))
-    pairs = staged(pairs.where(f"reach * {100 + T} >= {T} * (na + nb)").select("a", "b"), "pairs")
-    crowds = joined.where(f"kind = {_CROWD}").selectExpr("a as shingle", "b as m", "c as group")
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("first").alias("first")).where("first = 1")
+    pairs = staged(pairs.withColumn("reach", F.col("c") + F.greatest(F.col("na") - p_a, F.col("nb") - p_b)), "reaching")
+    enough = f"reach * {100 + T} >= {T} * (na + nb)"
+    largest = F.shiftleft("m", 20) + F.pmod("shingle", F.lit(1 << 20))
+    in_crowds = staged(crowds.groupBy("group").agg(F.max_by("shingle", largest).alias("crowd"), F.count("*").alias("heat")), "in-crowds")
+    short = pairs.where(f"not ({enough})")
+    for side in "ab":
+        short = join_counted(short, in_crowds.select(F.col("group").alias(side), F.col("heat").alias(f"heat_{side}")), [side])
+    short = short.withColumn("reach", F.col("reach") + F.least("heat_a", "heat_b")).where(enough)
+    pairs = staged(pairs.where(enough).select("a", "b").unionByName(short.select("a", "b")), "pairs")
+    crowds = staged(live(crowds), "live")
     alone = classes.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
 
     # a label for each group that may link: the shingle of its largest crowd, else its least neighbour
     near = pairs.selectExpr("a as group", "b as other").unionByName(pairs.selectExpr("b as group", "a as other")).unionByName(alone.selectExpr("group", "group as other"))
     by_near = near.groupBy("group").agg(F.least(F.min("other"), F.col("group")).alias("near"))
-    largest = F.shiftleft("m", 20) + F.pmod("shingle", F.lit(1 << 20))
-    by_crowd = crowds.groupBy("group").agg(F.max_by("shingle", largest).alias("crowd"), F.count("*").alias("heat"))
+    by_crowd = in_crowds.join(crowds.select("group").distinct(), "group", "left_semi")
     label = F.when(F.col("crowd").isNotNull(), F.xxhash64(F.lit("crowd"), "crowd")).otherwise(F.xxhash64(F.lit("near"), "near"))
     labelled = by_near.join(by_crowd, "group", "full").select("group", label.alias("label"), F.coalesce("heat", F.lit(0)).alias("heat"))
     members = staged(classes.join(labelled, "group").selectExpr("v", "s1", "s2", "rep as doc_id", "key", "group", "n", "label", f"heat / (n - ceil({T} * n / 100) + 1) as typical"), "members")
@@ -468,8 +506,9 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     links = _verified(held.select("cell", F.lit(0).alias("side"), "v", "own").unionByName(to_pivots.select("cell", F.lit(0).alias("side"), "v", "own")), shingles)
     found = components(links)
 
-    keys = crowds.select(F.xxhash64(F.lit("crowd"), "shingle").alias("key"), "group").unionByName(alone.select(F.xxhash64(F.lit("group"), "group").alias("key"), "group"))
-    keys = keys.withColumn("crowd", F.lit(True)).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), F.lit(False).alias("crowd")))
+    any_size = F.lit(int(LAST)).alias("far")
+    keys = crowds.select(F.xxhash64(F.lit("crowd"), "shingle").alias("key"), "group", "far").unionByName(alone.select(F.xxhash64(F.lit("group"), "group").alias("key"), "group", any_size))
+    keys = keys.withColumn("crowd", F.lit(True)).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), any_size, F.lit(False).alias("crowd")))
     placed = staged(in_cell.select("v", "group", "label", "cell", "n").join(found.withColumnRenamed("label", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "placed")
     open_ = open_keys(keys, placed)
     if not at_most(open_, 0):

@@ -171,6 +171,39 @@ def test_a_crowd_of_near_copies_is_linear(spark, monkeypatch):
     assert sizes["links"] <= 5 * 3000 and sizes.get("needed", 0) <= 2 * 3000
 
 
+def test_a_crowd_that_cannot_link_makes_no_work(spark, monkeypatch):
+    staged, sizes = ngramjoin.staged, {}
+
+    def counted(df, name):
+        made = staged(df, name)
+        sizes[name] = sizes.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(ngramjoin, "staged", counted)
+    form = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(form[:15] + [f"own{k}"] + form[16:])) for k in range(2000)]
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(k, k) for k in range(2000)}
+    assert sizes["live"] == sizes["members"] == sizes.get("needed", 0) == 0
+
+
+@pytest.mark.parametrize("seed, crowd, cell", [(1, 40, 20), (2, 3, 5), (3, 2, 200)])
+def test_crowds_in_which_some_link(spark, monkeypatch, seed, crowd, cell):
+    monkeypatch.setattr(ngramjoin, "PAIRS", crowd)
+    monkeypatch.setattr(ngramjoin, "CELL_SETS", cell)
+    r, rows = random.Random(seed), []
+    form = [f"w{k}" for k in range(30)]
+    for k in range(160):  # own words inside, before and after: sizes and places differ, some reach others by chains
+        w = form[: r.choice([22, 26, 30, 30])] + [f"tail{r.randrange(4)}x{x}" for x in range(r.choice([0, 0, 3, 6, 9]))]
+        if r.random() < 0.6:
+            w[r.randrange(len(w))] = f"own{k}"
+        rows.append((k, " ".join([f"head{r.randrange(3)}x{x}" for x in range(r.choice([0, 0, 2, 5]))] + w)))
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = linked(rows)
+    assert 10 < len({label for _, label in want.values()}) < 150
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "u long, v long")
     for most in (1000, 5):  # at once, and by contraction
