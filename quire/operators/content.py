@@ -44,9 +44,11 @@ def _by_batch(function, *args):
     return run
 
 
-def inner_html(html: Column, expr: str, tag_filter: str = "") -> Column:
-    """Inner HTML of the first match; null without one."""
-    return _by_batch(lambda page: extract.extract_inner(dom.parse(page), expr, tag_filter))(html)
+def inner_html(html: Column, expr: str, tag_filter: str = "", once: bool = False) -> Column:
+    """Inner HTML of the first match; null without one. once: filters on it don't run it a second time, and no filter passes
+    below the projection that holds it."""
+    run = _by_batch(lambda page: extract.extract_inner(dom.parse(page), expr, tag_filter))
+    return (run.asNondeterministic() if once else run)(html)
 
 
 def without_tags(html: Column, selector: str) -> Column:

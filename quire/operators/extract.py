@@ -182,8 +182,11 @@ def lowered(html: Column, expr: str) -> Column | None:
     return col
 
 
-def extract_fields(pages: DataFrame, fields: dict[str, str], html: str = "html", base: str = "url") -> DataFrame:
-    """pages with one string column for each field; missing values are empty, null html has none."""
+def extract_fields(pages: DataFrame, fields: dict[str, str], html: str = "html", base: str = "url", once: bool = False) -> DataFrame:
+    """pages with one string column for each field; missing values are empty, null html has none.
+
+    once: filters on the fields read the extracted rows and never extract a second time; other filters belong before it then.
+    """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for pages_, bases in batches:
@@ -194,6 +197,7 @@ def extract_fields(pages: DataFrame, fields: dict[str, str], html: str = "html",
             yield pd.DataFrame(rows, columns=list(fields), dtype=object)
 
     udf = F.pandas_udf(run, ", ".join(f"{f} string" for f in fields))
+    udf = udf.asNondeterministic() if once else udf  # keeps filters, and a second run of the function, above it
     return pages.withColumn("__x", udf(F.col(html), F.col(base))).select("*", "__x.*").drop("__x")
 
 

@@ -94,7 +94,7 @@ def book_details(pages: DataFrame, rule: dict[str, str], key: str = "page_id", b
 
     The author loses its label, the time too, the introduction all white space. Fields that the rule leaves out are empty.
     """
-    made = extract_fields(pages.select(key, base, "html"), {f: rule.get(f, "") for f in DETAIL_FIELDS}, "html", base)
+    made = extract_fields(pages.select(key, base, "html"), {f: rule.get(f, "") for f in DETAIL_FIELDS}, "html", base, once=True)
     unlabelled = F.col("author")
     for label in T.LABELS[:1]:
         unlabelled = F.replace(unlabelled, F.lit(label), F.lit(""))

@@ -12,6 +12,7 @@ from ..functions import lang
 from ..functions import text as T
 from ..operators import assemble, content, extract, finish, projections, search, sites, toc
 from ..session import table
+from ..sources import charset
 from ..sources import rules as R
 from ..streaming import jobs
 
@@ -98,6 +99,18 @@ def unusable_pages(spark, d):
     return table(spark, d, "pages").select("page_id", "html").unionByName(one).select("page_id", T.is_challenge(F.col("html")).alias("challenge"))
 
 
+@query("""SELECT 'page' kind, page_id id, CASE WHEN html IS NULL THEN 'no body' WHEN octet_length(encode(html)) > 30000 THEN 'too large' END reason,
+  CASE WHEN octet_length(encode(html)) <= 30000 THEN md5(html) END digest FROM pages
+UNION ALL SELECT 'document', doc_id, CASE WHEN t IS NULL THEN 'no body' WHEN length(t) > 30000 THEN 'too large' END, CASE WHEN length(t) <= 30000 THEN md5(t) END
+FROM (SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') t FROM documents)""")
+def captured_files(spark, d):
+    """Pages as declared UTF-8 and documents as bytes of an undeclared charset, decoded or rejected."""
+    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("data"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    western = F.encode(F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?"), "ISO-8859-1")
+    docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), western.alias("data"), F.lit(None).cast("string").alias("content_type"))
+    return charset.captured(pages.unionByName(docs), most=30_000).select("kind", "id", "reason", F.md5("html").alias("digest"))
+
+
 _BAD = "[\\p{C}\\x{2028}\\x{2029}\\x{200B}\\x{FEFF}]"
 
 
@@ -397,7 +410,7 @@ def page_rows(spark, d):
 def chapter_txt(spark, d):
     """The article of every page as a rendered chapter: extraction, cleaning, paragraphs, text."""
     rule = content.ChapterRule(paragraph_tag_closed=True, filter_txt="advert", filter_tag="h1, .ad, script")
-    pages = table(spark, d, "pages").select("page_id", extract.lowered(F.col("html"), "title").alias("title"), content.inner_html(F.col("html"), "article", "footer").alias("content"))
+    pages = table(spark, d, "pages").select("page_id", extract.lowered(F.col("html"), "title").alias("title"), content.inner_html(F.col("html"), "article", "footer", once=True).alias("content"))
     ok, _ = content.accepted(pages)
     return content.render_chapters(ok, rule, "txt")
 

@@ -166,6 +166,44 @@ def test_charsets():
     assert charset.decode_bytes("秋天".encode("gbk")) == "秋天"
     assert charset.decode_bytes("秋天".encode(), None) == "秋天"
     assert charset.decode_bytes(None) is None
+    assert charset.decode_bytes(b"") == ""
+    assert charset.decode_bytes(b"\xef\xbb\xbfa", "text/html; charset=gbk") == "a"
+    assert charset.decode_bytes("秋".encode("utf-16"), None) == "秋"
+
+
+JAPANESE = ["秋の風が北から吹いて、木の葉が一枚ずつ落ちる。", "彼は部屋に入り、机の上の手紙を見た。", "明日いっしょに図書館へ行きましょう。"]
+SAMPLES = {
+    "gb18030": ["秋天的风从北方吹来，树叶一片片落下。", "他走进房间，看见桌上放着一封信。", "不知道为什么，她突然笑了起来。", "第一章 少年离开了家乡"],
+    "big5": ["秋天的風從北方吹來，樹葉一片片落下。", "他走進房間，看見桌上放著一封信。", "不知道為什麼，她突然笑了起來。", "第一章 少年離開了家鄉"],
+    "cp932": JAPANESE,
+    "euc_jp": JAPANESE,
+    "cp949": ["가을 바람이 북쪽에서 불어와 나뭇잎이 떨어진다.", "그는 방에 들어가 책상 위의 편지를 보았다.", "제일장 소년은 고향을 떠났다"],
+    "cp1252": ["Café", "L’été dernier, nous étions à la plage.", "Die Straße führt über die Brücke.", "El niño comió una manzana en el jardín."],
+}
+
+
+@pytest.mark.parametrize("codec", SAMPLES)
+def test_charsets_by_likelihood(codec):
+    wrong = n = 0
+    for text in SAMPLES[codec]:
+        for k in range(len(text) - 7):  # any eight characters
+            part = text[k : k + 8]
+            if not part.isascii():
+                n += 1
+                wrong += charset.decode_bytes(part.encode(codec)) != part
+    assert wrong <= n // 50
+    whole = "\n".join(SAMPLES[codec])
+    for raw, right in ((whole.encode(codec), codec), (whole.encode(), "utf-8")):
+        for spoilt in (raw[:-1], raw[:20] + b"\xff" + raw[20:], raw + b"\x80"):  # cut short, or with a broken byte
+            assert charset.detect(spoilt) == right or spoilt.decode("utf-8", "ignore").encode() == spoilt
+
+
+def test_captured_files(spark):
+    rows = [("a", "秋天的风从北方吹来".encode("gbk"), None, 1), ("b", None, "text/html", 2), ("c", b"x" * 101, None, 3), ("d", b"<title>403 Forbidden</title>", None, 4), ("e", b"", None, 5), ("e", b"", None, 5)]
+    files = spark.createDataFrame(rows, "url string, data binary, content_type string, extra int")
+    got = sorted((r["url"], r["html"], r["reason"], r["extra"]) for r in charset.captured(files, most=100).collect())
+    assert got == [("a", "秋天的风从北方吹来", None, 1), ("b", None, "no body", 2), ("c", None, "too large", 3), ("d", None, "challenge page", 4), ("e", "", None, 5), ("e", "", None, 5)]
+    assert charset.captured(files.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("s, t, how", [("zh-TW", "zh-CN", "t2s"), ("zh_tw", "zh-cn", "t2s"), ("zh-Hant", "zh-CN", "t2s"), ("zh-CN", "zh-TW", "s2tw"), ("zh-CN", "zh-Hant", "s2t"), ("zh-Hant", "zh-TW", "t2tw"), ("zh-CN", "zh-CN", None), ("en", "zh-CN", None)])
