@@ -1,113 +1,23 @@
-"""A small element tree over the standard library's parser, and the CSS subset that rules use.
+"""The CSS subset that rules use, over element trees of htmltree.
 
 Type, #id, .class, [a], [a=v], [a="v"], :not(simple), :nth-child(an+b), :nth-of-type(an+b), :first-child, :last-child,
-combined by descendant, >, + and ~, in lists with commas. Trees live inside a batch and never become columns.
+combined by descendant, >, + and ~, in lists with commas.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html import escape
-from html.parser import HTMLParser
 
-#: Elements without content.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
-_BLOCK = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_RAW = {"script", "style"}
+from .htmltree import VOID, Element, parse
+
+__all__ = ["VOID", "Element", "SelectorError", "body_of", "compiled", "parse", "select", "select_first"]
 
 
 class SelectorError(ValueError):
     """A selector outside the subset."""
 
 
-class Element:
-    __slots__ = ("name", "attrs", "children", "parent")
-
-    def __init__(self, name: str, attrs: dict[str, str], parent: Element | None):
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
-
-    def elements(self) -> list[Element]:
-        return [c for c in self.children if isinstance(c, Element)]
-
-    def walk(self):
-        """Descendants in document order."""
-        todo = list(reversed(self.elements()))
-        while todo:
-            e = todo.pop()
-            yield e
-            todo += reversed(e.elements())
-
-    def text(self) -> str:
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, str):
-                out.append(c)
-            else:
-                todo += reversed(c.children)
-        return "".join(out)
-
-    def inner_html(self) -> str:
-        out: list[str] = []
-        todo: list = list(reversed(self.children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, tuple):
-                out.append(c[0])
-            elif isinstance(c, str):
-                out.append(escape(c, quote=False))
-            else:
-                out.append(f"<{c.name}{''.join(f' {k}="{escape(v)}"' for k, v in c.attrs.items())}>")
-                if c.name not in VOID:
-                    todo.append((f"</{c.name}>",))
-                    todo += [(x,) if c.name in _RAW and isinstance(x, str) else x for x in reversed(c.children)]
-        return "".join(out)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Element("#root", {}, None)
-        self.at = self.root
-
-    def handle_starttag(self, tag, attrs):
-        closes = _SELF_CLOSING.get(tag, set()) | ({"p"} if tag in _BLOCK else set())
-        e = self.at
-        while closes and e is not self.root and e.name not in ("ul", "ol", "dl", "table", "tbody", "div", "select"):
-            if e.name in closes:
-                self.at = e.parent
-                break
-            e = e.parent
-        new = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(new)
-        if tag not in VOID:
-            self.at = new
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        e = self.at
-        while e is not self.root and e.name != tag:
-            e = e.parent
-        if e is not self.root:
-            self.at = e.parent
-
-    def handle_data(self, data):
-        if data:
-            self.at.children.append(data)
-
-
-def parse(html: str) -> Element:
-    """The root of a page or fragment; nothing is added to it."""
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
 def body_of(root: Element) -> Element:
     return next((e for e in root.walk() if e.name == "body"), root)
 
