@@ -7,9 +7,9 @@ combined by descendant, >, + and ~, in lists with commas.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from .htmltree import VOID, Element, parse
+from .memo import memo
 
 __all__ = ["VOID", "Element", "SelectorError", "body_of", "compiled", "parse", "select", "select_first"]
 
@@ -122,7 +122,7 @@ def _chain(text: str):
     return out
 
 
-@lru_cache(maxsize=1024)
+@memo(1024)
 def compiled(selector: str) -> tuple:
     """Chains of a selector list; raises SelectorError for what is outside the subset."""
     depth, start, lists = 0, 0, []

@@ -153,6 +153,10 @@ def column(step: Step, r: Column) -> Column:
             return F.concat(F.lit(a[0]), r)
         case "remove":
             return F.replace(r, F.lit(a[0]), F.lit(""))
+        case "replace":  # the first occurrence only, as it stands
+            at = F.instr(r, F.lit(a[0]))
+            rest = F.substring(r, at + len(a[0]), F.char_length(r))
+            return F.when(at > 0, F.concat(F.left(r, at - 1), F.lit(a[1]), rest)).otherwise(r)
         case "regex_remove":
             return T.filter_text(r, a[0])
         case "regex_replace":

@@ -133,6 +133,12 @@ def toc_pages(pages: DataFrame, next_page: str, key: str = "page_id") -> DataFra
     return _rows(pages, key, "kind string, pos int, url string", of_page)
 
 
+def attribute_rows(pages: DataFrame, expr: str, attr: str, key: str = "page_id") -> DataFrame:
+    """(key, pos, value): an attribute of all matches of a page in order, from 0, links in full; matches without it have no row and
+    no number. Null pages and unusable selectors have no rows."""
+    return _rows(pages, key, "pos int, value string", lambda root, base: list(enumerate(extract_all(root, expr, attr, base))))
+
+
 def without_entries(books: DataFrame, entries: DataFrame, book: str) -> DataFrame:
     """(book, reason): books whose table of contents is empty, which cannot go on."""
     return books.select(book).join(entries.select(book).distinct(), book, "left_anti").withColumn("reason", F.lit("empty table of contents"))

@@ -80,6 +80,13 @@ def limit_per_source(rows: DataFrame, source: list[str], order: list[str], n: in
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*source).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
+def capped_limit(asked: int | None, most: int) -> int:
+    """How many results a caller gets who asks for `asked`: at most `most`, if that is above 0; 0 (all) if nothing above 0 is left."""
+    if asked is None:
+        return 0
+    return max(0, min(asked, most) if most > 0 else asked)
+
+
 def suggestions(names: DataFrame, column: str, prefix: str, n: int = 10) -> DataFrame:
     """The first n names that begin with a prefix; a blank prefix suggests nothing."""
     if not prefix.strip():

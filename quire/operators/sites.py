@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import dom, steps
+from ..functions.memo import memo
 from ..functions import text as T
 from ..session import cut
 from ..sources import rules as R
@@ -39,12 +39,12 @@ PARTS = ("search", "book", "toc")
 Section = dict[str, Any]
 
 
-@lru_cache(maxsize=4096)
+@memo(4096)
 def _plan(rule: str) -> dict[str, Any]:
     return json.loads(rule)
 
 
-@lru_cache(maxsize=4096)
+@memo(4096)
 def _whole(pattern: str) -> re.Pattern | None:
     try:
         return re.compile(f"(?:{pattern})\\Z") if pattern else None

@@ -14,6 +14,7 @@ from ..operators import assemble, content, extract, finish, projections, search,
 from ..session import table
 from ..sources import charset
 from ..sources import rules as R
+from ..sources.config import Config
 from ..streaming import jobs
 
 KEYWORDS = ["steel", "Brand#12", "blue", "promo copper"]
@@ -572,6 +573,31 @@ def suggest_all(spark, d):
     return search.suggestions_for(asked, "prefix", parts, "p_name")
 
 
+@query("""SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(.*?://[^/]*)', 1) || href ELSE href END AS value
+FROM (SELECT page_id, url, unnest(a) href, (generate_subscripts(a, 1) - 1)::INT pos
+      FROM (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) a FROM pages))""")
+def menu_links(spark, d):
+    """Links of every page's menu, from its tree."""
+    return projections.attribute_rows(table(spark, d, "pages"), "nav a", "href")
+
+
+@query("SELECT * FROM (" + ORACLE["search_ranked"] + ") WHERE rank <= 30")
+def search_top(spark, d):
+    """A caller asks for the first 50 of each keyword, the settings allow 30."""
+    limit = search.capped_limit(50, Config().search_limit)
+    found = search.ranked_search(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), KEYWORDS, "p_name", "p_brand", ["p_partkey"], limit=limit)
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""SELECT p_partkey, p_name AS cell, p_brand || p_name || p_partkey AS "all", p_partkey::VARCHAR AS bold FROM part""")
+def implied_cells(spark, d):
+    """Every part as a page without html, body, tbody and end tags: text of the table's own moves before it, and formatting that a
+    paragraph left open goes on in the next."""
+    html = F.concat(F.lit("<table><tr>"), "p_brand", F.lit("<td>"), "p_name", F.lit("</table><p><b><p>"), F.col("p_partkey").cast("string"))
+    pages = table(spark, d, "part").select("p_partkey", html.alias("html"), F.lit("").alias("url"))
+    return extract.extract_fields(pages, {"cell": "body > table > tbody > tr > td", "all": "html > body", "bold": "p + p > b"}).select("p_partkey", "cell", "all", "bold")
+
+
 @query("""SELECT page_id, 'empty table of contents' reason FROM pages WHERE len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')) < 6 OR html IS NULL""")
 def short_contents(spark, d):
     """Pages whose menu has no sixth entry, as books whose table of contents is empty."""

@@ -11,7 +11,6 @@ import codecs
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.memo import memo
 
 MOST_BYTES = 10 * 1024 * 1024
 BOMS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]
@@ -50,7 +50,7 @@ MODELS = {
 _OPEN, _OPEN_SHARE = (0, 4, 8, 21), 0.75
 
 
-@cache
+@memo(16)
 def _table(codec: str) -> np.ndarray:
     """Log likelihood of each code point up to U+FFFF."""
     out = np.full(1 << 16, np.log(1e-7), np.float32)

@@ -72,7 +72,7 @@ def test_expressions():
     assert steps.run(steps.named_step("js", "visible_li_slice('1','1')"), "<li>a</li><li>b</li><li>c</li>") == "<li>b</li>"
 
 
-@pytest.mark.parametrize("code", ["prefix('x')", "remove('a')", "regex_remove('a+')", "match1('a(.)')", "sort_by_data_id()", "visible_li_slice('1','0')", "jsonp_field('content')", "nothing"])
+@pytest.mark.parametrize("code", ["prefix('x')", "remove('a')", "regex_remove('a+')", "match1('a(.)')", "sort_by_data_id()", "visible_li_slice('1','0')", "jsonp_field('content')", "nothing", "r=r.replace('a','é')", "r=r.replace('<li>','')", "r=r.replace('','x')"])
 @pytest.mark.parametrize("text", ["", "aab", 'cb({"content":"z"});', '<li>1</li><li>2</li><i data-id="2">b</i><i data-id="1">a</i>'])
 def test_steps_agree_natively(spark, code, text):
     step = steps.named_step("js", code)

@@ -1,11 +1,15 @@
 """Suggestions for tables of prefixes, and conversion by phrases, against plain definitions."""
 
 import random
+import subprocess
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quire.functions import lang
-from quire.operators import search
+from quire.functions import dom, lang
+from quire.operators import extract, projections, search, sites
+from quire.sources import charset
 
 
 def test_suggestions_for_many_prefixes(spark):
@@ -51,3 +55,35 @@ def test_conversion_by_phrases(spark):
     back = spark.createDataFrame([("滑鼠與軟體",)], "t string").select(lang.convert(F.col("t"), "t2s")).first()[0]
     assert back == "鼠標与軟件".translate(str.maketrans(lang.TRADITIONAL, lang.SIMPLIFIED))
     assert df.select(lang.convert(F.col("t"), "t2tw")).collect()[3][0] == "軟體"
+
+
+def test_limits_are_capped():
+    assert [search.capped_limit(*x) for x in [(None, 30), (50, 30), (10, 30), (30, 30), (50, 0), (0, 30), (-1, 30)]] == [0, 30, 10, 30, 50, 0, 0]
+
+
+def test_attributes_of_all_matches(spark):
+    rows = [(9007199254740993, "http://x/y/", "<table><tr><td><img src=/a><img><img src=b></table>"), (2, "http://x/", None), (None, "http://x/", "<img src=c>"), (3, None, "<p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {tuple(r) for r in projections.attribute_rows(pages, "img", "src").collect()}
+    assert got == {(9007199254740993, 0, "http://x/a"), (9007199254740993, 1, "http://x/y/b"), (None, 0, "http://x/c")}
+    assert projections.attribute_rows(pages, "((", "src").count() == 0
+
+
+def test_unusable_selectors_in_tasks(spark):
+    page = spark.createDataFrame([(1, "http://x/", "<p>a</p>")], "page_id long, url string, html string")
+    assert extract.extract_fields(page, {"a": "((", "b": "//html/p", "c": "p"}).select("a", "b", "c").first() == ("", "", "a")
+    assert extract.list_rows(page, "page_id", "a::before", {"a": "p"}, "a").count() == 0
+
+
+def test_functions_run_where_the_package_is_not(tmp_path):
+    """What goes to tasks needs no copy of the package there."""
+    calls = [
+        (extract.extract, (dom.parse("<p>a</p>"), "p"), "a"),
+        (extract.extract_all, (dom.parse("<p>a</p>"), "((", "href"), []),
+        (charset.decode_bytes, ("中文字".encode("gb18030"),), charset.decode_bytes("中文字".encode("gb18030"))),
+        (sites._whole, ("a+",), None),
+    ]
+    for k, (function, args, want) in enumerate(calls):
+        (tmp_path / "f").write_bytes(cloudpickle.dumps((function, args, want)))
+        code = f"import sys, pickle; f, a, w = pickle.load(open({str(tmp_path / 'f')!r}, 'rb')); r = f(*a); assert w is None or r == w, r; assert not any(m.startswith('quire') for m in sys.modules)"
+        subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, check=True)
