@@ -53,6 +53,12 @@ def strip_entities(col: Column) -> Column:
     return F.regexp_replace(col, "&[^;]+;", "")
 
 
+def whole_references(html: Column) -> Column:
+    """html for a tree in which only references with their semicolon count: an &amp that a cut text left open stays as it stands.
+    Scripts are not told apart from text."""
+    return F.regexp_replace(html, r"&(?=#?[A-Za-z0-9])(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
 def strip_tags(col: Column) -> Column:
     return F.regexp_replace(col, "<[^>]+>", "")
 
