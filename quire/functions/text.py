@@ -59,6 +59,18 @@ def whole_references(html: Column) -> Column:
     return F.regexp_replace(html, r"&(?=#?[A-Za-z0-9])(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
 
 
+def as_written(html: Column) -> Column:
+    """html for a tree whose serialised text gives, after written(), the references as they stand in the page."""
+    return F.replace(html, F.lit("&"), F.lit("&amp;"))
+
+
+def written(inner: Column) -> Column:
+    """Inner HTML of a tree of as_written() in the page's own writing."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        inner = F.replace(inner, F.lit(a), F.lit(b))
+    return inner
+
+
 def strip_tags(col: Column) -> Column:
     return F.regexp_replace(col, "<[^>]+>", "")
 
