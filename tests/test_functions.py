@@ -171,6 +171,11 @@ def test_charsets():
     assert charset.decode_bytes("秋".encode("utf-16"), None) == "秋"
 
 
+@pytest.mark.parametrize("text", ["Çèen en vich de.", "EAI!! DU!! ÈÈEUX", "un été. Éèlean"])
+def test_accented_letters_in_short_texts(text):
+    assert charset.decode_bytes(text.encode("iso-8859-1")) == text
+
+
 JAPANESE = ["秋の風が北から吹いて、木の葉が一枚ずつ落ちる。", "彼は部屋に入り、机の上の手紙を見た。", "明日いっしょに図書館へ行きましょう。"]
 SAMPLES = {
     "gb18030": ["秋天的风从北方吹来，树叶一片片落下。", "他走进房间，看见桌上放着一封信。", "不知道为什么，她突然笑了起来。", "第一章 少年离开了家乡"],
