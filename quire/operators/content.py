@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dom
 from ..functions import text as T
+from ..functions.rowwise import by_row
 from . import extract
 
 INDENT = "　　"
@@ -36,23 +36,19 @@ class ChapterRule:
     next_chapter_link: str = ""
 
 
-def _by_batch(function, *args):
-    @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else function(x, *args))
-
-    return run
+def _by_text(function, *args):
+    return by_row(lambda x: None if x is None else function(x, *args))
 
 
 def inner_html(html: Column, expr: str, tag_filter: str = "", once: bool = False) -> Column:
     """Inner HTML of the first match; null without one. once: filters on it don't run it a second time, and no filter passes
     below the projection that holds it."""
-    run = _by_batch(lambda page: extract.extract_inner(dom.parse(page), expr, tag_filter))
+    run = _by_text(lambda page: extract.extract_inner(dom.parse(page), expr, tag_filter))
     return (run.asNondeterministic() if once else run)(html)
 
 
 def without_tags(html: Column, selector: str) -> Column:
-    return _by_batch(extract.remove_selected, selector)(html) if selector.strip() else html
+    return _by_text(extract.remove_selected, selector)(html) if selector.strip() else html
 
 
 def clean(content: Column, title: Column, rule: ChapterRule) -> tuple[Column, Column]:
@@ -79,8 +75,8 @@ def parts(content: Column, pattern: str) -> Column:
 def paragraphs(content: Column, rule: ChapterRule) -> Column:
     """Content without attributes and ASCII white space, in <p> elements."""
     if rule.paragraph_tag_closed:
-        return _by_batch(lambda html: extract.paragraphs_closed(extract.clear_attributes(html)))(content)
-    return split_paragraphs(_by_batch(extract.clear_attributes)(content), rule.paragraph_tag)
+        return _by_text(lambda html: extract.paragraphs_closed(extract.clear_attributes(html)))(content)
+    return split_paragraphs(_by_text(extract.clear_attributes)(content), rule.paragraph_tag)
 
 
 def render_text(title: Column, content: Column) -> Column:

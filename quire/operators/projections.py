@@ -1,21 +1,19 @@
 """Search rows, book details and tables of contents, as source rules describe them, over captured pages.
 
-One tree per page and batch. Each projection gives its rows and, where a page can be unusable, the rejected pages with the
+One tree per page. Each projection gives its rows and, where a page can be unusable, the rejected pages with the
 reason, so nothing vanishes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions import dom, steps
 from ..functions import text as T
+from ..functions.rowwise import rows_of
 from ..session import cut
 from .content import inner_html, join_pages
 from .extract import _rooted, extract, extract_all, extract_fields, extract_parsed, extract_href, extract_inner, join_url
@@ -42,22 +40,9 @@ def _select(root: dom.Element, expr: str) -> list[dom.Element]:
 
 def _rows(pages: DataFrame, key: str, columns: str, of_page: Callable[[dom.Element, str], list[tuple]]) -> DataFrame:
     """(key, columns...): the rows that of_page makes of each page's tree and base."""
-    made_schema = StructType.fromDDL(columns)
-    arrow = to_arrow_schema(made_schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = [], []
-            for k, (base, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for row in of_page(dom.parse(html or ""), base or ""):
-                    at.append(k)
-                    rows.append(row)
-            made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], [key, *made_schema.names])
-
     base = F.coalesce("base_uri", "url") if "base_uri" in pages.columns else F.col("url")
     based = pages.select(key, base.alias("base"), "html")
-    return based.mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, {columns}")
+    return rows_of(based, key, ["base", "html"], columns, lambda base, html: of_page(dom.parse(html or ""), base or ""))
 
 
 def search_rows(pages: DataFrame, rule: dict[str, str], key: str = "page_id", limit: int = 0) -> DataFrame:

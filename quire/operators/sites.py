@@ -2,7 +2,7 @@
 
 A page meets its rule by an equal join on the rule's id, which match_rules() finds from the page's address unless the page
 already has one. The rule travels with the page as JSON and is compiled once in each worker, so any number of sources is read in
-one scan, with one tree a page. Keys and ids stay in Arrow, so they keep every digit.
+one scan, with one tree a page. Keys stay in Spark, so they keep every digit.
 
 Where pages follow one another, the walk is a join of addresses with what the scan found; nothing is fetched. Pages that are
 missing or unusable, and walks that go round, come back as rejected rows with their reason.
@@ -12,17 +12,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions import dom, steps
 from ..functions.memo import memo
+from ..functions.rowwise import rows_of
 from ..functions import text as T
 from ..session import cut
 from ..sources import rules as R
@@ -121,26 +119,6 @@ def _read(root: dom.Element, rule: dict[str, Any], url: str, parts: tuple[str, .
             yield part, 0, {}, why
 
 
-def _by_page(pages: DataFrame, columns: list[str], schema: str, of_page: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """(first column, made...): the rows that of_page makes of the other columns, the first one carried along in Arrow."""
-    made_schema = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(made_schema)
-    names = [columns[0], *made_schema.names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = [], []
-            for k, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                for made in of_page(*row):
-                    at.append(k)
-                    rows.append(made)
-            if at:
-                made_columns = [pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *made_columns], names)
-
-    return pages.select(*columns).mapInArrow(run, f"`{columns[0]}` {pages.schema[columns[0]].dataType.simpleString()}, {schema}")
-
-
 def read_sites(pages: DataFrame, rules: DataFrame, key: str = "page_id", parts: tuple[str, ...] = PARTS, limit: int = 0) -> DataFrame:
     """(key, rule_id, part, pos, fields, reason): all that the rules of their sources find in pages (key, url, html), in one scan.
 
@@ -153,14 +131,14 @@ def read_sites(pages: DataFrame, rules: DataFrame, key: str = "page_id", parts:
 
     def of_page(rule_id: int | None, rule: str | None, url: str | None, html: str | None) -> Iterator[tuple]:
         if rule is None:
-            yield rule_id, "rule", 0, [], "no source"
+            yield rule_id, "rule", 0, {}, "no source"
             return
         for part, pos, fields, reason in _read(dom.parse(html or ""), _plan(rule), url or "", parts, limit):
-            yield rule_id, part, pos, list(fields.items()), reason
+            yield rule_id, part, pos, fields, reason
 
     schema = "rule_id int, part string, pos int, fields map<string,string>, reason string"
     ready = with_rules(pages.select(key, "url", "html", *(["rule_id"] if "rule_id" in pages.columns else [])), rules, key).withColumn("rule_id", F.col("rule_id").cast("int"))
-    return _by_page(ready, [key, "rule_id", "__rule", "url", "html"], schema, of_page)
+    return rows_of(ready, key, ["rule_id", "__rule", "url", "html"], schema, of_page)
 
 
 def _of(read: DataFrame, part: str, names: list[str]) -> DataFrame:
@@ -205,7 +183,7 @@ def toc_starts(books: DataFrame, rules: DataFrame, book: str = "book") -> DataFr
         yield rule_id if rule else None, start or url, base or url, bool(s.get("nextPage"))
 
     ready = with_rules(books.select(book, "url", *(["rule_id"] if "rule_id" in books.columns else [])), rules, book).withColumn("rule_id", F.col("rule_id").cast("int"))
-    return _by_page(ready, [book, "rule_id", "__rule", "url"], "rule_id int, url string, base string, paged boolean", of_book)
+    return rows_of(ready, book, ["rule_id", "__rule", "url"], "rule_id int, url string, base string, paged boolean", of_book)
 
 
 def toc_scan(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -228,7 +206,7 @@ def toc_scan(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     schema = "rule_id int, items array<struct<pos:int,title:string,href:string>>, listed array<string>, next string, next_value string"
     ready = with_rules(pages.select("url", "html", *(["rule_id"] if "rule_id" in pages.columns else [])), rules, "url").withColumn("rule_id", F.col("rule_id").cast("int"))
-    return _by_page(ready, ["url", "rule_id", "__rule", "html"], schema, of_page)
+    return rows_of(ready, "url", ["rule_id", "__rule", "html"], schema, of_page)
 
 
 def tables_of_contents(books: DataFrame, pages: DataFrame, rules: DataFrame, book: str = "book") -> tuple[DataFrame, DataFrame]:
@@ -312,8 +290,8 @@ def chapter_scan(pages: DataFrame, rules: DataFrame) -> DataFrame:
                 follows = link
         yield rule_id, content, follows
 
-    ready = with_rules(pages.select("url", "html", *(["rule_id"] if "rule_id" in pages.columns else [])), rules, "url").withColumns({"rule_id": F.col("rule_id").cast("int"), "__url": F.col("url")})
-    return _by_page(ready, ["url", "rule_id", "__rule", "__url", "html"], "rule_id int, content string, next string", of_page)
+    ready = with_rules(pages.select("url", "html", *(["rule_id"] if "rule_id" in pages.columns else [])), rules, "url").withColumn("rule_id", F.col("rule_id").cast("int"))
+    return rows_of(ready, "url", ["rule_id", "__rule", "url", "html"], "rule_id int, content string, next string", of_page)
 
 
 def walk_chapters(spark: SparkSession, starts: DataFrame, pages: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
