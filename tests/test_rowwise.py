@@ -23,3 +23,9 @@ def test_rows_of_keeps_keys_and_order(spark):
     got = rows_of(df, "k", ["t"], "pos int, w string", lambda t: enumerate((t or "").split())).where("w <> 'x'").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(9007199254740993, 0, "a"), (9007199254740993, 1, "b"), (None, 0, "c")], key=str)
     assert extract.list_rows(df.selectExpr("k", "t html", "t url"), "k", "p", {"a": "p"}, "a").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark):
+    made = catalog.QUERIES["implied_cells"](spark, SF)
+    assert made.selectExpr("spark_partition_id() task").distinct().count() > 16
