@@ -15,6 +15,9 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bits that bitmap_construct_agg puts into one row; bits for each key of join_wide, and most of them in all (32 MB).
+BITMAP, KEY_BITS, MOST_BITS = 8 * 4096, 16, 1 << 28
+
 _own_dir: list[str] = []
 
 
@@ -86,3 +89,23 @@ def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     """big with small: small is broadcast only when counted to at most `rows` (narrow) rows and array values; beyond that
     Spark joins by shuffle, and adaptive execution splits hot keys of big."""
     return big.join(F.broadcast(small) if at_most(small, rows, values) else small, on, how)
+
+
+def join_wide(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """join_counted for rows of big that are wide, such as texts (how: inner or left_anti).
+
+    Beyond `rows` rows of small, a bitmap of the hashes of its keys is broadcast in its place, KEY_BITS bits a key. Rows of big
+    whose bit is not set have no match and are settled where they are read; only the others go through a shuffle.
+    """
+    if at_most(small, rows):
+        return big.join(F.broadcast(small), on, how)
+    keys = small.select(*on).distinct()
+    bits = max(BITMAP, min(MOST_BITS, KEY_BITS * keys.count()))
+    slot = F.pmod(F.xxhash64(F.lit("slot"), *on), F.lit(bits))
+    bucket, place = F.floor(slot / BITMAP), slot % BITMAP
+    bitmap = staged(keys.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(place).alias("__bits")), "bitmap")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    held = big.join(F.broadcast(bitmap), bucket == F.col("__bucket"), "left").withColumn("__met", met).drop("__bucket", "__bits")
+    joined = held.where("__met").drop("__met").join(small, on, how)
+    return joined if how == "inner" else joined.unionByName(held.where("not __met").drop("__met"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at_most, join_counted, staged, table, words
+from .common import at_most, join_counted, join_wide, staged, table, words
 
 SPAN = 10
 #: The selected positions (1) of each mask. Every pair of positions is ignored by one of them, so any ten tokens with up to two
@@ -123,7 +123,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a passage of the benchmark, whatever their doc_id."""
     keyed = docs.withColumn("__text", F.xxhash64("text"))
     bad = find_leaks(keyed.select(F.col("__text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__text")).distinct()
-    return join_counted(keyed, bad, ["__text"], "left_anti", rows=500_000).select(*docs.columns)
+    return join_wide(keyed, staged(bad, "bad"), ["__text"], "left_anti", rows=500_000).select(*docs.columns)
 
 
 def op1_find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

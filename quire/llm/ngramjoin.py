@@ -9,12 +9,14 @@ their prefixes of n - ceil(T n / 100) + 1 shingles, so
 2. a pair of groups survives if one of its shared prefix shingles may be its first: what lies from its place on in both
    sets must reach the overlap that a link needs. So must all shared prefix shingles with what may follow the prefixes. A
    prefix shingle with more than PAIRS groups makes no pairs: its groups are a crowd. A member of a crowd stays only if some
-   member has a size that its place still allows, and the other way round, so a crowd that can't link makes no work;
+   member has a size that its place still allows, and that the prefix shingles which it shares with anyone allow, and the
+   other way round, so a crowd that can't link makes no work;
 3. surviving groups and crowds expand to their distinct sets (equal sets are one class). Classes get a label, that of
    their largest crowd or of their least relative, and a cell of at most CELL_SETS sets of that label. Within its cell each
    set is verified against all others, and against a few pivots of its label, which join most of a crowd;
-4. only where a pair or a crowd still lies in several cells and in several components, the sets outside its largest
-   component are verified against all of it, block by block, where sizes and places of the blocks allow a link. So near
+4. only where a pair or a crowd still lies in several cells and in several components, a crowd that fits into a cell is
+   verified there; else the sets outside its largest component are verified against all of it, block by block, where sizes
+   and places of the blocks allow a link. So near
    copies of one text cost work in proportion to their number, and no link between different components is left out;
 5. links become components by contraction.
 
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at_most, join_counted, staged, table
+from .common import at_most, join_counted, join_wide, staged, table
 from .lanes import Line, by_shard, lines, rolled, text_bytes
 
 N = 5
@@ -43,8 +45,8 @@ PAIRS = 40
 HOT = 4_000
 CELL_SETS = 200
 CELL_SHINGLES = 500_000
-#: Bands of size for each factor of e, in which the members of a crowd are compared and blocks are dealt.
-BANDS = 10
+#: Bands of size for each factor of e, in which blocks are dealt, and in which the members of a crowd are compared.
+BANDS, CROWD_BANDS = 10, 40
 #: Random pivots of a label, besides its most typical set.
 PIVOTS = 5
 SHARD_ROWS = 500_000
@@ -373,21 +375,31 @@ def _verified(sets: DataFrame, shingles: int) -> DataFrame:
     return sets.withColumn("bundle", F.pmod(F.xxhash64("cell"), F.lit(bundles))).groupBy("bundle").applyInPandas(_linked, "u long, v long")
 
 
-def _band() -> Column:
-    return F.floor(F.log("n") * BANDS)
+def _band(bands: int) -> Column:
+    return F.floor(F.log("n") * bands)
+
+
+#: Sizes of the sets with which a set of n shingles can link if it shares at most `most` prefix shingles with any other set:
+#: up to `small`, or from `large` on. Beyond what the prefixes share, all that follows one of the two prefixes may be shared.
+_SMALL = f"({100 + T} * (most + ceil({T} * n / 100) - 1)) div {T} - n as small"
+_LARGE = f"({100 * T} * n - {100 + T} * (100 * most - 1)) div {T * T} as large"
 
 
 def live(crowds: DataFrame) -> DataFrame:
-    """Of crowds (shingle, m, group, n, far), the rows that some row of their shingle may meet: its size is within reach of
-    the row, and the row's size within its own. Rows are held against bands of size, whose number no count of rows raises."""
-    bands = crowds.groupBy("shingle", _band().alias("band")).agg(F.min("n").alias("low"), F.max("far").alias("most"))
-    reach = staged(bands.groupBy("shingle").agg(F.collect_list(F.struct("low", "most")).alias("reach")), "reach")
+    """Of crowds (shingle, m, group, n, far, small, large), the rows that some row of their shingle may meet: its size is
+    within reach of the row, and the row's size within its own. Rows are held against bands of size, whose number no count of
+    rows raises."""
+    ends = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("far").alias("far"), F.max("small").alias("small"), F.min("large").alias("large")]
+    bands = crowds.groupBy("shingle", _band(CROWD_BANDS).alias("band")).agg(*ends)
+    reach = staged(bands.groupBy("shingle").agg(F.collect_list(F.struct("low", "high", "far", "small", "large")).alias("reach")), "reach")
     met = join_counted(crowds, reach, ["shingle"], values=F.size("reach"))
-    return met.where(F.exists("reach", lambda r: (r["low"] <= F.col("far")) & (r["most"] >= F.col("n")))).drop("reach")
+    placed = lambda r: (r["low"] <= F.col("far")) & (r["far"] >= F.col("n"))
+    shared = lambda r: ((r["low"] <= F.col("small")) | (r["high"] >= F.col("large"))) & ((F.col("n") <= r["small"]) | (F.col("n") >= r["large"]))
+    return met.where(F.exists("reach", lambda r: placed(r) & shared(r))).drop("reach")
 
 
 def open_keys(keys: DataFrame, placed: DataFrame) -> DataFrame:
-    """Of keys (key, group, far), groups that may link, those that lie in several cells and in several components of
+    """Of keys (key, group, far, small, large), groups that may link, those that lie in several cells and in several components of
     placed (v, group, label, cell, comp, n)."""
     ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "comp") for name, f in (("low", F.min), ("high", F.max))]
     by_group = placed.groupBy("group").agg(*ends)
@@ -401,16 +413,18 @@ def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
 
     Classes of open keys lie in blocks of at most CELL_SETS, of one component where that is large, else of a label and, where
     it has several, of a band of size. Of each key, the blocks outside its largest component meet all its blocks but those of
-    their own component, those whose sizes or places in the key (far) allow no link and those of their own cell. Crowds share many classes, so their blocks meet as a whole, once for all
-    crowds; of a pair of groups only its own classes meet.
+    their own component, those whose sizes, places in the key (far) or shared shingles (small, large) allow no link and those
+    of their own cell. Large crowds share many classes, so their blocks meet as a whole, once for all crowds; of a pair of
+    groups only its own classes meet. A crowd whose classes fit into one cell meets there instead, and crowds of equal classes
+    meet once, so a class goes out once a crowd, whatever its block.
     """
-    of_key = open_.join(placed.select("v", "group"), "group").select("key", "crowd", "v", "far")
+    of_key = open_.join(placed.select("v", "group"), "group").select("key", "crowd", "v", "far", "small", "large")
     here = staged(placed.join(of_key.select("v").distinct(), "v", "left_semi"), "here")
     blocks = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES))
     large = here.groupBy("comp").agg(F.count("*").alias("k"), blocks.alias("of_comp")).where(F.col("k") >= CELL_SETS // 2).drop("k")
     here = here.join(large, "comp", "left")
     rest = here.where("of_comp is null").groupBy("label").agg(blocks.alias("of_label"))
-    here = here.join(rest, "label", "left").withColumn("band", F.when((F.col("of_label") > 1) & F.col("of_comp").isNull(), _band()).otherwise(-1))
+    here = here.join(rest, "label", "left").withColumn("band", F.when((F.col("of_label") > 1) & F.col("of_comp").isNull(), _band(BANDS)).otherwise(-1))
     here = staged(here, "banded")
     banded = here.where("of_comp is null").groupBy("label", "band").agg(blocks.alias("of_band"))
     here = here.join(banded, ["label", "band"], "left").withColumn("in_label", F.xxhash64("label", "band"))
@@ -419,13 +433,20 @@ def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
     here = staged(here.select("v", "n", "cell", block.alias("block"), pure.alias("pure")), "blocks")
     of_key = staged(of_key.join(here, "v"), "of-key")
 
+    few = of_key.where("crowd").groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.array_sort(F.collect_set("v")).alias("all"))
+    few = staged(few.where((F.col("k") <= CELL_SETS) & (F.col("n") <= CELL_SHINGLES)).select("key", F.xxhash64(F.lit("few"), "all").alias("at"), "all"), "few")
+    in_few = few.select("at", "all").distinct().select("at", F.lit(0).alias("side"), F.explode("all").alias("v")).join(here.select("v", "n"), "v")
+    of_key = of_key.join(few.select("key"), "key", "left_anti")
+
     ends = [f(c).alias(f"{name}_{c}") for c in ("cell", "n") for name, f in (("low", F.min), ("high", F.max))]
-    by_block = staged(of_key.groupBy("key", "crowd", "block", "pure").agg(F.count("*").alias("k"), F.max("far").alias("far"), *ends), "by-block")
+    ends += [F.max("far").alias("far"), F.max("small").alias("small"), F.min("large").alias("large")]
+    by_block = staged(of_key.groupBy("key", "crowd", "block", "pure").agg(F.count("*").alias("k"), *ends), "by-block")
     home = by_block.where("pure is not null").groupBy("key", "pure").agg(F.sum("k").alias("k")).groupBy("key").agg(F.max_by("pure", "k").alias("home"))
     outside = by_block.join(home, "key", "left").where("pure is null or pure <> home").drop("home", "k")
-    x, y = (d.select("key", *(["crowd"] if side == "x" else []), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n", "far"))) for d, side in ((outside, "x"), (by_block, "y")))
+    x, y = (d.select("key", *(["crowd"] if side == "x" else []), *(F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "low_cell", "high_cell", "low_n", "high_n", "far", "small", "large"))) for d, side in ((outside, "x"), (by_block, "y")))
     meet = x.join(y, "key").where("pure_x is null or pure_y is null or pure_x <> pure_y").where("low_cell_x <> high_cell_x or low_cell_y <> high_cell_y or low_cell_x <> low_cell_y")
     meet = meet.where(f"100 * high_n_x >= {T} * low_n_y and 100 * high_n_y >= {T} * low_n_x and low_n_y <= far_x and low_n_x <= far_y")
+    meet = meet.where("(low_n_y <= small_x or high_n_y >= large_x) and (low_n_x <= small_y or high_n_x >= large_y)")
     meet = meet.select("key", "crowd", F.least("block_x", "block_y").alias("x"), F.greatest("block_x", "block_y").alias("y")).withColumn("meet", F.xxhash64("x", "y"))
     meet = staged(meet.distinct(), "meet")
 
@@ -435,7 +456,7 @@ def meetings(open_: DataFrame, placed: DataFrame) -> DataFrame:
 
     in_crowds = here.join(sides(meet.where("crowd")), "block")
     in_pairs = of_key.where("not crowd").join(sides(meet.where("not crowd"), "key"), ["key", "block"])
-    needed = in_crowds.select("at", "side", "v", "n").unionByName(in_pairs.select("at", "side", "v", "n"))
+    needed = in_few.select("at", "side", "v", "n").unionByName(in_crowds.select("at", "side", "v", "n")).unionByName(in_pairs.select("at", "side", "v", "n"))
     return staged(needed.withColumnRenamed("at", "cell").distinct(), "needed")
 
 
@@ -470,17 +491,19 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     # what two groups can still share after what their prefixes share; shingles of crowds that both hold are not counted
     pairs = joined.where(f"kind = {_TOKENS}").selectExpr("a", "b", "c as na", "d as nb", "e as c", "f as first")
     p_a, p_b = (F.expr(f"{x} - cast(ceil({T} * {x} / 100) as bigint) + 1") for x in ("na", "nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("first").alias("first")).where("first = 1")
-    pairs = staged(pairs.withColumn("reach", F.col("c") + F.greatest(F.col("na") - p_a, F.col("nb") - p_b)), "reaching")
-    enough = f"reach * {100 + T} >= {T} * (na + nb)"
+    pairs = staged(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("first").alias("first")), "counted")
+    shared = pairs.selectExpr("a as group", "c").unionByName(pairs.selectExpr("b as group", "c")).groupBy("group").agg(F.max("c").alias("c"))
     largest = F.shiftleft("m", 20) + F.pmod("shingle", F.lit(1 << 20))
-    in_crowds = staged(crowds.groupBy("group").agg(F.max_by("shingle", largest).alias("crowd"), F.count("*").alias("heat")), "in-crowds")
+    in_crowds = crowds.groupBy("group").agg(F.max_by("shingle", largest).alias("crowd"), F.count("*").alias("heat")).join(shared, "group", "left")
+    in_crowds = staged(in_crowds.select("group", "crowd", "heat", (F.col("heat") + F.coalesce("c", F.lit(0))).alias("most")), "in-crowds")
+    pairs = pairs.where("first = 1").withColumn("reach", F.col("c") + F.greatest(F.col("na") - p_a, F.col("nb") - p_b))
+    enough = f"reach * {100 + T} >= {T} * (na + nb)"
     short = pairs.where(f"not ({enough})")
     for side in "ab":
         short = join_counted(short, in_crowds.select(F.col("group").alias(side), F.col("heat").alias(f"heat_{side}")), [side])
     short = short.withColumn("reach", F.col("reach") + F.least("heat_a", "heat_b")).where(enough)
     pairs = staged(pairs.where(enough).select("a", "b").unionByName(short.select("a", "b")), "pairs")
-    crowds = staged(live(crowds), "live")
+    crowds = staged(live(join_counted(crowds, in_crowds.select("group", "most"), ["group"]).selectExpr("*", _SMALL, _LARGE)), "live")
     alone = classes.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
 
     # a label for each group that may link: the shingle of its largest crowd, else its least neighbour
@@ -498,7 +521,7 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     in_cell = in_cell.select("v", "s1", "s2", "doc_id", "key", "label", _dealt("label", F.col("cells")).alias("cell"), ((F.col("cells") > 1) & F.array_contains("pivots", F.col("v"))).alias("pivot"), "group", "n")
     in_cell = staged(in_cell, "cells")
 
-    with_text = join_counted(read, in_cell.drop("group", "n"), ["doc_id", "key"], rows=300_000)
+    with_text = join_wide(read, in_cell.drop("group", "n"), ["doc_id", "key"], rows=300_000)
     held = staged(with_text.select("v", "s1", "s2", "label", "cell", "pivot", "text").mapInArrow(_read_sets, "v long, label long, cell long, pivot boolean, own binary"), "sets")
     several = in_cell.select("label", "cell").join(sizes.where("cells > 1").select("label"), "label", "left_semi").distinct()
     to_pivots = several.join(held.where("pivot").select("label", "v", "own"), "label")
@@ -506,14 +529,14 @@ def jaccard_components(docs: DataFrame, key: Column | None = None, hot: int = HO
     links = _verified(held.select("cell", F.lit(0).alias("side"), "v", "own").unionByName(to_pivots.select("cell", F.lit(0).alias("side"), "v", "own")), shingles)
     found = components(links)
 
-    any_size = F.lit(int(LAST)).alias("far")
-    keys = crowds.select(F.xxhash64(F.lit("crowd"), "shingle").alias("key"), "group", "far").unionByName(alone.select(F.xxhash64(F.lit("group"), "group").alias("key"), "group", any_size))
-    keys = keys.withColumn("crowd", F.lit(True)).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), any_size, F.lit(False).alias("crowd")))
+    any_size = [F.lit(int(LAST)).alias("far"), F.lit(int(LAST)).alias("small"), F.lit(0).cast("long").alias("large")]
+    keys = crowds.select(F.xxhash64(F.lit("crowd"), "shingle").alias("key"), "group", "far", "small", "large").unionByName(alone.select(F.xxhash64(F.lit("group"), "group").alias("key"), "group", *any_size))
+    keys = keys.withColumn("crowd", F.lit(True)).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), *any_size, F.lit(False).alias("crowd")))
     placed = staged(in_cell.select("v", "group", "label", "cell", "n").join(found.withColumnRenamed("label", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "placed")
     open_ = open_keys(keys, placed)
     if not at_most(open_, 0):
         needed = meetings(open_, placed)
-        again = join_counted(held.select("v", "own"), needed.drop("n"), ["v"], rows=300_000)
+        again = join_wide(held.select("v", "own"), needed.drop("n"), ["v"], rows=300_000)
         late = _verified(again.select("cell", "side", "v", "own"), needed.agg(F.sum("n")).first()[0] or 0)
         found = components(found.select(F.col("label").alias("u"), "v").unionByName(late))
 
@@ -548,12 +571,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")
     best = members.groupBy("label").agg(first).select("first.__row")
     dropped = staged(members.select("__row").join(best, "__row", "left_anti").distinct(), "dropped")
-    kept = join_counted(keyed, dropped, ["__row"], "left_anti", rows=500_000)
+    kept = join_wide(keyed, dropped, ["__row"], "left_anti", rows=500_000)
     repeated = staged(found.groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"), "repeated")
     if at_most(repeated, 0):
         return kept.select(*docs.columns)
-    once = join_counted(kept, repeated, ["__row"], "left_semi", rows=500_000).dropDuplicates(["__row"])
-    return join_counted(kept, repeated, ["__row"], "left_anti", rows=500_000).unionByName(once).select(*docs.columns)
+    once = join_wide(kept, repeated, ["__row"], rows=500_000).dropDuplicates(["__row"])
+    return join_wide(kept, repeated, ["__row"], "left_anti", rows=500_000).unionByName(once).select(*docs.columns)
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

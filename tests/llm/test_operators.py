@@ -8,8 +8,10 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import chat, decontam, htmlblocks, htmlmain, lanes, mixing, ngramjoin, passages, pii, quality, vectors
+from quire.llm.common import join_wide
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -167,7 +169,6 @@ def test_a_crowd_of_near_copies_is_linear(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {x["component_id"] for x in got} == {0}
-    print(sizes)
     assert sizes["links"] <= 5 * 3000 and sizes.get("needed", 0) <= 2 * 3000
 
 
@@ -187,6 +188,36 @@ def test_a_crowd_that_cannot_link_makes_no_work(spark, monkeypatch):
     assert sizes["live"] == sizes["members"] == sizes.get("needed", 0) == 0
 
 
+def test_phrases_that_many_texts_share_make_no_work(spark, monkeypatch):
+    staged, sizes = ngramjoin.staged, {}
+
+    def counted(df, name):
+        out = staged(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngramjoin, "staged", counted)
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 0)  # as where more shingles are frequent than are ranked
+    monkeypatch.setattr(ngramjoin, "PAIRS", 10)
+    monkeypatch.setattr(ngramjoin, "CELL_SETS", 10)
+    r = random.Random(7)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(5)) for k in range(20)]
+    rows = [(k, " ".join([f"u{k}x{j}" for j in range(r.randrange(50, 400))] + r.sample(phrases, 3))) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(10)]
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {k: k % 1000 for k, _ in rows}
+    assert sizes["members"] <= 60 and sizes.get("needed", 0) <= 60
+
+
+def test_wide_rows_join_past_a_bitmap(spark):
+    big = spark.range(3000).select((F.col("id") % 2000).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("b"), F.lit("x").alias("text"))
+    small = spark.range(0, 3000, 3).select(F.col("id").alias("a"), F.when(F.col("id") % 2 > 0, F.col("id") % 5).alias("b"), F.col("id").alias("c"))
+    for on in (["a"], ["a", "b"]):
+        for how, other in (("inner", small.select(*on, "c")), ("left_anti", small.select(*on))):
+            got, right = join_wide(big, other, on, how, rows=10), big.join(other, on, how)
+            assert got.columns == right.columns and sorted(map(str, got.collect())) == sorted(map(str, right.collect()))
+
+
 @pytest.mark.parametrize("seed, crowd, cell", [(1, 40, 20), (2, 3, 5), (3, 2, 200)])
 def test_crowds_in_which_some_link(spark, monkeypatch, seed, crowd, cell):
     monkeypatch.setattr(ngramjoin, "PAIRS", crowd)
