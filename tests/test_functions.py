@@ -171,6 +171,11 @@ def test_charsets():
     assert charset.decode_bytes("秋".encode("utf-16"), None) == "秋"
 
 
+@pytest.mark.parametrize("text", ["Éè, par, le", "que ierai un. Èé", "| aitionoi, | oueuxen.\nÉç", "la de avec. Êê"])
+def test_lone_accented_words(text):
+    assert charset.decode_bytes(text.encode("iso-8859-1")) == text
+
+
 @pytest.mark.parametrize("text", ["Çèen en vich de.", "EAI!! DU!! ÈÈEUX", "un été. Éèlean"])
 def test_accented_letters_in_short_texts(text):
     assert charset.decode_bytes(text.encode("iso-8859-1")) == text
